@@ -15,7 +15,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import derived
+from pyspark.sql import functions as F
+
+from ..functions import text as textfn
+from ..operators import dedup, dictionary, filters
+from ..schema import KEY7, TEXT_COLUMNS
+from ..session import scratch_path
+from ..sources import derived, store, submissions
+from ..streaming import ingest
+from . import backfill as backfill_plan
 from . import views
 
 # fixed evaluation point of all reports: the end of the events month
@@ -33,8 +41,150 @@ def _view_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+# history cut used to split "stored" from "incoming" rows
+HISTORY_END = "2024-01-21T00:00:00+00:00"
+# an early cut, so extending a dictionary adds many values
+EARLY_END = "2024-01-03T00:00:00+00:00"
+
+
+def _ms(iso: str) -> int:
+    return int(_dt.datetime.fromisoformat(iso).timestamp()) * 1000
+
+
+def _submitted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed, decoded, cleaned submissions (with their event_id)."""
+    records, _ = submissions.ingest_requests(derived.request_log(spark, sf_dir), tz=TZ)
+    return records
+
+
+def q_decode_submissions(spark, sf_dir):
+    return _submitted_records(spark, sf_dir).select("event_id", *KEY7)
+
+
+def q_rejected_submissions(spark, sf_dir):
+    _, rejected = submissions.ingest_requests(derived.request_log(spark, sf_dir), tz=TZ)
+    return rejected.select("event_id", "reason")
+
+
+def q_dedup_submissions(spark, sf_dir):
+    rec = _submitted_records(spark, sf_dir).select((F.col("event_id") + 1).alias("id"), *KEY7)
+    return dedup.dedup_keep_first(rec, KEY7, "id")
+
+
+def q_drop_seen_attacks(spark, sf_dir):
+    stored = derived.attack_records(spark, sf_dir).filter(F.col("timestamp") < F.lit(_ms(HISTORY_END)))
+    incoming = _submitted_records(spark, sf_dir).select("event_id", *KEY7)
+    return dedup.drop_seen(incoming, stored, KEY7)
+
+
+def q_drop_incomplete_legacy(spark, sf_dir):
+    return filters.drop_incomplete(derived.legacy_records(spark, sf_dir), TEXT_COLUMNS, time_col="attack_timestamp")
+
+
+def q_trim_evidence(spark, sf_dir):
+    legacy = derived.legacy_records(spark, sf_dir)
+    return legacy.select("id", textfn.trim_blanks("evidence").alias("evidence"))
+
+
+def _dictionary_query(column: str):
+    def run(spark, sf_dir):
+        return dictionary.build_dictionary(derived.attack_records(spark, sf_dir), column)
+
+    run.__name__ = f"dictionary_{column}"
+    return run
+
+
+def _extend_query(column: str):
+    def run(spark, sf_dir):
+        attacks = derived.attack_records(spark, sf_dir)
+        early = attacks.filter(F.col("timestamp") < F.lit(_ms(EARLY_END)))
+        base = dictionary.build_dictionary(early, column)
+        return dictionary.extend_dictionary(base, attacks, column)
+
+    run.__name__ = f"extend_dictionary_{column}"
+    return run
+
+
+def q_encode_attacks(spark, sf_dir):
+    attacks = derived.attack_records(spark, sf_dir).checkpoint(eager=True)
+    return dictionary.encode(attacks, dictionary.build_dictionaries(attacks))
+
+
+def q_decode_attacks(spark, sf_dir):
+    attacks = derived.attack_records(spark, sf_dir).checkpoint(eager=True)
+    dicts = dictionary.build_dictionaries(attacks)
+    return dictionary.decode(dictionary.encode(attacks, dicts), dicts)
+
+
+def q_backfill_attacks(spark, sf_dir):
+    fact, _, _ = backfill_plan.backfill(derived.legacy_records(spark, sf_dir))
+    return fact
+
+
+def q_log_lines(spark, sf_dir):
+    a = derived.attack_records(spark, sf_dir)
+    return a.select("id", textfn.log_line("timestamp", "source_ip", "username", "password", tz=TZ).alias("line"))
+
+
+def _stage_requests(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
+    """Write the request log as ``files`` parquet files (arrival batches)."""
+    path = scratch_path(spark, "requests")
+    derived.request_log(spark, sf_dir).repartition(files).write.parquet(path)
+    return path
+
+
+def _run_stream(spark: SparkSession, sf_dir: str, coded: bool) -> str:
+    src = _stage_requests(spark, sf_dir)
+    root = scratch_path(spark, "store")
+    stream = (
+        spark.readStream.schema(derived.request_log(spark, sf_dir).schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(src)
+    )
+    q = ingest.start_ingest(stream, root, checkpoint=root + "-checkpoint", tz=TZ, coded=coded)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return root
+
+
+def q_stream_ingest(spark, sf_dir):
+    root = _run_stream(spark, sf_dir, coded=False)
+    return store.read_attacks(spark, root).select(*KEY7)
+
+
+def q_stream_ingest_coded(spark, sf_dir):
+    root = _run_stream(spark, sf_dir, coded=True)
+    fact, dicts = store.read_coded(spark, root)
+    return dictionary.decode(fact.drop("date"), dicts).select(*KEY7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _view_query(name) for name in views.VIEWS}
+    out.update(
+        {
+            "decode_submissions": q_decode_submissions,
+            "rejected_submissions": q_rejected_submissions,
+            "dedup_submissions": q_dedup_submissions,
+            "drop_seen_attacks": q_drop_seen_attacks,
+            "drop_incomplete_legacy": q_drop_incomplete_legacy,
+            "trim_evidence": q_trim_evidence,
+        }
+    )
+    for c in TEXT_COLUMNS:
+        out[f"dictionary_{c}s"] = _dictionary_query(c)
+    out["extend_dictionary_usernames"] = _extend_query("username")
+    out["extend_dictionary_passwords"] = _extend_query("password")
+    out.update(
+        {
+            "encode_attacks": q_encode_attacks,
+            "decode_attacks": q_decode_attacks,
+            "backfill_attacks": q_backfill_attacks,
+            "log_lines": q_log_lines,
+            "stream_ingest": q_stream_ingest,
+            "stream_ingest_coded": q_stream_ingest_coded,
+        }
+    )
     return out
 
 
@@ -167,5 +317,113 @@ def _view_sql() -> dict[str, str]:
     return q
 
 
+_UNICODE_TRIM = " || ".join(
+    f"chr({c})" for c in [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+)
+
+_SUBMITTED = _SUB + f""",
+submitted AS (
+  SELECT event_id, "timestamp", source_ip, destination_ip, username, password, attack_type,
+         trim(evidence, {_UNICODE_TRIM}) AS evidence
+  FROM resub
+  WHERE event_id % 40 NOT IN (11, 21) AND event_id % 200 NOT IN (5, 6) AND NOT test_mode
+)
+"""
+
+_LEGACY = _SUB + """,
+legacy AS (
+  SELECT event_id + 1 AS id, source_ip, destination_ip,
+         CASE WHEN event_id % 50 = 7 THEN NULL ELSE username END AS username,
+         password, "timestamp" AS attack_timestamp, evidence, attack_type
+  FROM sub
+  UNION ALL
+  SELECT event_id + 1000001 AS id, source_ip, destination_ip,
+         CASE WHEN event_id % 50 = 7 THEN NULL ELSE username END AS username,
+         password, "timestamp" AS attack_timestamp, evidence, attack_type
+  FROM sub WHERE event_id % 10 = 3
+)
+"""
+
+_K7 = '"timestamp", source_ip, destination_ip, username, password, attack_type, evidence'
+
+
+def _dict_cte(column: str, source: str = "attacks", name: str | None = None) -> str:
+    name = name or f"d_{column}"
+    return (
+        f"{name} AS (SELECT dense_rank() OVER (ORDER BY value) AS id, value FROM "
+        f"(SELECT DISTINCT {column} AS value FROM {source} WHERE {column} IS NOT NULL))"
+    )
+
+
+def _encode_select(source: str) -> str:
+    joins = " ".join(f"JOIN d_{c} ON d_{c}.value = s.{c}" for c in _TEXT)
+    cols = ", ".join(f"d_{c}.id AS {c}" for c in _TEXT)
+    return f'SELECT s.id, s."timestamp", {cols} FROM {source} s {joins}'
+
+
+_TEXT = ["source_ip", "destination_ip", "username", "password", "attack_type", "evidence"]
+
+
+def _operator_sql() -> dict[str, str]:
+    q = {}
+    q["decode_submissions"] = f"WITH {_SUBMITTED} SELECT event_id, {_K7} FROM submitted"
+    q["rejected_submissions"] = (
+        f"WITH {_SUB} SELECT event_id, CASE WHEN event_id % 200 = 5 THEN 'not_json_object' "
+        "ELSE 'bad_attack_timestamp' END AS reason FROM resub "
+        "WHERE event_id % 40 NOT IN (11, 21) AND event_id % 200 IN (5, 6)"
+    )
+    q["dedup_submissions"] = (
+        f"WITH {_SUBMITTED} SELECT min(event_id + 1) AS id, {_K7} FROM submitted GROUP BY {_K7}"
+    )
+    q["drop_seen_attacks"] = _with(
+        f", stored AS (SELECT * FROM attacks WHERE \"timestamp\" < {_ms(HISTORY_END)}), "
+        + _SUBMITTED.replace(_SUB, "", 1).lstrip(",\n")
+        + f" SELECT event_id, {_K7} FROM submitted n WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE "
+        + " AND ".join(f's."{c}" = n."{c}"' for c in ["timestamp", *_TEXT])
+        + ")"
+    )
+    q["drop_incomplete_legacy"] = (
+        f"WITH {_LEGACY} SELECT * FROM legacy WHERE "
+        + " AND ".join(f"{c} IS NOT NULL" for c in [*_TEXT, "attack_timestamp"])
+    )
+    q["trim_evidence"] = (
+        f"WITH {_LEGACY} SELECT id, trim(evidence, ' ' || chr(9) || chr(10) || chr(13)) AS evidence FROM legacy"
+    )
+    for c in _TEXT:
+        q[f"dictionary_{c}s"] = _with(f", {_dict_cte(c, name='d')} SELECT id, value FROM d")
+    for c in ["username", "password"]:
+        q[f"extend_dictionary_{c}s"] = _with(
+            f", early AS (SELECT * FROM attacks WHERE \"timestamp\" < {_ms(EARLY_END)}), "
+            f"{_dict_cte(c, 'early', 'old')}, "
+            f"fresh AS (SELECT DISTINCT {c} AS value FROM attacks WHERE {c} IS NOT NULL "
+            f"AND {c} NOT IN (SELECT value FROM old)) "
+            "SELECT id, value FROM old UNION ALL "
+            "SELECT (SELECT coalesce(max(id), 0) FROM old) + dense_rank() OVER (ORDER BY value) AS id, value FROM fresh"
+        )
+    dicts = ", ".join(_dict_cte(c) for c in _TEXT)
+    q["encode_attacks"] = _with(f", {dicts} " + _encode_select("attacks"))
+    q["decode_attacks"] = _with(f"SELECT id, {_K7} FROM attacks")
+    q["backfill_attacks"] = (
+        f"WITH {_LEGACY}, cleaned AS (SELECT min(id) AS id, attack_timestamp AS \"timestamp\", source_ip, "
+        "destination_ip, username, password, attack_type, "
+        "trim(evidence, ' ' || chr(9) || chr(10) || chr(13)) AS evidence FROM legacy WHERE "
+        + " AND ".join(f"{c} IS NOT NULL" for c in [*_TEXT, "attack_timestamp"])
+        + " GROUP BY 2, 3, 4, 5, 6, 7, 8), "
+        + ", ".join(_dict_cte(c, "cleaned") for c in _TEXT)
+        + " "
+        + _encode_select("cleaned")
+    )
+    q["log_lines"] = _with(
+        "SELECT id, printf('%s | From: %-15s | User: %-22s | Pass: %s', "
+        "strftime(t, '%d.%m. %H:%M:%S'), source_ip, username, password) AS line FROM timed"
+    )
+    stream = f"WITH {_SUBMITTED} SELECT DISTINCT {_K7} FROM submitted"
+    q["stream_ingest"] = stream
+    q["stream_ingest_coded"] = stream
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(_view_sql())
+    out = dict(_view_sql())
+    out.update(_operator_sql())
+    return out
