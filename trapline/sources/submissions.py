@@ -86,7 +86,10 @@ def decode(requests: DataFrame, body_col: str = "body", tz: str | None = None):
         SUBMISSION_VARIANT,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
     )
-    df = requests.select(*passthrough, body.alias(body_col), j.alias("_j"), stripped.alias("_s"))
+    # The parse sits behind a generator (one element per row, NULL kept):
+    # filters on fields of the parse are then not rewritten below it, which
+    # would inline one full JSON parse per field reference.
+    df = requests.select(*passthrough, body.alias(body_col), stripped.alias("_s"), F.explode(F.array(j)).alias("_j"))
     jf = {f.name: F.col("_j")[f.name] for f in SUBMISSION.fields}
 
     null_body = F.col("_s") == F.lit("null")
