@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DICT_NAMES, TEXT_COLUMNS
+from ..schema import TEXT_COLUMNS
 from ..session import checkpoint_root
 
 # Up to this many new values, extend_dictionary looks them up with a
@@ -36,30 +36,46 @@ def _num_partitions(df: DataFrame) -> int:
 
 
 def assign_dense_ids(values: DataFrame, start: int = 0, value_col: str = "value",
-                     num_partitions: int | None = None) -> DataFrame:
-    """``values`` holds distinct, non-null values in ``value_col``; returns
-    ``(id, value)`` with ids ``start + 1 ...`` in binary value order."""
+                     num_partitions: int | None = None, group_col: str | None = None,
+                     starts: dict | None = None) -> DataFrame:
+    """Dense ids in binary value order.
+
+    ``values`` holds distinct, non-null values in ``value_col`` (and, with
+    ``group_col``, one independent id sequence per group, each starting after
+    ``starts[group]``). Returns ``([group,] id, value)``.
+    """
     spark = values.sparkSession
     checkpoint_root(spark)
     n = num_partitions or _num_partitions(values)
+    gk = [group_col] if group_col else []
+    keys = [*gk, "value"]
     ranged = (
-        values.select(F.col(value_col).alias("value"))
-        .repartitionByRange(n, "value")
-        .sortWithinPartitions("value")
+        values.select(*gk, F.col(value_col).alias("value"))
+        .repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
         .checkpoint(eager=True)
     )
-    with_pos = ranged.select(
-        "value",
-        F.spark_partition_id().alias("_pid"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    counts = with_pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    pid = F.spark_partition_id()
     # row position inside the partition: low 33 bits of the generated id
-    position = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return with_pos.join(F.broadcast(offsets), "_pid").select(
-        (F.lit(start) + F.col("_offset") + position + 1).cast("long").alias("id"),
+    position = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
+    with_pos = ranged.select(*keys, pid.alias("_pid"), position.alias("_pos"))
+    # per (group, partition): row count and first position (rows of a group
+    # are contiguous inside a partition because rows are sorted by group)
+    counts = with_pos.groupBy(*gk, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.partitionBy(*gk).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*gk, "_pid", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    if group_col and starts:
+        base = F.coalesce(
+            F.element_at(F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(int(v)))]),
+                         F.col(group_col)),
+            F.lit(0),
+        )
+    else:
+        base = F.lit(start)
+    # offsets: one row per (group, partition), a size fixed by the plan
+    return with_pos.join(F.broadcast(offsets), [*gk, "_pid"]).select(
+        *gk,
+        (base + F.col("_offset") + F.col("_pos") - F.col("_first") + 1).cast("long").alias("id"),
         "value",
     )
 
@@ -68,13 +84,42 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
 
 
+def stacked_values(df: DataFrame, columns) -> DataFrame:
+    """Distinct non-null ``(column, value)`` pairs of several columns, in one
+    shuffle (partial aggregation drops repeats before it)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
+    return (
+        df.select(pairs.alias("_kv"))
+        .select("_kv.column", "_kv.value")
+        .where(F.col("value").isNotNull())
+        .distinct()
+    )
+
+
 def build_dictionary(df: DataFrame, column: str) -> DataFrame:
     """Dictionary of the distinct non-null values of ``column``."""
     return assign_dense_ids(distinct_values(df, column))
 
 
-def build_dictionaries(df: DataFrame, columns=None) -> dict[str, DataFrame]:
-    return {c: build_dictionary(df, c) for c in (columns or TEXT_COLUMNS)}
+def _split(ids: DataFrame, columns) -> dict[str, DataFrame]:
+    return {c: ids.filter(F.col("column") == F.lit(c)).select("id", "value") for c in columns}
+
+
+def build_dictionaries(df: DataFrame, columns=None, stacked: bool = False):
+    """Dictionaries of several columns from one pass over ``df``: one shuffle,
+    one checkpoint. Returns ``{column: (id, value)}``, or the stacked
+    ``(column, id, value)`` table when ``stacked``."""
+    columns = list(columns or TEXT_COLUMNS)
+    ids = assign_dense_ids(stacked_values(df, columns), group_col="column").checkpoint(eager=True)
+    return ids if stacked else _split(ids, columns)
+
+
+def stack_dictionaries(dicts: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for c, d in dicts.items():
+        part = d.select(F.lit(c).alias("column"), "id", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _fits(df: DataFrame, max_rows: int) -> bool:
@@ -82,23 +127,36 @@ def _fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def _unknown(values: DataFrame, known: DataFrame, keys, small_rows: int) -> DataFrame:
+    """Rows of ``values`` whose keys ``known`` lacks."""
+    if _fits(values, small_rows):
+        # few values (a micro-batch): find the known ones by streaming the
+        # dictionary past a broadcast of the size-checked value set
+        hits = known.select(*keys).join(F.broadcast(values), keys, "left_semi")
+        return values.join(hits, keys, "left_anti")
+    return values.join(known.select(*keys), keys, "left_anti")
+
+
 def new_entries(dictionary: DataFrame, df: DataFrame, column: str,
                 small_rows: int = SMALL_VALUE_SET_ROWS) -> DataFrame:
     """Dictionary rows for the values of ``df[column]`` the dictionary lacks,
     with ids above its current maximum (insert-or-ignore: known values get
     nothing, so adding the same values twice adds nothing the second time)."""
-    values = distinct_values(df, column)
-    if _fits(values, small_rows):
-        # few values (a micro-batch): find the known ones by streaming the
-        # dictionary past a broadcast of the size-checked value set
-        known = dictionary.select("value").join(F.broadcast(values), "value", "left_semi")
-        new = values.join(known, "value", "left_anti")
-    else:
-        new = values.join(dictionary.select("value"), "value", "left_anti")
+    new = _unknown(distinct_values(df, column), dictionary, ["value"], small_rows)
     top = dictionary.agg(F.max("id")).first()[0] or 0
     return assign_dense_ids(new, start=int(top))
 
 
+def new_entries_stacked(stacked_dict: DataFrame, df: DataFrame, columns=None,
+                        small_rows: int = SMALL_VALUE_SET_ROWS) -> DataFrame:
+    """``new_entries`` for several columns at once, on the stacked
+    ``(column, id, value)`` form: one shuffle and one checkpoint in all."""
+    columns = list(columns or TEXT_COLUMNS)
+    new = _unknown(stacked_values(df, columns), stacked_dict, ["column", "value"], small_rows)
+    tops = {r["column"]: r["top"] for r in stacked_dict.groupBy("column").agg(F.max("id").alias("top")).collect()}
+    return assign_dense_ids(new, group_col="column", starts=tops)
+
+
 def extend_dictionary(dictionary: DataFrame, df: DataFrame, column: str,
                       small_rows: int = SMALL_VALUE_SET_ROWS) -> DataFrame:
     """The dictionary plus ``new_entries`` for ``df[column]``."""
@@ -127,7 +185,3 @@ def decode(fact: DataFrame, dictionaries: dict[str, DataFrame], columns=None) ->
         d = dictionaries[c].select(F.col("id").alias(c), F.col("value").alias(f"_{c}_v"))
         out = out.join(d, c, "inner").withColumn(c, F.col(f"_{c}_v")).drop(f"_{c}_v")
     return out.select(*fact.columns)
-
-
-def dictionary_table_name(column: str) -> str:
-    return DICT_NAMES[column]

@@ -4,7 +4,7 @@ Layout at rest (parquet):
 
   <root>/attacks/date=YYYY-MM-DD/...   decoded attacks, one folder per UTC day
   <root>/fact/date=YYYY-MM-DD/...      coded fact rows (ids)
-  <root>/dict/<name>/...               six dictionaries (id, value)
+  <root>/dict/column=<name>/...        six dictionaries (id, value), one table
 
 Rows are range-partitioned on (date, timestamp) before the write, so a busy
 day is split over many tasks and every file covers a narrow time span: the
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.filters import utc_date_text
-from ..schema import ATTACKS, DICT, DICT_NAMES, FACT, LEGACY, TEXT_COLUMNS
+from ..schema import ATTACKS, DICT, FACT, LEGACY, TEXT_COLUMNS
 
 DATE_COL = "date"
 
@@ -49,13 +49,27 @@ def read_attacks(spark: SparkSession, root: str, streaming: bool = False) -> Dat
     return reader.schema(_partitioned(ATTACKS)).parquet(f"{root}/attacks")
 
 
-def write_dictionaries(dicts: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
-    for col, d in dicts.items():
-        d.select("id", "value").write.mode(mode).parquet(f"{root}/dict/{DICT_NAMES[col]}")
+DICT_STACKED = StructType(DICT.fields + [StructField("column", StringType())])
+
+
+def write_dictionaries(dicts, root: str, mode: str = "append") -> None:
+    """Write dictionaries: a ``{column: (id, value)}`` dict or the stacked
+    ``(column, id, value)`` frame; one job, one folder per column."""
+    if isinstance(dicts, dict):
+        from ..operators.dictionary import stack_dictionaries
+
+        dicts = stack_dictionaries(dicts)
+    dicts.select("id", "value", "column").write.mode(mode).partitionBy("column").parquet(f"{root}/dict")
+
+
+def read_stacked_dictionaries(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(DICT_STACKED).parquet(f"{root}/dict")
 
 
 def read_dictionaries(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {c: spark.read.schema(DICT).parquet(f"{root}/dict/{DICT_NAMES[c]}") for c in TEXT_COLUMNS}
+    """``{column: (id, value)}``; each is a partition-pruned scan."""
+    stacked = read_stacked_dictionaries(spark, root)
+    return {c: stacked.filter(stacked["column"] == c).select("id", "value") for c in TEXT_COLUMNS}
 
 
 def write_fact(fact: DataFrame, root: str, mode: str = "append", num_partitions: int | None = None) -> None:
@@ -81,7 +95,7 @@ def read_legacy(spark: SparkSession, path: str) -> DataFrame:
 def table_exists(spark: SparkSession, root: str, table: str) -> bool:
     """True when ``<root>/<table>`` can be read as parquet."""
     try:
-        spark.read.schema(DICT if table.startswith("dict/") else _partitioned(ATTACKS)).parquet(f"{root}/{table}")
+        spark.read.schema(DICT_STACKED if table == "dict" else _partitioned(ATTACKS)).parquet(f"{root}/{table}")
         return True
     except AnalysisException:
         return False
@@ -92,6 +106,7 @@ __all__ = [
     "read_attacks",
     "write_dictionaries",
     "read_dictionaries",
+    "read_stacked_dictionaries",
     "write_fact",
     "read_fact",
     "read_coded",

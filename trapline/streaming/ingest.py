@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, dictionary
 from ..operators.filters import utc_date_text
-from ..schema import KEY7, TEXT_COLUMNS
+from ..schema import KEY7
 from ..session import checkpoint_root
 from ..sources import store
 from ..sources.submissions import clean, decode, ingest_requests
@@ -119,18 +119,13 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
 
 
 def _append_coded(spark: SparkSession, rows: DataFrame, cond, batch_id: int, root: str) -> None:
-    have_dicts = store.table_exists(spark, root, "dict/" + dictionary.dictionary_table_name("username"))
-    dicts = {}
-    for c in TEXT_COLUMNS:
-        path = f"{root}/dict/{dictionary.dictionary_table_name(c)}"
-        if have_dicts:
-            current = spark.read.schema("id bigint, value string").parquet(path)
-            fresh = dictionary.new_entries(current, rows, c)
-        else:
-            fresh = dictionary.build_dictionary(rows, c)
-        fresh.write.mode("append").parquet(path)
-        dicts[c] = spark.read.schema("id bigint, value string").parquet(path)
-    coded = dictionary.encode(rows, dicts)
+    # dictionaries first (one write for all six); unused ids after a failure are harmless
+    if store.table_exists(spark, root, "dict"):
+        fresh = dictionary.new_entries_stacked(store.read_stacked_dictionaries(spark, root), rows)
+    else:
+        fresh = dictionary.build_dictionaries(rows, stacked=True)
+    store.write_dictionaries(fresh, root, "append")
+    coded = dictionary.encode(rows, store.read_dictionaries(spark, root))
     if store.table_exists(spark, root, "fact"):
         stored = store.read_fact(spark, root).filter(cond)
         coded = dedup.drop_seen(coded, stored, KEY7)
