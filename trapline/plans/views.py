@@ -83,14 +83,22 @@ def view_log(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
 # Per local day
 # ---------------------------------------------------------------------------
 
-def _daily(attacks: DataFrame, key: str | None, tz) -> DataFrame:
+def daily_stage(attacks: DataFrame, key: str | None, tz) -> DataFrame:
     keys = [key] if key else []
     df = attacks.select(T.day_number(T.local_seconds_of_ms(F.col("timestamp"), tz)).alias("_day"), *keys)
-    agg = df.groupBy("_day", *keys).agg(_count())
+    return df.groupBy("_day", *keys).agg(_count())
+
+
+def daily_from_stage(agg: DataFrame, key: str | None) -> DataFrame:
+    keys = [key] if key else []
     order = [F.desc("_day")] + ([F.desc("count"), F.asc(key)] if key else [])
     return agg.orderBy(*order).select(T.date_text_of_day("_day").alias("date"), *keys, "count")
 
 
+def _daily(attacks: DataFrame, key: str | None, tz) -> DataFrame:
+    return daily_from_stage(daily_stage(attacks, key, tz), key)
+
+
 def view_daily_attacks(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
     return _daily(attacks, None, tz)
 
@@ -138,14 +146,18 @@ def view_attacks_by_time(attacks: DataFrame, tz: str | None = None, **_) -> Data
 # Behaviour per source address
 # ---------------------------------------------------------------------------
 
-def view_attack_patterns_by_source(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
-    # stage 1: one row per (source, username, password); partial agg map-side
-    per_login = (
+def source_login_stage(attacks: DataFrame, tz: str | None = None) -> DataFrame:
+    """Stage 1 of E11: one row per (source, username, password) with its
+    count and first/last local second; partial aggregation map-side."""
+    return (
         _with_local(attacks.select("timestamp", "source_ip", "username", "password"), tz)
         .groupBy("source_ip", "username", "password")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_lsec").alias("_first"), F.max("_lsec").alias("_last"))
     )
-    # stage 2: distinct counts over the reduced rows
+
+
+def attack_patterns_from_stage(per_login: DataFrame) -> DataFrame:
+    """Stage 2 of E11: distinct counts over the reduced rows."""
     login = F.concat(F.col("username"), F.lit(LOGIN_SEPARATOR), F.col("password"))
     agg = per_login.groupBy("source_ip").agg(
         F.sum("_n").alias("total_attacks"),
@@ -166,11 +178,16 @@ def view_attack_patterns_by_source(attacks: DataFrame, tz: str | None = None, **
     )
 
 
+def view_attack_patterns_by_source(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
+    return attack_patterns_from_stage(source_login_stage(attacks, tz))
+
+
 # ---------------------------------------------------------------------------
 # Credential fingerprints
 # ---------------------------------------------------------------------------
 
-def _per_credential_source(attacks: DataFrame, tz) -> DataFrame:
+def credential_source_stage(attacks: DataFrame, tz: str | None = None) -> DataFrame:
+    """Stage 1 of E12/E16: one row per (username, password, source)."""
     return (
         _with_local(attacks.select("timestamp", "source_ip", "username", "password"), tz)
         .groupBy("username", "password", "source_ip")
@@ -199,15 +216,8 @@ def _fingerprint_order(df: DataFrame) -> DataFrame:
     )
 
 
-def view_credential_fingerprints(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
-    """Per credential: uses, distinct sources, first/last seen, source list.
-
-    The source list is the sorted, comma-joined set of distinct addresses.
-    Its length is part of the output, so a credential used from n addresses
-    holds an n-address list; stage 1 makes sure only distinct addresses (not
-    all rows) reach that group.
-    """
-    per_src = _per_credential_source(attacks, tz)
+def fingerprints_from_stage(per_src: DataFrame) -> DataFrame:
+    """Stage 2 of E12 over distinct (credential, source) rows."""
     ips = F.array_sort(F.collect_list("source_ip"))
     agg = per_src.groupBy("username", "password").agg(
         F.sum("_n").alias("total_uses"),
@@ -228,13 +238,19 @@ def view_credential_fingerprints(attacks: DataFrame, tz: str | None = None, **_)
     return _fingerprint_order(out).select(*_FINGERPRINT_COLUMNS)
 
 
-def report_new_credential_fingerprints_last_7_days(
-    attacks: DataFrame, as_of=None, tz: str | None = None, days: int = 7, **_
-) -> DataFrame:
-    """Fingerprints used from exactly one source ever, first seen within
-    ``days``. The filter needs full history, so it runs after the aggregate;
-    a single source means min(source) = the list, so no list is built."""
-    per_src = _per_credential_source(attacks, tz)
+def view_credential_fingerprints(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
+    """Per credential: uses, distinct sources, first/last seen, source list.
+
+    The source list is the sorted, comma-joined set of distinct addresses.
+    Its length is part of the output, so a credential used from n addresses
+    holds an n-address list; stage 1 makes sure only distinct addresses (not
+    all rows) reach that group.
+    """
+    return fingerprints_from_stage(credential_source_stage(attacks, tz))
+
+
+def new_fingerprints_from_stage(per_src: DataFrame, as_of=None, tz: str | None = None, days: int = 7) -> DataFrame:
+    """Stage 2 of E16: single-source credentials first seen within ``days``."""
     agg = per_src.groupBy("username", "password").agg(
         F.sum("_n").alias("total_uses"),
         F.count("source_ip").alias("distinct_source_ips"),
@@ -255,6 +271,15 @@ def report_new_credential_fingerprints_last_7_days(
     return _fingerprint_order(out).select(*_FINGERPRINT_COLUMNS)
 
 
+def report_new_credential_fingerprints_last_7_days(
+    attacks: DataFrame, as_of=None, tz: str | None = None, days: int = 7, **_
+) -> DataFrame:
+    """Fingerprints used from exactly one source ever, first seen within
+    ``days``. The filter needs full history, so it runs after the aggregate;
+    a single source means min(source) = the list, so no list is built."""
+    return new_fingerprints_from_stage(credential_source_stage(attacks, tz), as_of, tz, days)
+
+
 # ---------------------------------------------------------------------------
 # Top-n in a window ending now
 # ---------------------------------------------------------------------------
