@@ -1,0 +1,16 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over all cores when the input yields fewer
+    partitions than the cluster has cores (one small file, one row group, a
+    micro-batch of one file). A no-op for inputs that come in many splits, so
+    it adds no shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -17,17 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text, timefn
 from ..operators import dedup, filters
-from ..schema import KEY7, TEXT_COLUMNS
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over all cores when the scan yields fewer splits
-    than the cluster has cores (one small file, one row group). A no-op for
-    real inputs, which come in many splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+from ..operators.partitioning import spread
+from ..schema import KEY7
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
@@ -156,5 +147,4 @@ __all__ = [
     "attack_records",
     "request_log",
     "legacy_records",
-    "TEXT_COLUMNS",
 ]

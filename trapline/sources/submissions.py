@@ -28,7 +28,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text, timefn
 from ..operators import filters
-from ..schema import SUBMISSION, SUBMISSION_VARIANT, TEXT_COLUMNS, ZERO_TIME_MS
+from ..schema import SUBMISSION, SUBMISSION_VARIANT, ZERO_TIME_MS
 
 # raw request as a proxy logs it; extra columns pass through decode untouched
 REQUEST = StructType(
@@ -71,13 +71,11 @@ def _type_ok(v: F.Column, allowed: tuple[str, ...]) -> F.Column:
     return v.isNull() | _jtype(v).isin(*allowed, "VOID")
 
 
-def decode(requests: DataFrame, body_col: str = "body", tz: str | None = None):
-    """Decode bodies -> ``(accepted, rejected)``.
-
-    accepted: the other input columns + source_ip, destination_ip, username,
-    password, timestamp (epoch ms), evidence (as sent), attack_type, test_mode.
-    rejected: the other input columns + body + reason.
-    """
+def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None = None) -> DataFrame:
+    """Decode bodies into one frame: the other input columns, the body, the
+    decoded fields and ``reason`` (NULL when accepted). ``split`` turns it
+    into ``(accepted, rejected)``; persisting it first parses each body once
+    for both outputs."""
     passthrough = [c for c in requests.columns if c != body_col]
     body = F.col(body_col)
     stripped = F.btrim(body, F.lit(JSON_BLANKS))
@@ -114,27 +112,44 @@ def decode(requests: DataFrame, body_col: str = "body", tz: str | None = None):
         .when(~types_ok, F.lit(WRONG_TYPE))
         .when(millis.isNull(), F.lit(BAD_TIME))
     )
-    df = df.withColumn("_reason", reason)
 
     def text_value(name):
-        return F.coalesce(F.variant_get(jf[name], "$", "string"), F.lit(""))
+        return F.when(null_body, F.lit("")).otherwise(F.coalesce(F.variant_get(jf[name], "$", "string"), F.lit("")))
 
-    accepted = df.filter(F.col("_reason").isNull()).select(
+    return df.select(
         *passthrough,
-        *[F.when(null_body, F.lit("")).otherwise(text_value(c)).alias(c)
-          for c in ["source_ip", "destination_ip", "username", "password"]],
+        F.col(body_col),
+        *[text_value(c).alias(c) for c in ["source_ip", "destination_ip", "username", "password"]],
         F.when(null_body, F.lit(ZERO_TIME_MS)).otherwise(millis).alias("timestamp"),
-        *[F.when(null_body, F.lit("")).otherwise(text_value(c)).alias(c) for c in ["evidence", "attack_type"]],
+        *[text_value(c).alias(c) for c in ["evidence", "attack_type"]],
         F.when(null_body, F.lit(False))
         .otherwise(F.coalesce(F.variant_get(jf["test_mode"], "$", "boolean"), F.lit(False)))
         .alias("test_mode"),
+        reason.alias("reason"),
     )
-    rejected = df.filter(F.col("_reason").isNotNull()).select(
-        *passthrough, F.col(body_col), F.col("_reason").alias("reason")
-    )
+
+
+_DECODED = ["source_ip", "destination_ip", "username", "password", "timestamp", "evidence", "attack_type", "test_mode"]
+
+
+def split(tagged: DataFrame, body_col: str = "body"):
+    """``decode_tagged`` output -> ``(accepted, rejected)``."""
+    passthrough = [c for c in tagged.columns if c not in (*_DECODED, body_col, "reason")]
+    accepted = tagged.filter(F.col("reason").isNull()).select(*passthrough, *_DECODED)
+    rejected = tagged.filter(F.col("reason").isNotNull()).select(*passthrough, body_col, "reason")
     return accepted, rejected
 
 
+def decode(requests: DataFrame, body_col: str = "body", tz: str | None = None):
+    """Decode bodies -> ``(accepted, rejected)``.
+
+    accepted: the other input columns + source_ip, destination_ip, username,
+    password, timestamp (epoch ms), evidence (as sent), attack_type, test_mode.
+    rejected: the other input columns + body + reason.
+    """
+    return split(decode_tagged(requests, body_col, tz), body_col)
+
+
 def clean(accepted: DataFrame) -> DataFrame:
     """Drop test records and trim Unicode white space off the evidence."""
     out = filters.drop_test(accepted).withColumn("evidence", text.trim_unicode("evidence"))
@@ -155,7 +170,8 @@ __all__ = [
     "REQUEST",
     "read_submissions",
     "decode",
+    "decode_tagged",
+    "split",
     "clean",
     "ingest_requests",
-    "TEXT_COLUMNS",
 ]

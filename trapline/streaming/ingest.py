@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, dictionary
-from ..operators.filters import utc_date_text
+from ..operators.filters import only_submissions, utc_date_text
 from ..schema import KEY7
 from ..session import checkpoint_root
 from ..sources import store
-from ..sources.submissions import clean, decode, ingest_requests
+from ..sources.submissions import clean, decode_tagged, split
 
 # id layout: batch id in the high bits, then input partition, then row.
 _PART_BITS = 12
@@ -65,60 +65,74 @@ def _packed_id(batch_id: int) -> F.Column:
 def _history_filter(batch: DataFrame):
     """Filter on stored rows that can hold duplicates of ``batch``: its days,
     and inside each day its own time span. One small aggregate (a row per
-    day) comes back to the driver."""
+    day) comes back to the driver. Returns ``(filter, row count)``."""
     spans = (
         batch.groupBy(utc_date_text("timestamp").alias("d"))
-        .agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
+        .agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.count(F.lit(1)).alias("n"))
         .collect()
     )
     if not spans:
-        return None
+        return None, 0
+    rows = sum(r["n"] for r in spans)
     if len(spans) > MAX_DAYS_WITH_SPANS:
-        return F.col(store.DATE_COL).isin([r["d"] for r in spans])
+        return F.col(store.DATE_COL).isin([r["d"] for r in spans]), rows
     cond = F.lit(False)
     for r in spans:
         cond = cond | (
             (F.col(store.DATE_COL) == F.lit(r["d"]))
             & F.col("timestamp").between(F.lit(r["lo"]), F.lit(r["hi"]))
         )
-    return cond
+    return cond, rows
 
 
-def _decode_batch(batch: DataFrame, tz: str | None):
-    if "method" in batch.columns and "path" in batch.columns:
-        return ingest_requests(batch, tz)
-    accepted, rejected = decode(batch, tz=tz)
-    return clean(accepted), rejected
+# rows per written file of a micro-batch (fewer, larger files for small batches)
+ROWS_PER_FILE = 1_000_000
+
+
+def _write_partitions(spark: SparkSession, rows: int) -> int:
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, -(-rows // ROWS_PER_FILE)))
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = None,
                   coded: bool = False) -> None:
     """Handle one micro-batch (also usable on a plain batch DataFrame)."""
     spark = batch.sparkSession
-    records, rejected = _decode_batch(_arrival_ids(batch), tz)
-    rows = dedup.dedup_keep_first(records.select("_arrival", *KEY7), KEY7, "_arrival")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    batch = _arrival_ids(batch)
+    if "method" in batch.columns and "path" in batch.columns:
+        batch = only_submissions(batch).drop("method", "path")
+    # decode once; accepted and rejected rows are both read from this copy
+    tagged = decode_tagged(batch, tz=tz).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = None
     try:
+        accepted, rejected = split(tagged)
         # one folder per batch, overwritten on a rerun of the same batch
         (rejected.drop("_arrival")
          .write.mode("overwrite").parquet(f"{root}/rejected/batch_id={batch_id}"))
-        cond = _history_filter(rows)
+        records = clean(accepted)
+        rows = dedup.dedup_keep_first(records.select("_arrival", *KEY7), KEY7, "_arrival")
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        cond, n_rows = _history_filter(rows)
         if cond is None:
             return
+        parts = _write_partitions(spark, n_rows)
         if coded:
-            _append_coded(spark, rows, cond, batch_id, root)
+            _append_coded(spark, rows, cond, batch_id, root, parts)
         else:
             if store.table_exists(spark, root, "attacks"):
                 stored = store.read_attacks(spark, root).filter(cond)
                 rows_new = dedup.drop_seen(rows, stored, KEY7)
             else:
                 rows_new = rows
-            store.write_attacks(rows_new.withColumn("id", _packed_id(batch_id)), root, "append")
+            store.write_attacks(rows_new.withColumn("id", _packed_id(batch_id)), root, "append", parts)
     finally:
-        rows.unpersist()
+        if rows is not None:
+            rows.unpersist()
+        tagged.unpersist()
 
 
-def _append_coded(spark: SparkSession, rows: DataFrame, cond, batch_id: int, root: str) -> None:
+def _append_coded(spark: SparkSession, rows: DataFrame, cond, batch_id: int, root: str,
+                  parts: int | None = None) -> None:
     # dictionaries first (one write for all six); unused ids after a failure are harmless
     if store.table_exists(spark, root, "dict"):
         fresh = dictionary.new_entries_stacked(store.read_stacked_dictionaries(spark, root), rows)
@@ -129,7 +143,7 @@ def _append_coded(spark: SparkSession, rows: DataFrame, cond, batch_id: int, roo
     if store.table_exists(spark, root, "fact"):
         stored = store.read_fact(spark, root).filter(cond)
         coded = dedup.drop_seen(coded, stored, KEY7)
-    store.write_fact(coded.withColumn("id", _packed_id(batch_id)), root, "append")
+    store.write_fact(coded.withColumn("id", _packed_id(batch_id)), root, "append", parts)
 
 
 def start_ingest(source: DataFrame, root: str, checkpoint: str | None = None, tz: str | None = None,
