@@ -106,3 +106,11 @@ def test_cutoff_is_whole_seconds_and_open_above(spark):
     a = _attacks(spark, [cut - 1, cut, 1706700000000 + 86400000 * 30])  # last one after as_of
     r = views.report_top_attackers_last_24_hours(a, as_of=as_of).first()
     assert r["count"] == 2
+
+
+def test_first_last_seen_are_local_text_order(spark):
+    # 00:30 UTC shows 02:30 (summer time), 01:15 UTC shows 02:15 (winter time):
+    # first_seen is the smaller text, which belongs to the later instant
+    a = _attacks(spark, [1729989000000, 1729991700000])
+    r = views.view_attack_patterns_by_source(a, tz="Europe/Berlin").first()
+    assert (r["first_seen"], r["last_seen"]) == ("2024-10-27 02:15:00", "2024-10-27 02:30:00")
