@@ -55,3 +55,24 @@ def test_routing_keeps_post_add_attack_only(spark):
     df = spark.createDataFrame(
         [("POST", "/add_attack"), ("GET", "/add_attack"), ("POST", "/check_ip")], "method string, path string")
     assert filters.only_submissions(df).count() == 1
+
+
+def test_keys_match_ignoring_case_last_non_null_wins(spark):
+    bodies = ['{"SOURCE_IP":"a"}', '{"Source_Ip":"x","source_ip":"y"}', '{"source_ip":"a","source_ip":null}',
+              '{"attack_timestamp":"2024-01-02T03:04:05Z","attack_timestamp":"null"}']
+    acc, rej = _decode(spark, bodies)
+    assert not rej
+    assert [acc[i]["source_ip"] for i in range(3)] == ["a", "y", "a"]
+    assert acc[3]["timestamp"] == 1704164645000
+
+
+def test_any_wrong_occurrence_rejects(spark):
+    bodies = ['{"source_ip":5,"source_ip":"b"}', '{"attack_timestamp":"yesterday","attack_timestamp":"2024-01-02T03:04:05Z"}']
+    acc, rej = _decode(spark, bodies)
+    assert not acc and rej == {0: "wrong_field_type", 1: "bad_attack_timestamp"}
+
+
+def test_exact_key_mode(spark):
+    df = spark.createDataFrame([(0, '{"SOURCE_IP":"a"}')], "n int, body string")
+    acc, _ = submissions.decode(df, tz="UTC", key_case="exact")
+    assert acc.first()["source_ip"] == ""

@@ -11,11 +11,12 @@ strict rules of the original wire format:
   * the time must match one of two layouts (``functions.timefn``); absent,
     null or the text "null" give the zero time.
 
-Keys must match in letter case (the original also took other casings: a
-documented divergence).
+Keys match ignoring letter case; when a key repeats (in any casing), the
+last non-null value wins, and every occurrence must have the right type.
 
-One JSON parse per row: ``from_json`` with every field typed VARIANT yields
-both the value and its JSON type, so the type gate needs no second parse.
+One JSON parse per row: ``from_json`` into a map of VARIANT values keeps all
+keys in input order with their JSON types, so the type gate and the case
+folding need no second parse.
 Rejected rows keep their body and a reason and go to their own sink; a bad
 record never stops the flow.
 """
@@ -63,22 +64,22 @@ def read_submissions(spark: SparkSession, path: str, fmt: str = "text", streamin
     return reader.schema(schema).options(**options).format(fmt).load(path)
 
 
-def _jtype(v: F.Column) -> F.Column:
-    return F.schema_of_variant(v)
+def _type_ok(v: F.Column, allowed: tuple[str, ...]) -> F.Column:
+    return v.isNull() | F.schema_of_variant(v).isin(*allowed, "VOID")
 
 
-def _type_ok(v: F.Column, allowed: tuple[str, ...]) -> F.Column:
-    return v.isNull() | _jtype(v).isin(*allowed, "VOID")
+def _text_of(v: F.Column) -> F.Column:
+    return F.variant_get(v, "$", "string")
 
 
-def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None = None) -> DataFrame:
-    """Decode bodies into one frame: the other input columns, the body, the
-    decoded fields and ``reason`` (NULL when accepted). ``split`` turns it
-    into ``(accepted, rejected)``; persisting it first parses each body once
-    for both outputs."""
-    passthrough = [c for c in requests.columns if c != body_col]
-    body = F.col(body_col)
-    stripped = F.btrim(body, F.lit(JSON_BLANKS))
+def _is_null_time(v: F.Column) -> F.Column:
+    """JSON null or the text "null": the time decoder leaves the value as is."""
+    return v.isNull() | F.is_variant_null(v) | (_text_of(v) == F.lit("null"))
+
+
+def _parse_exact(df: DataFrame, body: F.Column, tz):
+    """One struct parse; keys must match in letter case; a repeated key
+    keeps its last value."""
     j = F.from_json(
         body,
         SUBMISSION_VARIANT,
@@ -87,34 +88,80 @@ def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None =
     # The parse sits behind a generator (one element per row, NULL kept):
     # filters on fields of the parse are then not rewritten below it, which
     # would inline one full JSON parse per field reference.
-    df = requests.select(*passthrough, body.alias(body_col), stripped.alias("_s"), F.explode(F.array(j)).alias("_j"))
-    jf = {f.name: F.col("_j")[f.name] for f in SUBMISSION.fields}
-
-    null_body = F.col("_s") == F.lit("null")
-    is_object = (
-        F.col("_j").isNotNull()
-        & F.col("_j._corrupt_record").isNull()
-        & F.col("_s").startswith("{")
-        & F.col("_s").endswith("}")
-    )
+    df = df.withColumn("_p", F.explode(F.array(j)))
+    jf = {f.name: F.col("_p")[f.name] for f in SUBMISSION.fields}
+    parsed = F.col("_p").isNotNull() & F.col("_p._corrupt_record").isNull()
     types_ok = F.lit(True)
     for name in _TEXT_FIELDS + ["attack_timestamp"]:
         types_ok = types_ok & _type_ok(jf[name], ("STRING",))
     types_ok = types_ok & _type_ok(jf["test_mode"], ("BOOLEAN",))
+    t = jf["attack_timestamp"]
+    millis = F.when(_is_null_time(t), F.lit(ZERO_TIME_MS)).otherwise(timefn.parse_flexible_time(_text_of(t), tz))
+    return df, parsed, types_ok, millis.isNotNull(), millis, jf
+
+
+def _parse_folded(df: DataFrame, body: F.Column, tz):
+    """One parse into the list of (key, value) pairs in input order. A field
+    takes the last non-null value among keys equal to its name ignoring
+    letter case; every occurrence must have the right JSON type and every
+    non-null time must parse (as the original decoder reads them in turn)."""
+    m = F.from_json(body, "map<string,variant>", {"mode": "PERMISSIVE"})
+    folded = F.transform(
+        F.map_entries(m), lambda e: F.struct(F.lower(F.upper(e["key"])).alias("k"), e["value"].alias("v"))
+    )
+    df = df.withColumn("_p", F.explode(F.array(folded)))  # parse once, see _parse_exact
+    kv = F.col("_p")
+
+    def occurrences(name):
+        return F.filter(kv, lambda e: e["k"] == F.lit(name))
 
-    time_text = F.variant_get(jf["attack_timestamp"], "$", "string")
-    zero_time = time_text.isNull() | (time_text == F.lit("null"))
-    millis = F.when(zero_time, F.lit(ZERO_TIME_MS)).otherwise(timefn.parse_flexible_time(time_text, tz))
+    def last(arr):
+        return F.try_element_at(arr, F.lit(-1))["v"]
 
+    def all_typed(name, allowed):
+        return F.forall(occurrences(name), lambda e: F.schema_of_variant(e["v"]).isin(*allowed, "VOID"))
+
+    jf = {}
+    for name in _TEXT_FIELDS + ["test_mode"]:
+        jf[name] = last(F.filter(occurrences(name), lambda e: ~F.is_variant_null(e["v"])))
+    types_ok = F.lit(True)
+    for name in _TEXT_FIELDS + ["attack_timestamp"]:
+        types_ok = types_ok & all_typed(name, ("STRING",))
+    types_ok = types_ok & all_typed("test_mode", ("BOOLEAN",))
+    times = F.filter(occurrences("attack_timestamp"), lambda e: ~_is_null_time(e["v"]))
+    times_ok = F.forall(times, lambda e: timefn.parse_flexible_time(_text_of(e["v"]), tz).isNotNull())
+    t = last(times)
+    millis = F.when(t.isNull(), F.lit(ZERO_TIME_MS)).otherwise(timefn.parse_flexible_time(_text_of(t), tz))
+    return df, kv.isNotNull(), types_ok, times_ok, millis, jf
+
+
+def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None = None,
+                  key_case: str = "fold") -> DataFrame:
+    """Decode bodies into one frame: the other input columns, the body, the
+    decoded fields and ``reason`` (NULL when accepted). ``split`` turns it
+    into ``(accepted, rejected)``; persisting it first parses each body once
+    for both outputs.
+
+    ``key_case='fold'`` (default) matches keys ignoring letter case, like the
+    original decoder; ``'exact'`` needs exact key names (a little cheaper).
+    """
+    passthrough = [c for c in requests.columns if c != body_col]
+    body = F.col(body_col)
+    df = requests.select(*passthrough, body.alias(body_col), F.btrim(body, F.lit(JSON_BLANKS)).alias("_s"))
+    parse = _parse_folded if key_case == "fold" else _parse_exact
+    df, parsed, types_ok, times_ok, millis, jf = parse(df, body, tz)
+
+    null_body = F.col("_s") == F.lit("null")
+    is_object = parsed & F.col("_s").startswith("{") & F.col("_s").endswith("}")
     reason = (
         F.when(null_body, F.lit(None).cast("string"))
         .when(~is_object, F.lit(NOT_JSON_OBJECT))
         .when(~types_ok, F.lit(WRONG_TYPE))
-        .when(millis.isNull(), F.lit(BAD_TIME))
+        .when(~times_ok | millis.isNull(), F.lit(BAD_TIME))
     )
 
     def text_value(name):
-        return F.when(null_body, F.lit("")).otherwise(F.coalesce(F.variant_get(jf[name], "$", "string"), F.lit("")))
+        return F.when(null_body, F.lit("")).otherwise(F.coalesce(_text_of(jf[name]), F.lit("")))
 
     return df.select(
         *passthrough,
@@ -140,14 +187,14 @@ def split(tagged: DataFrame, body_col: str = "body"):
     return accepted, rejected
 
 
-def decode(requests: DataFrame, body_col: str = "body", tz: str | None = None):
+def decode(requests: DataFrame, body_col: str = "body", tz: str | None = None, key_case: str = "fold"):
     """Decode bodies -> ``(accepted, rejected)``.
 
     accepted: the other input columns + source_ip, destination_ip, username,
     password, timestamp (epoch ms), evidence (as sent), attack_type, test_mode.
     rejected: the other input columns + body + reason.
     """
-    return split(decode_tagged(requests, body_col, tz), body_col)
+    return split(decode_tagged(requests, body_col, tz, key_case), body_col)
 
 
 def clean(accepted: DataFrame) -> DataFrame:

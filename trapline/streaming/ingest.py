@@ -50,6 +50,8 @@ def _arrival_ids(df: DataFrame) -> DataFrame:
 
 
 def _packed_id(batch_id: int) -> F.Column:
+    if not 0 <= batch_id < (1 << (63 - _PART_BITS - _ROW_BITS)):
+        raise ValueError(f"batch id {batch_id} outside the id layout")
     arrival = F.col("_arrival")
     part = F.shiftright(arrival, 33)
     row = arrival - F.shiftleft(part, 33)
