@@ -27,6 +27,11 @@ CASES = [
     ("2024-13-01T00:00:00Z", None),
     ("2024-01-01T24:00:00Z", None),
     ("2024-01-01T00:00:60Z", None),
+    ("2024-01-02T3:04:05Z", 1704164645000),
+    ("2024-01-02T03:04:05,5Z", 1704164645500),
+    ("2024-01-02T03:04:05,5", 1704164645500),
+    ("2024-01-02T03:4:05Z", None),
+    ("2024-1-02T03:04:05Z", None),
 ]
 
 

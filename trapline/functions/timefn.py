@@ -176,8 +176,11 @@ PREFILTER_MARGIN_SECONDS = 3 * SECONDS_PER_DAY
 # fixed values: the two accepted spellings of a submission time
 #   RFC 3339 with optional fraction and Z or +-hh:mm offset
 #   the same without zone (read as local time in tz)
-FLEX_TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"
+# The hour may have one digit and the fraction may follow a comma, as the
+# original's lenient parser allows.
+FLEX_TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{1,2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})?$"
 _ZONED = r"(Z|[+-]\d{2}:\d{2})$"
+_COMMA_FRACTION = r"^(\d{4}-\d{2}-\d{2}T\d{1,2}:\d{2}:\d{2}),(\d)"
 
 
 def parse_flexible_time(text, tz: str | None = None) -> Column:
@@ -190,7 +193,8 @@ def parse_flexible_time(text, tz: str | None = None) -> Column:
     """
     tz = resolve_tz(tz)
     t = _col(text)
+    t_dot = F.when(t.contains(","), F.regexp_replace(t, _COMMA_FRACTION, "$1.$2")).otherwise(t)
     zoned = t.rlike(_ZONED)
-    spelled = F.when(zoned, t).otherwise(F.concat(t, F.lit(" " + tz)))
+    spelled = F.when(zoned, t_dot).otherwise(F.concat(t_dot, F.lit(" " + tz)))
     instant = spelled.try_cast("timestamp")
     return F.when(t.rlike(FLEX_TIME_PATTERN), F.unix_millis(instant))
