@@ -53,3 +53,12 @@ def test_new_fingerprints_need_single_source_ever(spark):
     got = [(r["username"], r["source_ips"]) for r in
            views.report_new_credential_fingerprints_last_7_days(a, as_of=now, tz="UTC").collect()]
     assert got == [("new", "x")]
+
+
+def test_source_list_order_across_prefix_parts(spark):
+    ips = ["1.2.3.4", "1.2.3.45", "10.0.0.1", "1.2.30.1", "9.9.9.9", "100.1.1.1", "1", "1.2", "::1", "fe80::1",
+           "1.2.3.4"]
+    a = _attacks(spark, [(1000 * i, ip, "u", "p") for i, ip in enumerate(ips)])
+    r = views.view_credential_fingerprints(a, tz="UTC").first()
+    assert r["source_ips"] == ",".join(sorted(set(ips)))
+    assert r["distinct_source_ips"] == len(set(ips)) and r["total_uses"] == len(ips)

@@ -216,15 +216,32 @@ def _fingerprint_order(df: DataFrame) -> DataFrame:
     )
 
 
+# Source lists are built per (credential, address prefix) first: a prefix of
+# the text keeps binary order (parts sorted by prefix, joined in that order,
+# equal the whole list sorted), and a credential used from millions of
+# addresses is sorted and joined in many tasks instead of one.
+LIST_PREFIX_CHARS = 7
+
+
 def fingerprints_from_stage(per_src: DataFrame) -> DataFrame:
     """Stage 2 of E12 over distinct (credential, source) rows."""
-    ips = F.array_sort(F.collect_list("source_ip"))
-    agg = per_src.groupBy("username", "password").agg(
+    part = F.array_sort(F.collect_list("source_ip"))
+    per_prefix = per_src.groupBy(
+        "username", "password", F.substring("source_ip", 1, LIST_PREFIX_CHARS).alias("_prefix")
+    ).agg(
+        F.sum("_n").alias("_n"),
+        F.count("source_ip").alias("_d"),
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
+        F.when(F.size(part) > 0, F.array_join(part, ",")).alias("_part"),
+    )
+    parts = F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("_prefix", "_part"))))
+    agg = per_prefix.groupBy("username", "password").agg(
         F.sum("_n").alias("total_uses"),
-        F.count("source_ip").alias("distinct_source_ips"),
+        F.sum("_d").alias("distinct_source_ips"),
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
-        ips.alias("_ips"),
+        parts.alias("_parts"),
     )
     out = agg.select(
         "username",
@@ -233,7 +250,7 @@ def fingerprints_from_stage(per_src: DataFrame) -> DataFrame:
         "distinct_source_ips",
         T.clock_text("_first").alias("first_seen"),
         T.clock_text("_last").alias("last_seen"),
-        F.when(F.size("_ips") > 0, F.array_join("_ips", ",")).alias("source_ips"),
+        F.when(F.size("_parts") > 0, F.array_join(F.transform("_parts", lambda x: x["_part"]), ",")).alias("source_ips"),
     )
     return _fingerprint_order(out).select(*_FINGERPRINT_COLUMNS)
 
