@@ -56,3 +56,17 @@ def test_coded_stream_round_trips(spark):
         assert d.count() == d.select("value").distinct().count() == d.select("id").distinct().count()
     got = sorted(map(tuple, dictionary.decode(fact.drop("date"), dicts).select(*KEY7).collect()))
     assert got == _expected(spark)
+
+
+def test_log_lines_of_stored_rows(spark):
+    src = _stage(spark, files=2)
+    for coded in (False, True):
+        root = scratch_path(spark, "test-log")
+        schema = spark.read.parquet(src).schema
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = ingest.start_ingest(stream, root, checkpoint=root + "-ck", tz="UTC", coded=coded, log_lines=True)
+        q.awaitTermination()
+        assert q.exception() is None
+        lines = spark.read.text(root + "/log").collect()
+        assert len(lines) == len(_expected(spark))
+        assert all(" | From: " in r["value"] and " | Pass: " in r["value"] for r in lines)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ..operators import dedup, dictionary
 from ..operators.filters import only_submissions, utc_date_text
 from ..schema import KEY7
+from ..functions.text import log_line
 from ..session import checkpoint_root
 from ..sources import store
 from ..sources.submissions import clean, decode_tagged, split
@@ -96,9 +97,17 @@ def _write_partitions(spark: SparkSession, rows: int) -> int:
     return max(1, min(cap, -(-rows // ROWS_PER_FILE)))
 
 
+def _write_log(rows_new: DataFrame, batch_id: int, root: str, tz: str | None) -> None:
+    """One text line per newly stored record (one folder per batch)."""
+    line = log_line("timestamp", "source_ip", "username", "password", tz=tz).alias("value")
+    rows_new.orderBy("_arrival").select(line).write.mode("overwrite").text(f"{root}/log/batch_id={batch_id}")
+
+
 def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = None,
-                  coded: bool = False) -> None:
-    """Handle one micro-batch (also usable on a plain batch DataFrame)."""
+                  coded: bool = False, log_lines: bool = False) -> None:
+    """Handle one micro-batch (also usable on a plain batch DataFrame).
+    With ``log_lines``, the records stored by this batch are also written as
+    readable lines to ``<root>/log/batch_id=N``."""
     spark = batch.sparkSession
     batch = _arrival_ids(batch)
     if "method" in batch.columns and "path" in batch.columns:
@@ -118,14 +127,19 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
         if cond is None:
             return
         parts = _write_partitions(spark, n_rows)
+        log = (lambda new: _write_log(new, batch_id, root, tz)) if log_lines else None
         if coded:
-            _append_coded(spark, rows, cond, batch_id, root, parts)
+            _append_coded(spark, rows, cond, batch_id, root, parts, log)
         else:
             if store.table_exists(spark, root, "attacks"):
                 stored = store.read_attacks(spark, root).filter(cond)
                 rows_new = dedup.drop_seen(rows, stored, KEY7)
             else:
                 rows_new = rows
+            # the log goes first: appending to the store refreshes every plan
+            # reading it, so the new rows could not be recomputed afterwards
+            if log:
+                log(rows_new)
             store.write_attacks(rows_new.withColumn("id", _packed_id(batch_id)), root, "append", parts)
     finally:
         if rows is not None:
@@ -134,23 +148,30 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
 
 
 def _append_coded(spark: SparkSession, rows: DataFrame, cond, batch_id: int, root: str,
-                  parts: int | None = None) -> None:
+                  parts: int | None = None, log=None) -> None:
+    """Append a batch to the coded store; ``log`` gets the new rows first."""
     # dictionaries first (one write for all six); unused ids after a failure are harmless
     if store.table_exists(spark, root, "dict"):
         fresh = dictionary.new_entries_stacked(store.read_stacked_dictionaries(spark, root), rows)
     else:
         fresh = dictionary.build_dictionaries(rows, stacked=True)
     store.write_dictionaries(fresh, root, "append")
-    coded = dictionary.encode(rows, store.read_dictionaries(spark, root))
+    dicts = store.read_dictionaries(spark, root)
+    rows_new = rows
     if store.table_exists(spark, root, "fact"):
+        # duplicates are found on ids: encode, anti-join, keep the values too
         stored = store.read_fact(spark, root).filter(cond)
-        coded = dedup.drop_seen(coded, stored, KEY7)
+        unseen = dedup.drop_seen(dictionary.encode(rows, dicts), stored, KEY7).select("_arrival")
+        rows_new = rows.join(unseen, "_arrival", "left_semi")
+    if log:
+        log(rows_new)
+    coded = dictionary.encode(rows_new, dicts)
     store.write_fact(coded.withColumn("id", _packed_id(batch_id)), root, "append", parts)
 
 
 def start_ingest(source: DataFrame, root: str, checkpoint: str | None = None, tz: str | None = None,
                  coded: bool = False, available_now: bool = True, processing_time: str | None = None,
-                 query_name: str | None = None):
+                 query_name: str | None = None, log_lines: bool = False):
     """Start the exact ingest stream. ``source`` is a streaming DataFrame of
     raw bodies (column ``body``) or requests (``method``, ``path``, ``body``).
     The checkpoint defaults to a folder below the shared checkpoint folder."""
@@ -158,7 +179,7 @@ def start_ingest(source: DataFrame, root: str, checkpoint: str | None = None, tz
     if checkpoint is None:
         checkpoint = checkpoint_root(spark).rstrip("/") + "/trapline-ingest-" + root.strip("/").replace("/", "_")
     writer = source.writeStream.foreachBatch(
-        lambda df, bid: process_batch(df, bid, root, tz, coded)
+        lambda df, bid: process_batch(df, bid, root, tz, coded, log_lines)
     ).option("checkpointLocation", checkpoint)
     if query_name:
         writer = writer.queryName(query_name)
