@@ -77,7 +77,7 @@ def _is_null_time(v: F.Column) -> F.Column:
     return v.isNull() | F.is_variant_null(v) | (_text_of(v) == F.lit("null"))
 
 
-def _parse_exact(df: DataFrame, body: F.Column, tz):
+def _parse_exact(df: DataFrame, body: F.Column, tz, name: str = "_pe"):
     """One struct parse; keys must match in letter case; a repeated key
     keeps its last value."""
     j = F.from_json(
@@ -88,9 +88,10 @@ def _parse_exact(df: DataFrame, body: F.Column, tz):
     # The parse sits behind a generator (one element per row, NULL kept):
     # filters on fields of the parse are then not rewritten below it, which
     # would inline one full JSON parse per field reference.
-    df = df.withColumn("_p", F.explode(F.array(j)))
-    jf = {f.name: F.col("_p")[f.name] for f in SUBMISSION.fields}
-    parsed = F.col("_p").isNotNull() & F.col("_p._corrupt_record").isNull()
+    df = df.withColumn(name, F.explode(F.array(j)))
+    p = F.col(name)
+    jf = {f.name: p[f.name] for f in SUBMISSION.fields}
+    parsed = p.isNotNull() & p["_corrupt_record"].isNull()
     types_ok = F.lit(True)
     for name in _TEXT_FIELDS + ["attack_timestamp"]:
         types_ok = types_ok & _type_ok(jf[name], ("STRING",))
@@ -100,17 +101,30 @@ def _parse_exact(df: DataFrame, body: F.Column, tz):
     return df, parsed, types_ok, millis.isNotNull(), millis, jf
 
 
-def _parse_folded(df: DataFrame, body: F.Column, tz):
-    """One parse into the list of (key, value) pairs in input order. A field
+_FIELD_NAMES = [f.name for f in SUBMISSION.fields]
+
+
+def _fields_direct(m: F.Column, tz):
+    """Fields of a parsed object whose field keys are exact and unique:
+    direct map lookups."""
+    jf = {n: m[n] for n in _FIELD_NAMES}
+    types_ok = F.lit(True)
+    for name in _TEXT_FIELDS + ["attack_timestamp"]:
+        types_ok = types_ok & _type_ok(jf[name], ("STRING",))
+    types_ok = types_ok & _type_ok(jf["test_mode"], ("BOOLEAN",))
+    t = jf["attack_timestamp"]
+    millis = F.when(_is_null_time(t), F.lit(ZERO_TIME_MS)).otherwise(timefn.parse_flexible_time(_text_of(t), tz))
+    return types_ok, millis.isNotNull(), millis, jf
+
+
+def _fields_folded(m: F.Column, tz):
+    """Fields of a parsed object read like the original decoder: a field
     takes the last non-null value among keys equal to its name ignoring
     letter case; every occurrence must have the right JSON type and every
-    non-null time must parse (as the original decoder reads them in turn)."""
-    m = F.from_json(body, "map<string,variant>", {"mode": "PERMISSIVE"})
-    folded = F.transform(
+    non-null time must parse (it reads them in turn)."""
+    kv = F.transform(
         F.map_entries(m), lambda e: F.struct(F.lower(F.upper(e["key"])).alias("k"), e["value"].alias("v"))
     )
-    df = df.withColumn("_p", F.explode(F.array(folded)))  # parse once, see _parse_exact
-    kv = F.col("_p")
 
     def occurrences(name):
         return F.filter(kv, lambda e: e["k"] == F.lit(name))
@@ -132,7 +146,37 @@ def _parse_folded(df: DataFrame, body: F.Column, tz):
     times_ok = F.forall(times, lambda e: timefn.parse_flexible_time(_text_of(e["v"]), tz).isNotNull())
     t = last(times)
     millis = F.when(t.isNull(), F.lit(ZERO_TIME_MS)).otherwise(timefn.parse_flexible_time(_text_of(t), tz))
-    return df, kv.isNotNull(), types_ok, times_ok, millis, jf
+    return types_ok, times_ok, millis, jf
+
+
+def _parse_map(df: DataFrame, body: F.Column, tz, name: str = "_pm"):
+    """One parse into a map of VARIANT values (all keys kept, in input
+    order, repeats included). Rows whose field keys are exact and unique
+    (nearly all) read fields by lookup; the others take the folded reading."""
+    m = F.from_json(body, "map<string,variant>", {"mode": "PERMISSIVE"})
+    df = df.withColumn(name, F.explode(F.array(m)))  # parse once, see _parse_exact
+    mc = F.col(name)
+    names = F.array(*[F.lit(n) for n in _FIELD_NAMES])
+    keys = F.map_keys(mc)
+    exact_keys = F.filter(keys, lambda k: F.array_contains(names, k))
+    field_keys = F.filter(keys, lambda k: F.array_contains(names, F.lower(F.upper(k))))
+    df = df.withColumn(
+        "_fold",
+        F.coalesce(
+            (F.size(field_keys) != F.size(exact_keys)) | (F.size(exact_keys) != F.size(F.array_distinct(exact_keys))),
+            F.lit(False),
+        ),
+    )
+    fold = F.col("_fold")
+    direct = _fields_direct(mc, tz)
+    folded = _fields_folded(mc, tz)
+
+    def pick(a, b):
+        return F.when(fold, b).otherwise(a)
+
+    types_ok, times_ok, millis = (pick(a, b) for a, b in zip(direct[:3], folded[:3]))
+    jf = {k: pick(direct[3][k], folded[3][k]) for k in folded[3]}
+    return df, mc.isNotNull(), types_ok, times_ok, millis, jf
 
 
 def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None = None,
@@ -143,12 +187,12 @@ def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None =
     for both outputs.
 
     ``key_case='fold'`` (default) matches keys ignoring letter case, like the
-    original decoder; ``'exact'`` needs exact key names (a little cheaper).
+    original decoder; ``'exact'`` needs exact key names.
     """
     passthrough = [c for c in requests.columns if c != body_col]
     body = F.col(body_col)
     df = requests.select(*passthrough, body.alias(body_col), F.btrim(body, F.lit(JSON_BLANKS)).alias("_s"))
-    parse = _parse_folded if key_case == "fold" else _parse_exact
+    parse = _parse_map if key_case == "fold" else _parse_exact
     df, parsed, types_ok, times_ok, millis, jf = parse(df, body, tz)
 
     null_body = F.col("_s") == F.lit("null")
