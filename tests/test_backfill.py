@@ -1,6 +1,5 @@
 """Backfill of the flat table: no NULLs, no repeats, trimming merges rows."""
 
-from pyspark.sql import functions as F
 
 from trapline.plans import backfill
 from trapline.schema import LEGACY

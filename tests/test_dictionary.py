@@ -1,7 +1,6 @@
 """Dictionary coding: dense ordered ids, round trip, insert-or-ignore."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from trapline.operators import dedup, dictionary
 

@@ -2,7 +2,6 @@
 
 from collections import Counter
 
-from pyspark.sql import functions as F
 
 from trapline.operators import dedup
 from trapline.plans import views

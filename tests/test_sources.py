@@ -1,10 +1,8 @@
 """Sources and SQL access: raw text bodies, stored layout, registered views."""
 
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from trapline.plans import catalog, views
-from trapline.schema import KEY7
 from trapline.session import scratch_path
 from trapline.sources import derived, store, submissions
 

@@ -1,6 +1,5 @@
 """Streaming ingest: stream result equals batch dedup; restarts add nothing."""
 
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from trapline.schema import KEY7

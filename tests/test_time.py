@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from trapline.functions import timefn as T
 from trapline.plans import views
