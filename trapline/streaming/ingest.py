@@ -65,27 +65,37 @@ def _packed_id(batch_id: int) -> F.Column:
     return F.when(too_big, F.raise_error(F.lit("micro-batch too large for id layout"))).otherwise(packed)
 
 
-def _history_filter(batch: DataFrame):
-    """Filter on stored rows that can hold duplicates of ``batch``: its days,
-    and inside each day its own time span. One small aggregate (a row per
-    day) comes back to the driver. Returns ``(filter, row count)``."""
-    spans = (
-        batch.groupBy(utc_date_text("timestamp").alias("d"))
-        .agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.count(F.lit(1)).alias("n"))
+def _batch_stats(tagged: DataFrame):
+    """One aggregate over a decoded batch (a row per day, back to the
+    driver): the filter on stored rows that can hold duplicates of the
+    batch's records (their days, and inside each day their own time span),
+    the number of records, and the number of rejected bodies. Dedup inside
+    the batch changes neither the days nor the spans."""
+    stored = F.col("reason").isNull() & ~F.col("test_mode")
+    stats = (
+        tagged.select(
+            F.when(stored, utc_date_text("timestamp")).alias("d"),
+            F.when(stored, F.col("timestamp")).alias("t"),
+            F.col("reason").isNotNull().cast("long").alias("rej"),
+        )
+        .groupBy("d")
+        .agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("t").alias("n"), F.sum("rej").alias("rej"))
         .collect()
     )
-    if not spans:
-        return None, 0
+    rejected = sum(r["rej"] or 0 for r in stats)
+    spans = [r for r in stats if r["d"] is not None]
     rows = sum(r["n"] for r in spans)
+    if not spans:
+        return None, 0, rejected
     if len(spans) > MAX_DAYS_WITH_SPANS:
-        return F.col(store.DATE_COL).isin([r["d"] for r in spans]), rows
+        return F.col(store.DATE_COL).isin([r["d"] for r in spans]), rows, rejected
     cond = F.lit(False)
     for r in spans:
         cond = cond | (
             (F.col(store.DATE_COL) == F.lit(r["d"]))
             & F.col("timestamp").between(F.lit(r["lo"]), F.lit(r["hi"]))
         )
-    return cond, rows
+    return cond, rows, rejected
 
 
 # rows per written file of a micro-batch (fewer, larger files for small batches)
@@ -116,16 +126,17 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
     tagged = decode_tagged(batch, tz=tz).persist(StorageLevel.MEMORY_AND_DISK)
     rows = None
     try:
+        cond, n_rows, n_rejected = _batch_stats(tagged)
         accepted, rejected = split(tagged)
-        # one folder per batch, overwritten on a rerun of the same batch
-        (rejected.drop("_arrival")
-         .write.mode("overwrite").parquet(f"{root}/rejected/batch_id={batch_id}"))
-        records = clean(accepted)
-        rows = dedup.dedup_keep_first(records.select("_arrival", *KEY7), KEY7, "_arrival")
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        cond, n_rows = _history_filter(rows)
+        if n_rejected:
+            # one folder per batch, overwritten on a rerun of the same batch
+            (rejected.drop("_arrival")
+             .write.mode("overwrite").parquet(f"{root}/rejected/batch_id={batch_id}"))
         if cond is None:
             return
+        rows = dedup.dedup_keep_first(clean(accepted).select("_arrival", *KEY7), KEY7, "_arrival")
+        if coded or log_lines:
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         parts = _write_partitions(spark, n_rows)
         log = (lambda new: _write_log(new, batch_id, root, tz)) if log_lines else None
         if coded:
