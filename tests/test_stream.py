@@ -69,3 +69,20 @@ def test_log_lines_of_stored_rows(spark):
         lines = spark.read.text(root + "/log").collect()
         assert len(lines) == len(_expected(spark))
         assert all(" | From: " in r["value"] and " | Pass: " in r["value"] for r in lines)
+
+
+def test_batch_over_many_days_is_idempotent(spark):
+    # 100 distinct days: the history filter falls back to the day list
+    bodies = []
+    for i in range(200):
+        day = 1 + i % 100
+        ts = f"2023-{1 + (day - 1) // 28:02d}-{1 + (day - 1) % 28:02d}T10:00:{i % 60:02d}Z"
+        bodies.append((i, '{"source_ip":"10.0.0.%d","username":"u","password":"p","attack_timestamp":"%s"}' % (i % 3, ts)))
+    batch = spark.createDataFrame(bodies, "n long, body string")
+    root = scratch_path(spark, "test-days")
+    ingest.process_batch(batch, 0, root, tz="UTC")
+    first = store.read_attacks(spark, root).count()
+    ingest.process_batch(batch, 1, root, tz="UTC")
+    again = store.read_attacks(spark, root)
+    assert first == again.count() == batch.count()
+    assert again.select("date").distinct().count() == 100
