@@ -158,12 +158,16 @@ def _parse_map(df: DataFrame, body: F.Column, tz, name: str = "_pm"):
     mc = F.col(name)
     names = F.array(*[F.lit(n) for n in _FIELD_NAMES])
     keys = F.map_keys(mc)
-    exact_keys = F.filter(keys, lambda k: F.array_contains(names, k))
-    field_keys = F.filter(keys, lambda k: F.array_contains(names, F.lower(F.upper(k))))
+    # keys folded in one string operation (no per-key lambda): a repeated key
+    # (in any casing) or a field key only present in another casing sends the
+    # row to the folded reading; other repeats are harmless false positives
+    sep = "\u0001"
+    folded_keys = F.split(F.lower(F.upper(F.array_join(keys, sep))), sep)
     df = df.withColumn(
         "_fold",
         F.coalesce(
-            (F.size(field_keys) != F.size(exact_keys)) | (F.size(exact_keys) != F.size(F.array_distinct(exact_keys))),
+            (F.size(F.array_distinct(folded_keys)) != F.size(folded_keys))
+            | (F.size(F.array_intersect(folded_keys, names)) != F.size(F.array_intersect(keys, names))),
             F.lit(False),
         ),
     )
