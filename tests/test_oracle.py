@@ -6,12 +6,14 @@ from conftest import SF_SMALL
 
 import __spark_entry__ as E
 from tools.oracle_check import compare
+from trapline.plans import catalog
 
-NAMES = sorted(E.queries())
+NAMES = sorted(catalog.queries())
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
+    assert set(NAMES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
