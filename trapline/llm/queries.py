@@ -11,12 +11,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from ..session import scratch_path
+from . import sharding, simhash, warc
+from .shipping import ship_package
 
 SHARDS = 8
 
 
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages
+), k AS (
+  SELECT payload, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY payload
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.payload) AS payload_digest,
+       CASE WHEN keeper IS NULL OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keeper IS NULL OR page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM p LEFT JOIN k USING (payload)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,9 +48,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a WARC archive and read back."""
+    root = scratch_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), root)
+    return warc.read(spark, root, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and class."""
+    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding}
+    return {
+        "op1_sharding": op1_sharding,
+        "op3_warc": op3_warc,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
