@@ -6,13 +6,14 @@ returns the columns of its contract.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import sharding, simhash, warc
+from . import bpe, sharding, simhash, warc
 from .shipping import ship_package
 
 SHARDS = 8
@@ -61,11 +62,34 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def piece_model() -> str:
+    """The vocabulary file: ``TRAPLINE_PIECE_MODEL``, or the installed public one."""
+    if found := os.environ.get("TRAPLINE_PIECE_MODEL"):
+        return found
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def token_digests(docs: DataFrame, model: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of each row's ids and of the text decoded from them."""
+    encoded = bpe.encode(docs.select("doc_id", "text"), model)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    rows = bpe.decode(encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), "ids"), model)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the 32k piece vocabulary and decoded again."""
+    return token_digests(_table(spark, sf_dir, "documents"), piece_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op3_warc": op3_warc,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 

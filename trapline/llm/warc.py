@@ -96,7 +96,7 @@ class _Writer:
         if self.out is None:
             self.name = f"part-{self.part:05d}-{self.seq:05d}.warc.gz"
             self.fs.create_dir(self.temp, recursive=True)
-            self.out, self.sha, self.bytes, self.records = self.fs.open_output_stream(f"{self.temp}/{self.name}"), hashlib.sha1(), 0, 0
+            self.out, self.sha, self.bytes, self.records = self.fs.open_output_stream(f"{self.temp}/{self.name}", compression=None), hashlib.sha1(), 0, 0
             info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(self.name, "")), ("WARC-Date", DATE), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")]
             self._put(_record(info, b"format: WARC File Format 1.1\r\n"))
         self._put(record)
