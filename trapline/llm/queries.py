@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, sharding, simhash, substring_dedup, warc
+from . import bpe, sharding, simhash, substring_dedup, suffix_dedup, warc
 from .shipping import ship_package
 
 SHARDS = 8
@@ -81,6 +81,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, root, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that start earlier."""
+    rows = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and class."""
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -114,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_warc": op3_warc,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }

@@ -43,6 +43,15 @@ def keys(text: str = "text") -> list[Column]:
     return [F.coalesce(doc_id, F.lit(LAST_ID)).alias("order_id"), F.xxhash64(doc_id, F.col(text)).alias("row_key")]
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """``rows`` with one row for each row key (those that repeat are set apart first)."""
+    repeated = stored(rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key"), "repeated")
+    if repeated.isEmpty():
+        return rows
+    single = rows.join(repeated, "row_key", "left_anti")
+    return single.unionByName(rows.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"]))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps, which are stored by now."""
     gc.collect()
@@ -97,7 +106,7 @@ def heavy_anchors(rows: DataFrame, units: Units, length: int, seed: int) -> np.n
 
 
 def block_marks(rows: DataFrame, units: Units, length: int, seed: int, within: bool) -> DataFrame:
-    """``(row_key, block, duplicate)``: blocks an earlier document holds, and open ones.
+    """``(row_key, anchor, block, duplicate)``: blocks an earlier document holds, and open ones.
 
     ``within``: a block is also open if only its own text has others of its anchor.
     """
@@ -119,7 +128,7 @@ def block_marks(rows: DataFrame, units: Units, length: int, seed: int, within: b
     whole = Window.partitionBy("anchor", "block").orderBy("order_id").rowsBetween(Window.unboundedPreceding, 0)
     firsts = marked.where("state = 'first of salt'")
     firsts = firsts.withColumn("state", F.when(F.col("order_id") > F.first("order_id").over(whole), "duplicate").otherwise("open"))
-    return marked.where("state != 'first of salt'").unionByName(firsts).select("row_key", "block", (F.col("state") == "duplicate").alias("duplicate"))
+    return marked.where("state != 'first of salt'").unionByName(firsts).select("row_key", "anchor", "block", (F.col("state") == "duplicate").alias("duplicate"))
 
 
 def open_texts(rows: DataFrame, marks: DataFrame) -> DataFrame:

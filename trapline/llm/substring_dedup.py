@@ -72,7 +72,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     kept = [c for c in docs.columns if c.lower() not in ours]
     docs = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in kept])
     keyed = docs.select("*", *repeats.keys())
-    rows = keyed.select("order_id", "row_key", "text")
+    rows = repeats.one_of_each(keyed.select("order_id", "row_key", "text"))
     marks = repeats.block_marks(rows, word_units, window, seed, within=False)
     found = repeats.stored(repeats.open_windows(rows, marks, word_units, window, seed).select("h1", "h2", "order_id", "row_key"), "windows")
     repeats.release(spark)

@@ -20,10 +20,11 @@ from . import common
 
 @dataclass
 class Blocks:
-    """Blocks of some texts, in order; ``first`` and ``last`` are window starts."""
+    """Blocks of some texts, in order; ``first`` and ``last`` are window starts, ``at`` the anchor's."""
 
     first: np.ndarray
     last: np.ndarray
+    at: np.ndarray
     anchor: np.ndarray
     block: np.ndarray
     row: np.ndarray
@@ -54,7 +55,7 @@ def blocks(units: np.ndarray, off: np.ndarray, length: int, seed: int) -> Blocks
     """The blocks of texts given as 64-bit units; ``off`` are the texts' offsets, from 0."""
     none = np.zeros(0, np.int64)
     if len(units) < length:
-        return Blocks(none, none, none.view(np.uint64), none.view(np.uint64), none)
+        return Blocks(none, none, none, none.view(np.uint64), none.view(np.uint64), none)
     prefix = common.Prefix(units)
     grams = prefix.grams(seed)
     order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
@@ -62,7 +63,7 @@ def blocks(units: np.ndarray, off: np.ndarray, length: int, seed: int) -> Blocks
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(anchor_at)]
     starts = np.flatnonzero(np.arange(len(anchor_at)) + length <= off[1:][row])
     if not len(starts):
-        return Blocks(none, none, none.view(np.uint64), none.view(np.uint64), none)
+        return Blocks(none, none, none, none.view(np.uint64), none.view(np.uint64), none)
     at = anchor_at[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[starts][1:] != row[starts][:-1])
@@ -70,7 +71,7 @@ def blocks(units: np.ndarray, off: np.ndarray, length: int, seed: int) -> Blocks
     first, last, at = starts[head], starts[np.append(head[1:], len(starts)) - 1], at[head]
     # the block's units, and where in them the anchor stands
     whole = common.Prefix(units, common.SECOND).spans(first, last + length)
-    return Blocks(first, last, grams[at], common.mix(whole + (at - first).astype(np.uint64)), row[first])
+    return Blocks(first, last, at, grams[at], common.mix(whole + (at - first).astype(np.uint64)), row[first])
 
 
 def window_hashes(units: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +81,5 @@ def window_hashes(units: np.ndarray, starts: np.ndarray, length: int) -> tuple[n
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which of ``n`` units lie in a window that begins at one of ``starts``."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + length, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
