@@ -10,8 +10,8 @@ go to a manifest, and the reader takes only what a finished manifest lists.
 
 Of records with equal payloads of at least ``MIN_REVISIT_BYTES`` bytes, the one
 with the largest page_id is a response with the payload, the others are
-revisits without it. Only (digest, size) pairs seen more than once are joined
-back, and revisits drop their payload before the sort.
+revisits without it. That is settled on digests; a note for each revisit sorts
+in before its page, so payloads are shuffled once.
 
 Defined cases: a null payload is empty; a null page_id counts as smallest and
 reads back as null; rows that repeat the largest page_id are all responses; an
@@ -65,8 +65,9 @@ def _member(data: bytes) -> bytes:
     return gz.compress(data) + gz.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, repeat: int) -> bytes:
-    """One response or revisit record; ``size`` and ``digest`` are the full payload's."""
+def page_record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, repeat: int) -> bytes:
+    """A response record, or with ``refers_to`` a revisit; ``size`` and ``digest`` are the full payload's."""
+    revisit = refers_to is not None
     page = "-" if page_id is None else str(page_id)
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
@@ -78,8 +79,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, size: int,
         ("Content-Type", "application/http;msgtype=response"),
     ]
     if revisit:
-        target = "-" if refers_to is None else str(refers_to)
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(target, digest)), ("WARC-Refers-To-Page-ID", target)]
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(str(refers_to), digest)), ("WARC-Refers-To-Page-ID", str(refers_to))]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     return _record(headers, http if revisit else http + payload)
 
@@ -121,41 +121,45 @@ class _Writer:
 
 def _write_batches(batches: Iterator[pa.RecordBatch], root: str, roll_bytes: int) -> Iterator[pa.RecordBatch]:
     writer = _Writer(root, TaskContext.get().partitionId(), roll_bytes)
-    last, repeat = None, 0
+    last, repeat, keeper = None, 0, None
     for batch in batches:
         for i in range(batch.num_rows):  # a record at a time: a batch may hold large payloads
             row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
             key = row["page_id"], row["digest"]
-            last, repeat = key, repeat + 1 if key == last else 0
-            writer.add(page_record(row["page_id"], row["url"], row["payload"] or b"", row["size"], row["digest"], row["refers_to"], row["revisit"], repeat))
+            if key != last:
+                last, repeat, keeper = key, 0, None
+            if row["tag"] == 0:
+                keeper = row["refers_to"]
+                continue
+            writer.add(page_record(row["page_id"], row["url"], row["payload"], row["size"], row["digest"], keeper, repeat))
+            repeat += 1
     writer.close()
     if writer.done:
         yield pa.RecordBatch.from_pylist(writer.done)
 
 
-def resolve(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, payload, size, digest, revisit, refers_to)``; revisits carry no payload."""
+def tagged(pages: DataFrame) -> DataFrame:
+    """All pages, and before those of them that are revisits a row without payload that names the keeper."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("sha256"))
+    rows = rows.select("*", F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
+    narrow = rows.where(F.col("size") >= MIN_REVISIT_BYTES).select("page_id", "digest", F.sha2("payload", 256).alias("sha256"))
     again = (
-        rows.where(F.col("size") >= MIN_REVISIT_BYTES)
-        .groupBy("sha256")
+        narrow.groupBy("sha256")
         .agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("keeper"))
         .where((F.col("copies") > 1) & F.col("keeper").isNotNull())
     )
-    revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.lit(False))
-    return rows.join(again, "sha256", "left").select(
-        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest",
-        revisit.alias("revisit"), F.when(revisit, F.col("keeper")).alias("refers_to"),
-    )
+    revisits = narrow.join(again, "sha256").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("page_id", "digest", F.col("keeper").alias("refers_to")).distinct()
+    empty = [F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("size")]
+    notes = revisits.select("page_id", "digest", *empty, "refers_to", F.lit(0).alias("tag"))
+    return notes.unionByName(rows.withColumns({"refers_to": F.lit(None).cast("long"), "tag": F.lit(1)}))
 
 
 def write(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write an archive below ``root``; returns its manifest."""
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = resolve(pages).repartitionByRange(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    ranged = tagged(pages).repartitionByRange(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "tag", "url")
     manifest = ranged.mapInArrow(lambda it: _write_batches(it, root, roll_bytes), _MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{root}/manifest")  # listed only when every task is done
     return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
