@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: fixed values: the ASCII blanks that part words
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: text bytes worked on at once (a longer text is a slice of its own)
 SLICE_BYTES = 1 << 20
 
-_IS_BLANK = np.zeros(256, bool)
-_IS_BLANK[list(BLANKS)] = True
+#: which bytes make words: all but the blanks; or letters, digits and whatever is no ASCII
+NOT_BLANK = np.ones(256, bool)
+NOT_BLANK[list(BLANKS)] = False
+LETTERS = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,13 +95,13 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = min(hi, n)
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, off: np.ndarray, kind: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word in ``raw``, and each row's offsets into the words.
 
-    A word is a run of bytes other than the ASCII blanks; rows part words too.
+    A word is a run of bytes of a kind; rows part words too.
     ``off`` starts at 0.
     """
-    word = ~_IS_BLANK[raw]
+    word = kind[raw]
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     edge = np.zeros(len(raw) + 1, bool)
@@ -126,3 +132,24 @@ def joined(raw: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int = 0x20)
     out = raw[np.minimum(source, len(raw) - 1)] if len(raw) else np.zeros(0, np.uint8)
     out[at[1:] - 1] = gap
     return out, at
+
+
+def add_columns(docs: DataFrame, work: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], added: dict[str, str]) -> DataFrame:
+    """``docs`` with columns worked out from slices of its texts.
+
+    ``work`` gets a slice's bytes and row offsets (from 0). Columns of ``docs`` that
+    clash with the added ones are replaced.
+    """
+    kept = [c for c in docs.columns if c.lower() not in added]
+    rows = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in kept])
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            raw, off = flat(batch.column("text"))
+            for lo, hi in slices(off):
+                new = work(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(new[c] for c in added)], names=[*kept, *added])
+
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} {kind}" for c, kind in added.items()]
+    return rows.mapInArrow(batches, ", ".join(schema))

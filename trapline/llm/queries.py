@@ -9,14 +9,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, sharding, simhash, substring_dedup, suffix_dedup, warc
+from . import bpe, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from .shipping import ship_package
 
 SHARDS = 8
+TOXIC, GOOD = 0.7, 0.3
 
 
 OP2_SQL = r"""
@@ -93,6 +94,33 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _held_out(parts: int, rest: int) -> Column:
+    """Rows that are not learned from: crc32 of the id as text leaves ``rest`` on division."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == rest, F.lit(False))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on labelled rows that are not held out."""
+    return toxicity.fit(*toxicity.training_sample(docs, labels.where(~_held_out(3, 1))))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity_model(docs, _table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~_held_out(5, 0))
+    texts, known, share = quality.training_sample(docs, labels)
+    model = quality.fit(texts, known, quality.inverse_frequencies(docs), share)
+    rows = quality.score(docs, model)
+    return rows.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def piece_model() -> str:
     """The vocabulary file: ``TRAPLINE_PIECE_MODEL``, or the installed public one."""
     if found := os.environ.get("TRAPLINE_PIECE_MODEL"):
@@ -122,6 +150,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op9_quality": op9_quality,
         "op10_sentencepiece": op10_sentencepiece,
     }
 

@@ -37,9 +37,7 @@ BITS = 64
 
 def fingerprints(raw: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarray:
     """The fingerprint of each row's text (``off`` starts at 0)."""
-    lower = raw.copy()
-    upper = (raw >= 0x41) & (raw <= 0x5A)
-    lower[upper] += 0x20
+    lower = common.LOWER[raw]
     start, end, words = common.word_spans(lower, off)
     out = np.zeros(len(off) - 1, np.uint64)
     if not len(start):
