@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from . import ann, bpe, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from .shipping import ship_package
 
 SHARDS = 8
@@ -111,6 +111,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest embeddings of every hundredth one."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -151,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_toxicity": op6_toxicity,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_quality": op9_quality,
         "op10_sentencepiece": op10_sentencepiece,
     }
