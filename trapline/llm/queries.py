@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bpe, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from . import ann, bpe, decontam, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from .shipping import ship_package
 
 SHARDS = 8
@@ -111,6 +111,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontam.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return rows.where(F.size("leaks") > 0).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.cosine", "leak.share")
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest embeddings of every hundredth one."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
@@ -156,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_toxicity": op6_toxicity,
+        "op7_decontamination": op7_decontamination,
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_quality": op9_quality,
         "op10_sentencepiece": op10_sentencepiece,
