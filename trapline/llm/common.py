@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: fixed values: the ASCII blanks that part words
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: text bytes worked on at once (a longer text is a slice of its own)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: which bytes make words: all but the blanks; or letters, digits and whatever is no ASCII
 NOT_BLANK = np.ones(256, bool)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import ann, bpe, decontam, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
-from .shipping import ship_package
+from .shipping import prepare
 
 SHARDS = 8
 TOXIC, GOOD = 0.7, 0.3
@@ -53,7 +53,7 @@ FROM p LEFT JOIN k USING (payload)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers that don't have it installed."""
+"""Session set-up for queries over long texts."""
 
 from __future__ import annotations
 
@@ -8,11 +8,20 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: texts that a Python worker gets at once; Spark's 10,000 may be many megabytes each way
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _SHIPPED: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Add the package to the application's Python files, once; Spark serves it to the executors."""
+def prepare(spark: SparkSession) -> None:
+    """Bound Arrow batches, and add the package to the application's Python files, once.
+
+    Spark serves those files to executors that don't have the package installed.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

@@ -40,7 +40,7 @@ WINDOW = 100
 SEED = 16
 HOT_BLOCKS = 20_000
 #: block bytes sorted together, at the next anchor
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 _BLOCK_ROWS = "anchor long, lead int, windows int, start long, order_id long, row_key long, content binary"
 
 
