@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.llm import bpe, decontam, queries, repeats, simhash, substring_dedup, toxicity
-from trapline.llm.shipping import ship_package
+from trapline.llm.shipping import prepare
 
 TOXIC = 0.7
 SHINGLE, RADIUS = 4, 4
@@ -33,7 +33,7 @@ _ROW = "documents_row"
 
 def _packed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, and the whole row as a struct without its text."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(_ROW))
 
 
@@ -72,7 +72,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and the digests of an exact round trip."""
-    ship_package(spark)
+    prepare(spark)
     model = queries.piece_model()
     encoded = bpe.encode(docs.select("doc_id", "text"), model)
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
