@@ -11,7 +11,7 @@ come to them meet in tasks; a task compares them block by block, in double
 precision, and hands on only the nearest of each query.
 
 How far to search for a given recall is a matter of the data: vectors without
-any clusters, spread over a sphere of 64 dimensions, need a share near 1 for a
+any clusters, spread over a sphere of 64 dimensions, need a share above 1 for a
 recall of 0.95, clustered ones far less. Leaves have about ``LEAF_ROWS`` points
 as long as the sample supports the depth.
 
@@ -42,8 +42,8 @@ from pyspark.sql.window import Window
 from ..session import checkpoint_root
 
 TREES = 8
-LEAF_ROWS = 256
-SEARCH_SHARE = 1.0
+LEAF_ROWS = 128
+SEARCH_SHARE = 1.5
 SAMPLE_ROWS = 65_536
 #: sample points that a leaf needs at least
 SAMPLE_LEAF = 8
