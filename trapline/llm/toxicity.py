@@ -187,12 +187,9 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _holders(inverse: np.ndarray, group: np.ndarray, features: int, keep: np.ndarray) -> np.ndarray:
     """In how many groups each feature stands, over the kept tokens."""
-    out = np.zeros(features, np.int64)
     groups = int(group.max(initial=0)) + 1
-    for column in inverse.T:  # a feature is of one column
-        pair = np.unique(column[keep].astype(np.int64) * groups + group[keep])
-        out += np.bincount(pair // groups, minlength=features)
-    return out
+    pair = np.unique(inverse[keep].astype(np.int64) * groups + group[keep])
+    return np.bincount(pair // groups, minlength=features)
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
@@ -208,16 +205,19 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     group = np.full(len(texts), np.uint64(2**64 - 1))
     np.minimum.at(group, doc, found.features[:, 0])
     group = np.unique(group, return_inverse=True)[1]
-    known, inverse = np.unique(found.features, return_inverse=True)
-    inverse = inverse.reshape(found.features.shape).astype(np.int32)
-    in_toxic, in_clean = (_holders(inverse, group[doc], len(known), keep) for keep in (toxic[doc], ~toxic[doc]))
     groups = [len(np.unique(group[k])) for k in (toxic, ~toxic)]
-    lift = (in_toxic + 0.5) / (groups[0] + 1) / ((in_clean + 0.5) / (groups[1] + 1))
-    real = known != 0
-    marks = real & (in_toxic >= MARK_DOCS) & (lift >= MARK_LIFT)
-    used = real & (in_toxic + in_clean >= MIN_DOCS) | marks
-    place = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)[inverse]
-    target = marks[inverse].any(axis=1) & toxic[doc]
+    target, used = np.zeros(len(doc), bool), []
+    for column in found.features.T:  # a feature is of one column
+        known, inverse = np.unique(column, return_inverse=True)
+        inverse = inverse.astype(np.int32)
+        in_toxic, in_clean = (_holders(inverse, group[doc], len(known), keep) for keep in (toxic[doc], ~toxic[doc]))
+        lift = (in_toxic + 0.5) / (groups[0] + 1) / ((in_clean + 0.5) / (groups[1] + 1))
+        real = known != 0
+        marks = real & (in_toxic >= MARK_DOCS) & (lift >= MARK_LIFT)
+        used.append(known[real & (in_toxic + in_clean >= MIN_DOCS) | marks])
+        target |= marks[inverse]
+    target &= toxic[doc]
+    index = FeatureIndex(np.concatenate(used))
     # chains with a toxic token, and about as many others
     start, length = chains(found.words)
     hot = np.add.reduceat(target, start) > 0 if len(start) else np.zeros(0, bool)
@@ -228,11 +228,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     inside = np.arange(CHAIN)[None, :] < length[:, None]
     at = (start[:, None] + np.arange(CHAIN)[None, :])[inside]
     y = target[at].astype(float)
-    features, y_blocks = place[at], np.zeros(inside.shape)
+    features, y_blocks = index.find(found.features[at]), np.zeros(inside.shape)
     y_blocks[inside] = y
     here = features >= 0
     moved = np.array([[((y_blocks[:, :-1] == s) & (y_blocks[:, 1:] == t) & inside[:, 1:]).sum() for t in (0, 1)] for s in (0, 1)], float)
-    model = Model(FeatureIndex(known[used]), np.zeros(max(1, int(used.sum()))), -3.0, np.zeros((2, 2)), np.zeros(4))
+    model = Model(index, np.zeros(max(1, len(index.known))), -3.0, np.zeros((2, 2)), np.zeros(4))
     first, second = (np.zeros(len(model.weights) + 5) for _ in range(2))
     for step in range(1, STEPS + 1):  # Adam on the conditional likelihood
         score = np.zeros(inside.shape)
