@@ -38,7 +38,7 @@ from .suffix_sort import sort_suffixes
 
 WINDOW = 100
 SEED = 16
-HOT_BLOCKS = 20_000
+HOT_BLOCKS = 1000
 #: block bytes sorted together, at the next anchor
 SORT_BYTES = 1 << 20
 _BLOCK_ROWS = "anchor long, lead int, windows int, start long, order_id long, row_key long, content binary"
