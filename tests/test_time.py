@@ -106,7 +106,7 @@ def test_zero_time_formats(spark):
 
 def test_cutoff_is_whole_seconds_and_open_above(spark):
     as_of = "2024-01-31T00:00:00.900+00:00"
-    cut = T.cutoff_ms(as_of, 1)
+    cut = (T.as_of_seconds(as_of) - T.SECONDS_PER_DAY) * 1000
     a = _attacks(spark, [cut - 1, cut, 1706700000000 + 86400000 * 30])  # last one after as_of
     r = views.report_top_attackers_last_24_hours(a, as_of=as_of).first()
     assert r["count"] == 2

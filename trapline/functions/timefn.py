@@ -21,6 +21,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
+# fixed values: the clock times that have a text, years 0000 to 9999; a time
+# outside has none (NULL), whatever a sender or an old table put there
+FIRST_SECOND, LAST_SECOND = -62167219200, 253402300799
 _UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00", "UCT", "Etc/UCT", "Zulu"}
 
 
@@ -62,10 +65,16 @@ def epoch_seconds(ms) -> Column:
     return int_div(ms, 1000)
 
 
+def with_text(seconds) -> Column:
+    """The seconds, NULL where they lie outside the years that have a text."""
+    seconds = _col(seconds)
+    return F.when(seconds.between(FIRST_SECOND, LAST_SECOND), seconds)
+
+
 def local_seconds(seconds, tz: str | None = None) -> Column:
-    """Epoch seconds -> local wall-clock seconds in zone ``tz``."""
+    """Epoch seconds -> local wall-clock seconds in zone ``tz`` (NULL: no text)."""
     tz = resolve_tz(tz)
-    seconds = _col(seconds)
+    seconds = with_text(seconds)
     if is_utc(tz):
         return seconds
     utc_clock = F.timestamp_add("SECOND", seconds, _epoch_ntz())
@@ -133,7 +142,9 @@ def weekday_text(date) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# "now" and cut-offs (computed once on the driver, folded into literals)
+# "now" and cut-offs: foldable expressions, literals by the time a scan is
+# planned, so that they are pushed down. A given ``as_of`` is fixed; without
+# one, "now" is the time of each execution, also in a registered view.
 # ---------------------------------------------------------------------------
 
 def as_of_seconds(as_of=None) -> int:
@@ -153,14 +164,19 @@ def as_of_seconds(as_of=None) -> int:
     raise TypeError(f"unsupported as_of: {as_of!r}")
 
 
-def cutoff_ms(as_of=None, days: int = 0) -> int:
+def now_seconds(as_of=None) -> Column:
+    """Whole epoch seconds of ``as_of``, or of the execution's own time."""
+    return F.unix_seconds(F.current_timestamp()) if as_of is None else F.lit(as_of_seconds(as_of)).cast("long")
+
+
+def cutoff_ms(as_of=None, days: int = 0) -> Column:
     """Instant cut-off ``(now - days)`` in whole seconds, times 1000."""
-    return (as_of_seconds(as_of) - days * SECONDS_PER_DAY) * 1000
+    return (now_seconds(as_of) - F.lit(days * SECONDS_PER_DAY)) * F.lit(1000).cast("long")
 
 
 def local_cutoff_seconds(as_of=None, days: int = 0, tz: str | None = None) -> Column:
     """Local wall-clock seconds of ``now - days``; a foldable expression."""
-    return local_seconds(F.lit(as_of_seconds(as_of) - days * SECONDS_PER_DAY), tz)
+    return local_seconds(now_seconds(as_of) - F.lit(days * SECONDS_PER_DAY), tz)
 
 
 # Widest UTC offset in use is +-14h; 18h is the bound the zone rules allow.
@@ -180,21 +196,35 @@ PREFILTER_MARGIN_SECONDS = 3 * SECONDS_PER_DAY
 # original's lenient parser allows.
 FLEX_TIME_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{1,2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})?$"
 _ZONED = r"(Z|[+-]\d{2}:\d{2})$"
+_OFFSET = r"([+-])(\d{2}):(\d{2})$"
+# fixed values: the largest hours and minutes of an offset
+MAX_OFFSET_HOURS, MAX_OFFSET_MINUTES = 24, 60
 _COMMA_FRACTION = r"^(\d{4}-\d{2}-\d{2}T\d{1,2}:\d{2}:\d{2}),(\d)"
 
 
+def _offset_millis(t: Column) -> Column:
+    """Milliseconds of the offset at the end of a zoned time, NULL if too large."""
+    hours, minutes = (F.regexp_extract(t, _OFFSET, k).try_cast("long") for k in (2, 3))
+    size = (hours * 60 + minutes) * 60_000
+    signed = F.when(F.regexp_extract(t, _OFFSET, 1) == F.lit("-"), -size).otherwise(size)
+    fits = (hours <= MAX_OFFSET_HOURS) & (minutes <= MAX_OFFSET_MINUTES)
+    return F.when(t.endswith("Z"), F.lit(0).cast("long")).when(fits, signed)
+
+
 def parse_flexible_time(text, tz: str | None = None) -> Column:
     """Submission time text -> epoch ms, NULL when no layout fits.
 
-    Zoned text is cast directly; zone-less text gets the zone id appended so
-    Spark applies that zone's rules (DST included), independent of the
-    session zone. Out-of-range parts (Feb 30, hour 24, second 60) fail the
+    A zoned clock is read as UTC and its offset subtracted by arithmetic, so
+    that offsets of up to 24 hours hold; zone-less text gets the zone id
+    appended so Spark applies that zone's rules (DST included), independent of
+    the session zone. Out-of-range parts (Feb 30, hour 24, second 60) fail the
     cast and give NULL. ms are the floor of the instant.
     """
     tz = resolve_tz(tz)
     t = _col(text)
     t_dot = F.when(t.contains(","), F.regexp_replace(t, _COMMA_FRACTION, "$1.$2")).otherwise(t)
     zoned = t.rlike(_ZONED)
-    spelled = F.when(zoned, t_dot).otherwise(F.concat(t_dot, F.lit(" " + tz)))
-    instant = spelled.try_cast("timestamp")
-    return F.when(t.rlike(FLEX_TIME_PATTERN), F.unix_millis(instant))
+    as_utc = F.concat(F.regexp_replace(t_dot, _ZONED, ""), F.lit("Z")).try_cast("timestamp")
+    local = F.concat(t_dot, F.lit(" " + tz)).try_cast("timestamp")
+    millis = F.when(zoned, F.unix_millis(as_utc) - _offset_millis(t)).otherwise(F.unix_millis(local))
+    return F.when(t.rlike(FLEX_TIME_PATTERN), millis)

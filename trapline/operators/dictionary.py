@@ -26,10 +26,6 @@ from pyspark.sql import functions as F
 from ..schema import TEXT_COLUMNS
 from ..session import checkpoint_root
 
-# Up to this many new values, extend_dictionary looks them up with a
-# broadcast of the new values instead of shuffling the dictionary.
-SMALL_VALUE_SET_ROWS = 1_000_000
-
 
 def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -122,45 +118,29 @@ def stack_dictionaries(dicts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops counting early)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def _unknown(values: DataFrame, known: DataFrame, keys, small_rows: int) -> DataFrame:
-    """Rows of ``values`` whose keys ``known`` lacks."""
-    if _fits(values, small_rows):
-        # few values (a micro-batch): find the known ones by streaming the
-        # dictionary past a broadcast of the size-checked value set
-        hits = known.select(*keys).join(F.broadcast(values), keys, "left_semi")
-        return values.join(hits, keys, "left_anti")
-    return values.join(known.select(*keys), keys, "left_anti")
-
-
-def new_entries(dictionary: DataFrame, df: DataFrame, column: str,
-                small_rows: int = SMALL_VALUE_SET_ROWS) -> DataFrame:
+def new_entries(dictionary: DataFrame, df: DataFrame, column: str) -> DataFrame:
     """Dictionary rows for the values of ``df[column]`` the dictionary lacks,
     with ids above its current maximum (insert-or-ignore: known values get
-    nothing, so adding the same values twice adds nothing the second time)."""
-    new = _unknown(distinct_values(df, column), dictionary, ["value"], small_rows)
+    nothing, so adding the same values twice adds nothing the second time).
+    A plain anti-join: which side is broadcast, if any, goes by bytes."""
+    new = distinct_values(df, column).join(dictionary.select("value"), "value", "left_anti")
     top = dictionary.agg(F.max("id")).first()[0] or 0
     return assign_dense_ids(new, start=int(top))
 
 
-def new_entries_stacked(stacked_dict: DataFrame, df: DataFrame, columns=None,
-                        small_rows: int = SMALL_VALUE_SET_ROWS) -> DataFrame:
+def new_entries_stacked(stacked_dict: DataFrame, df: DataFrame, columns=None) -> DataFrame:
     """``new_entries`` for several columns at once, on the stacked
     ``(column, id, value)`` form: one shuffle and one checkpoint in all."""
     columns = list(columns or TEXT_COLUMNS)
-    new = _unknown(stacked_values(df, columns), stacked_dict, ["column", "value"], small_rows)
+    keys = ["column", "value"]
+    new = stacked_values(df, columns).join(stacked_dict.select(*keys), keys, "left_anti")
     tops = {r["column"]: r["top"] for r in stacked_dict.groupBy("column").agg(F.max("id").alias("top")).collect()}
     return assign_dense_ids(new, group_col="column", starts=tops)
 
 
-def extend_dictionary(dictionary: DataFrame, df: DataFrame, column: str,
-                      small_rows: int = SMALL_VALUE_SET_ROWS) -> DataFrame:
+def extend_dictionary(dictionary: DataFrame, df: DataFrame, column: str) -> DataFrame:
     """The dictionary plus ``new_entries`` for ``df[column]``."""
-    fresh = new_entries(dictionary, df, column, small_rows)
+    fresh = new_entries(dictionary, df, column)
     return dictionary.select("id", "value").unionByName(fresh)
 
 

@@ -6,8 +6,6 @@ parquet scan (PushedFilters) wherever they touch stored columns.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,24 +35,27 @@ def drop_incomplete(df: DataFrame, columns=None, time_col: str | None = None) ->
 
 
 def utc_date_text(ms_col="timestamp"):
-    """UTC calendar date of epoch ms, the partition value of stored tables."""
-    return timefn.date_text_of_day(timefn.day_number(timefn.epoch_seconds(ms_col)))
+    """UTC calendar date of epoch ms, the partition value of stored tables;
+    NULL (Spark's default partition) for times outside years 0000 to 9999."""
+    seconds = timefn.with_text(timefn.epoch_seconds(ms_col))
+    return timefn.date_text_of_day(timefn.day_number(seconds))
 
 
 def since(attacks: DataFrame, as_of=None, days: int = 1, time_col: str = "timestamp",
           date_col: str | None = "date") -> DataFrame:
     """Rows at or after ``now - days`` (whole seconds), no upper bound.
 
-    The cut-off is a literal, so ``timestamp >= lit`` reaches the parquet
-    scan. If the frame has a UTC ``date`` partition column, a matching
-    ``date >= ...`` filter is added so whole partitions are skipped.
+    The cut-off folds to a literal before the scan is planned, so
+    ``timestamp >= lit`` reaches the parquet scan. If the frame has a UTC
+    ``date`` partition column, a matching ``date >= ...`` filter is added so
+    whole partitions are skipped; times without a date stay in.
     """
     cut = timefn.cutoff_ms(as_of, days)
-    out = attacks.filter(F.col(time_col) >= F.lit(cut))
+    out = attacks.filter(F.col(time_col) >= cut)
     if date_col and date_col in attacks.columns:
         # ms div 1000 truncates toward zero; one spare day covers it
-        first_day = _dt.date(1970, 1, 1) + _dt.timedelta(days=(cut // 1000) // 86400 - 1)
-        out = out.filter(F.col(date_col) >= F.lit(first_day.isoformat()))
+        first_day = timefn.day_number(timefn.epoch_seconds(cut)) - 1
+        out = out.filter((F.col(date_col) >= timefn.date_text_of_day(first_day)) | F.col(date_col).isNull())
     return out
 
 

@@ -361,12 +361,12 @@ submitted AS (
 
 _LEGACY = _SUB + """,
 legacy AS (
-  SELECT event_id + 1 AS id, source_ip, destination_ip,
+  SELECT 2 * event_id + 1 AS id, source_ip, destination_ip,
          CASE WHEN event_id % 50 = 7 THEN NULL ELSE username END AS username,
          password, "timestamp" AS attack_timestamp, evidence, attack_type
   FROM sub
   UNION ALL
-  SELECT event_id + 1000001 AS id, source_ip, destination_ip,
+  SELECT 2 * event_id + 2 AS id, source_ip, destination_ip,
          CASE WHEN event_id % 50 = 7 THEN NULL ELSE username END AS username,
          password, "timestamp" AS attack_timestamp, evidence, attack_type
   FROM sub WHERE event_id % 10 = 3

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dictionary
 from ..operators.filters import since
+from ..schema import LOGIN_SEPARATOR, TEXT_COLUMNS
 from . import views as V
 
 TOP_N = V.TOP_N
@@ -105,12 +106,11 @@ def coded_view(name: str, fact: DataFrame, dicts: dict, as_of=None, tz: str | No
 
 
 def register_coded_views(spark, fact: DataFrame, dicts: dict, as_of=None, tz: str | None = None) -> dict:
-    """Register the twenty views over a coded store as temporary views."""
-    from ..functions import timefn
-
-    if as_of is None:
-        as_of = timefn.as_of_seconds(None)
-    out = {}
+    """Register ``attacks`` (decoded) and the twenty views over a coded store
+    as temporary views; "now" as in ``views.register_views``."""
+    attacks = _decode(fact, dicts, list(TEXT_COLUMNS))
+    attacks.createOrReplaceTempView("attacks")
+    out = {"attacks": attacks}
     for name in V.VIEWS:
         df = coded_view(name, fact, dicts, as_of=as_of, tz=tz)
         df.createOrReplaceTempView(name)

@@ -156,14 +156,45 @@ def source_login_stage(attacks: DataFrame, tz: str | None = None) -> DataFrame:
     )
 
 
-def attack_patterns_from_stage(per_login: DataFrame) -> DataFrame:
-    """Stage 2 of E11: distinct counts over the reduced rows."""
-    login = F.concat(F.col("username"), F.lit(LOGIN_SEPARATOR), F.col("password"))
-    agg = per_login.groupBy("source_ip").agg(
+def attack_patterns_from_stage(per_login: DataFrame, decode=None) -> DataFrame:
+    """Stage 2 of E11 over distinct (source, username, password) rows.
+
+    Each distinct count has its own grouping, stacked and summed, so no row is
+    expanded per count. A login counts as its joined text, which different
+    pairs can share only if a part holds the separator; those few rows are
+    counted by text, all others as they are. ``decode`` gives the values of id
+    columns where the rows hold ids (then only those tests need them)."""
+    decode = decode or (lambda df, columns: df)
+    core = F.lit(LOGIN_SEPARATOR.strip())
+    whole = F.col("username").isNotNull() & F.col("password").isNotNull()
+    odd_names, odd_words = (
+        decode(per_login.select(F.col(c), F.col(c).alias("_key")).distinct(), [c]).filter(F.col(c).contains(core)).select(F.col("_key").alias(c))
+        for c in ("username", "password")
+    )
+    odd = per_login.join(odd_names, "username", "left_semi").unionByName(per_login.join(odd_words, "password", "left_semi")).filter(whole)
+    logins = decode(odd.select("source_ip", "username", "password").distinct(), ["username", "password"])
+    logins = logins.select("source_ip", F.concat("username", F.lit(LOGIN_SEPARATOR), "password").alias("_text")).distinct()
+    pairs = odd.select("source_ip", "username", "password").distinct()
+
+    def part(df, **counts):
+        names = ["_n", "_first", "_last", "_users", "_words", "_logins"]
+        return df.select("source_ip", *[counts.get(c, F.lit(None)).cast("long").alias(c) for c in names])
+
+    one = lambda c: F.col(c).isNotNull()
+    words = per_login.groupBy("source_ip", "password").agg(
+        F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum(whole.cast("long")).alias("_logins")
+    )
+    stacked = (
+        part(words, _n=F.col("_n"), _first=F.col("_first"), _last=F.col("_last"), _words=one("password"), _logins=F.col("_logins"))
+        .unionByName(part(per_login.select("source_ip", "username").distinct(), _users=one("username")))
+        .unionByName(part(pairs, _logins=F.lit(-1)))
+        .unionByName(part(logins, _logins=F.lit(1)))
+    )
+    agg = stacked.groupBy("source_ip").agg(
         F.sum("_n").alias("total_attacks"),
-        F.count_distinct("username").alias("unique_usernames"),
-        F.count_distinct("password").alias("unique_passwords"),
-        F.count_distinct(login).alias("unique_logins"),
+        F.coalesce(F.sum("_users"), F.lit(0)).alias("unique_usernames"),
+        F.coalesce(F.sum("_words"), F.lit(0)).alias("unique_passwords"),
+        F.coalesce(F.sum("_logins"), F.lit(0)).alias("unique_logins"),
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
     )
@@ -216,32 +247,15 @@ def _fingerprint_order(df: DataFrame) -> DataFrame:
     )
 
 
-# Source lists are built per (credential, address prefix) first: a prefix of
-# the text keeps binary order (parts sorted by prefix, joined in that order,
-# equal the whole list sorted), and a credential used from millions of
-# addresses is sorted and joined in many tasks instead of one.
-LIST_PREFIX_CHARS = 7
-
-
 def fingerprints_from_stage(per_src: DataFrame) -> DataFrame:
     """Stage 2 of E12 over distinct (credential, source) rows."""
-    part = F.array_sort(F.collect_list("source_ip"))
-    per_prefix = per_src.groupBy(
-        "username", "password", F.substring("source_ip", 1, LIST_PREFIX_CHARS).alias("_prefix")
-    ).agg(
-        F.sum("_n").alias("_n"),
-        F.count("source_ip").alias("_d"),
-        F.min("_first").alias("_first"),
-        F.max("_last").alias("_last"),
-        F.when(F.size(part) > 0, F.array_join(part, ",")).alias("_part"),
-    )
-    parts = F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("_prefix", "_part"))))
-    agg = per_prefix.groupBy("username", "password").agg(
+    sources = F.array_sort(F.collect_list("source_ip"))
+    agg = per_src.groupBy("username", "password").agg(
         F.sum("_n").alias("total_uses"),
-        F.sum("_d").alias("distinct_source_ips"),
+        F.count("source_ip").alias("distinct_source_ips"),
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
-        parts.alias("_parts"),
+        F.when(F.size(sources) > 0, F.array_join(sources, ",")).alias("source_ips"),
     )
     out = agg.select(
         "username",
@@ -250,11 +264,25 @@ def fingerprints_from_stage(per_src: DataFrame) -> DataFrame:
         "distinct_source_ips",
         T.clock_text("_first").alias("first_seen"),
         T.clock_text("_last").alias("last_seen"),
-        F.when(F.size("_parts") > 0, F.array_join(F.transform("_parts", lambda x: x["_part"]), ",")).alias("source_ips"),
+        "source_ips",
     )
     return _fingerprint_order(out).select(*_FINGERPRINT_COLUMNS)
 
 
+def credential_sources(attacks: DataFrame, tz: str | None = None) -> DataFrame:
+    """The fingerprints' sources as rows: (credential, source) with its uses
+    and first and last time. The form for credentials used from more addresses
+    than fit one list; no order, nothing is gathered in one row."""
+    return credential_source_stage(attacks, tz).select(
+        "username",
+        "password",
+        "source_ip",
+        F.col("_n").alias("uses"),
+        T.clock_text("_first").alias("first_seen"),
+        T.clock_text("_last").alias("last_seen"),
+    )
+
+
 def view_credential_fingerprints(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
     """Per credential: uses, distinct sources, first/last seen, source list.
 
@@ -409,10 +437,8 @@ def build_view(name: str, attacks: DataFrame, as_of=None, tz: str | None = None)
 def register_views(spark: SparkSession, attacks: DataFrame, as_of=None, tz: str | None = None) -> dict:
     """Register ``attacks`` and all twenty views as temporary views.
 
-    ``as_of`` is fixed at registration (a view made without it keeps the
-    time of this call)."""
-    if as_of is None:
-        as_of = T.as_of_seconds(None)
+    A given ``as_of`` is fixed; without it, reports end at the time of each
+    read, not of this call."""
     attacks.createOrReplaceTempView("attacks")
     out = {}
     for name, fn in VIEWS.items():

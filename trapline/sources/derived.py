@@ -17,15 +17,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text, timefn
 from ..operators import dedup, filters
-from ..operators.partitioning import spread
 from ..schema import KEY7
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
-    """A driver table; ``balance`` spreads a few-split scan over all cores
-    (worth it only before heavy per-row work such as JSON decoding)."""
+    """A driver table; ``balance`` spreads its rows over all tasks (worth it
+    only before heavy per-row work such as JSON decoding)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if balance else df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if balance else df
 
 
 def _s(c) -> F.Column:
@@ -120,13 +119,13 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat first-generation table: untrimmed, with repeats and NULLs.
 
-    id = event_id + 1; username NULL for residue 7 of 50; resubmitted rows
-    (residue 3 of 10) appear again with id = event_id + 1000001.
+    id = 2 * event_id + 1; username NULL for residue 7 of 50; resubmitted rows
+    (residue 3 of 10) appear again with the id that follows.
     """
     records = sensor_records(read_table(spark, sf_dir, "events"))
     e = F.col("event_id")
     base = records.select(
-        (e + 1).alias("id"),
+        (e * 2 + 1).alias("id"),
         "source_ip",
         "destination_ip",
         F.when(e % 50 == 7, F.lit(None).cast("string")).otherwise(F.col("username")).alias("username"),
@@ -136,7 +135,7 @@ def legacy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "attack_type",
         "event_id",
     )
-    again = base.filter(e % 10 == 3).withColumn("id", e + 1000001)
+    again = base.filter(e % 10 == 3).withColumn("id", e * 2 + 2)
     return base.unionByName(again).drop("event_id")
 
 

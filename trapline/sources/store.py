@@ -6,36 +6,74 @@ Layout at rest (parquet):
   <root>/fact/date=YYYY-MM-DD/...      coded fact rows (ids)
   <root>/dict/column=<name>/...        six dictionaries (id, value), one table
 
-Rows are range-partitioned on (date, timestamp) before the write, so a busy
-day is split over many tasks and every file covers a narrow time span: the
-parquet min/max statistics then let ``timestamp >= cut`` skip row groups, and
-``date >= ...`` (added by ``operators.filters.since``) skips folders.
+  <root>/id_mark/...                   the largest id given out by the ingest
+
+Rows are range-partitioned on (date, timestamp, source, ...) before the write,
+so a busy day, or a third of all rows at one instant, is split over many tasks
+and every file covers a narrow time span: the parquet min/max statistics then
+let ``timestamp >= cut`` skip row groups, and ``date >= ...`` (added by
+``operators.filters.since``) skips folders. Times outside years 0000 to 9999
+have no date and go to Spark's default partition.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.filters import utc_date_text
 from ..schema import ATTACKS, DICT, FACT, LEGACY, TEXT_COLUMNS
 
 DATE_COL = "date"
+MARK = StructType([StructField("top", LongType())])
 
 
 def _with_date(df: DataFrame) -> DataFrame:
     return df.withColumn(DATE_COL, utc_date_text("timestamp"))
 
 
-def _layout(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, DATE_COL, "timestamp").sortWithinPartitions(DATE_COL, "timestamp")
+def _layout(df: DataFrame) -> DataFrame:
+    """Ranges of time, then of source and credential: rows of one instant
+    spread too. No fixed number: adaptive execution joins small ranges, so a
+    small batch writes few files."""
+    order = [DATE_COL, "timestamp", "source_ip", "username", "password", "id"]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def write_attacks(attacks: DataFrame, root: str, mode: str = "append", num_partitions: int | None = None) -> None:
+def _append_ids(df: DataFrame, root: str) -> None:
+    """Forget the id mark: rows with ids of their own are about to come in."""
+    if table_exists(df.sparkSession, root, "id_mark"):
+        _write_mark(df.sparkSession, root, [])
+
+
+def _write_mark(spark: SparkSession, root: str, rows: list) -> None:
+    spark.createDataFrame(rows, MARK).coalesce(1).write.mode("overwrite").parquet(f"{root}/id_mark")
+
+
+def reserve_ids(spark: SparkSession, root: str, count: int) -> int:
+    """The first of ``count`` ids that nothing in the store has or will get.
+
+    The mark is kept in a one-row table and written before the rows, so ids of
+    a batch that fails are skipped, never given twice. Without a mark (a store
+    built or appended to by a batch write) the stored ids are looked through
+    once. One ingest at a time writes to a store."""
+    top = None
+    if table_exists(spark, root, "id_mark"):
+        top = spark.read.schema(MARK).parquet(f"{root}/id_mark").agg(F.max("top")).first()[0]
+    if top is None:
+        found = [spark.read.schema(ATTACKS).parquet(f"{root}/{t}").agg(F.max("id")).first()[0] for t in ("attacks", "fact") if table_exists(spark, root, t)]
+        top = max([0, *(x for x in found if x is not None)])
+    _write_mark(spark, root, [(top + count,)])
+    return top + 1
+
+
+def write_attacks(attacks: DataFrame, root: str, mode: str = "append", ids_reserved: bool = False) -> None:
     """Write decoded attacks (id, timestamp, six text columns)."""
-    df = _layout(_with_date(attacks.select(*ATTACKS.fieldNames())), num_partitions)
+    if not ids_reserved:
+        _append_ids(attacks, root)
+    df = _layout(_with_date(attacks.select(*ATTACKS.fieldNames())))
     df.write.mode(mode).partitionBy(DATE_COL).parquet(f"{root}/attacks")
 
 
@@ -59,7 +97,8 @@ def write_dictionaries(dicts, root: str, mode: str = "append") -> None:
         from ..operators.dictionary import stack_dictionaries
 
         dicts = stack_dictionaries(dicts)
-    dicts.select("id", "value", "column").write.mode(mode).partitionBy("column").parquet(f"{root}/dict")
+    # few files a column, more only where there are bytes for them
+    dicts.select("id", "value", "column").hint("rebalance", "column").write.mode(mode).partitionBy("column").parquet(f"{root}/dict")
 
 
 def read_stacked_dictionaries(spark: SparkSession, root: str) -> DataFrame:
@@ -72,8 +111,11 @@ def read_dictionaries(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {c: stacked.filter(stacked["column"] == c).select("id", "value") for c in TEXT_COLUMNS}
 
 
-def write_fact(fact: DataFrame, root: str, mode: str = "append", num_partitions: int | None = None) -> None:
-    df = _layout(_with_date(fact.select(*FACT.fieldNames())), num_partitions)
+def write_fact(fact: DataFrame, root: str, mode: str = "append", ids_reserved: bool = False) -> None:
+    """Write coded rows (id, timestamp, six dictionary ids)."""
+    if not ids_reserved:
+        _append_ids(fact, root)
+    df = _layout(_with_date(fact.select(*FACT.fieldNames())))
     df.write.mode(mode).partitionBy(DATE_COL).parquet(f"{root}/fact")
 
 
@@ -93,11 +135,14 @@ def read_legacy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, root: str, table: str) -> bool:
-    """True when ``<root>/<table>`` can be read as parquet."""
+    """True when ``<root>/<table>`` is there. Anything but a missing path is an
+    error: taking it for an empty history would store duplicates."""
     try:
         spark.read.schema(DICT_STACKED if table == "dict" else _partitioned(ATTACKS)).parquet(f"{root}/{table}")
         return True
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 
@@ -112,4 +157,5 @@ __all__ = [
     "read_coded",
     "read_legacy",
     "table_exists",
+    "reserve_ids",
 ]

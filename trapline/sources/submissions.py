@@ -153,8 +153,17 @@ def _parse_map(df: DataFrame, body: F.Column, tz, name: str = "_pm"):
     """One parse into a map of VARIANT values (all keys kept, in input
     order, repeats included). Rows whose field keys are exact and unique
     (nearly all) read fields by lookup; the others take the folded reading."""
-    m = F.from_json(body, "map<string,variant>", {"mode": "PERMISSIVE"})
-    df = df.withColumn(name, F.explode(F.array(m)))  # parse once, see _parse_exact
+    # The parser stops at the end of the first value, so the body is parsed as
+    # the first of two: text after its closing brace breaks the array or gives
+    # it another length. The second's key is the body's own digest, which no
+    # body can hold, so none can close the array itself.
+    mark = F.md5(body)
+    both = F.from_json(
+        F.concat(F.lit("["), body, F.lit(',{"'), mark, F.lit('":true}]')), "array<map<string,variant>>", {"mode": "PERMISSIVE"}
+    )
+    df = df.withColumn("_both", F.explode(F.array(both))).withColumn("_mark", mark)  # parse once, see _parse_exact
+    whole = (F.size("_both") == 2) & F.coalesce(F.map_contains_key(F.get("_both", F.lit(1)), F.col("_mark")), F.lit(False))
+    df = df.withColumn(name, F.when(whole, F.get("_both", F.lit(0))))
     mc = F.col(name)
     names = F.array(*[F.lit(n) for n in _FIELD_NAMES])
     keys = F.map_keys(mc)

@@ -5,18 +5,23 @@
            route + decode + clean                  (sources.submissions)
            dedup inside the batch, first arrival wins
            anti-join against stored rows of the batch's days only
-           [coded store: extend dictionaries, encode]
-           append rows (and rejected bodies to their own table)
+           [coded store: extend dictionaries, encode once, anti-join on ids]
+           number the new rows above all ids given out so far, append them
+           (rejected bodies and log lines go to tables of their own)
 
 Exact over unbounded history without unbounded state: time is part of the
-uniqueness key, so a duplicate can only sit in the same UTC day folder as
-the new row. Each batch reads just those folders, further narrowed by the
-batch's own time span (parquet row-group statistics), so the work per batch
-follows the batch, not the history.
-
-Re-running a batch (after a failure, or the same input under a new
-checkpoint) adds nothing: the anti-join finds the rows a previous attempt
-wrote. Dictionaries are appended before fact rows; unused ids are harmless.
+uniqueness key, so a duplicate can only sit in the same UTC day folder as the
+new row. The batch's days, a small table, prune the folders that are read, so
+the work per batch follows the batch's days, not the history.
+
+Restarts lose and repeat nothing. Re-running a batch (after a failure, or the
+same input under a new checkpoint) adds nothing: the anti-join finds the rows a
+previous attempt wrote. Ids are reserved before rows are written, so no id is
+given twice; there is no limit to a batch's rows or partitions or to the number
+of batches. Rejected bodies and log lines are kept per run (a checkpoint's
+token) and batch: a rerun of a batch replaces its own rejected bodies with the
+same ones and keeps its log, another run never touches them. Dictionaries are
+appended before fact rows; unused ids are harmless.
 
 No watermark is used: a watermark-bounded dedup would drop records that
 arrive later than its delay, while the original accepts late and
@@ -25,9 +30,13 @@ future-dated records without limit.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import dedup, dictionary
 from ..operators.filters import only_submissions, utc_date_text
@@ -37,147 +46,119 @@ from ..session import checkpoint_root
 from ..sources import store
 from ..sources.submissions import clean, decode_tagged, split
 
-# id layout: batch id in the high bits, then input partition, then row.
-_PART_BITS = 12
-_ROW_BITS = 28
-# Up to this many distinct days in one batch, the history read is narrowed
-# day by day to the batch's own time span; beyond it, to the day list only.
-MAX_DAYS_WITH_SPANS = 64
-
 
 def _arrival_ids(df: DataFrame) -> DataFrame:
     """Arrival number in input order (stable for a replayed file split)."""
     return df.withColumn("_arrival", F.monotonically_increasing_id())
 
 
-def _packed_id(batch_id: int) -> F.Column:
-    if not 0 <= batch_id < (1 << (63 - _PART_BITS - _ROW_BITS)):
-        raise ValueError(f"batch id {batch_id} outside the id layout")
-    arrival = F.col("_arrival")
-    part = F.shiftright(arrival, 33)
-    row = arrival - F.shiftleft(part, 33)
-    too_big = (part >= (1 << _PART_BITS)) | (row >= (1 << _ROW_BITS))
-    packed = (
-        F.shiftleft(F.lit(batch_id).cast("long"), _PART_BITS + _ROW_BITS)
-        + F.shiftleft(part, _ROW_BITS)
-        + row
-    )
-    return F.when(too_big, F.raise_error(F.lit("micro-batch too large for id layout"))).otherwise(packed)
-
-
-def _batch_stats(tagged: DataFrame):
-    """One aggregate over a decoded batch (a row per day, back to the
-    driver): the filter on stored rows that can hold duplicates of the
-    batch's records (their days, and inside each day their own time span),
-    the number of records, and the number of rejected bodies. Dedup inside
-    the batch changes neither the days nor the spans."""
-    stored = F.col("reason").isNull() & ~F.col("test_mode")
-    stats = (
-        tagged.select(
-            F.when(stored, utc_date_text("timestamp")).alias("d"),
-            F.when(stored, F.col("timestamp")).alias("t"),
-            F.col("reason").isNotNull().cast("long").alias("rej"),
-        )
-        .groupBy("d")
-        .agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("t").alias("n"), F.sum("rej").alias("rej"))
-        .collect()
-    )
-    rejected = sum(r["rej"] or 0 for r in stats)
-    spans = [r for r in stats if r["d"] is not None]
-    rows = sum(r["n"] for r in spans)
-    if not spans:
-        return None, 0, rejected
-    if len(spans) > MAX_DAYS_WITH_SPANS:
-        return F.col(store.DATE_COL).isin([r["d"] for r in spans]), rows, rejected
-    cond = F.lit(False)
-    for r in spans:
-        cond = cond | (
-            (F.col(store.DATE_COL) == F.lit(r["d"]))
-            & F.col("timestamp").between(F.lit(r["lo"]), F.lit(r["hi"]))
-        )
-    return cond, rows, rejected
-
-
-# rows per written file of a micro-batch (fewer, larger files for small batches)
-ROWS_PER_FILE = 1_000_000
-
-
-def _write_partitions(spark: SparkSession, rows: int) -> int:
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, -(-rows // ROWS_PER_FILE)))
-
-
-def _write_log(rows_new: DataFrame, batch_id: int, root: str, tz: str | None) -> None:
-    """One text line per newly stored record (one folder per batch)."""
-    line = log_line("timestamp", "source_ip", "username", "password", tz=tz).alias("value")
-    rows_new.orderBy("_arrival").select(line).write.mode("overwrite").text(f"{root}/log/batch_id={batch_id}")
+def number_rows(df: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """``df`` with ``_nth``, gapless from 0 in ``order``, and its row count.
+
+    Rows are range-partitioned and sorted, checkpointed so that their places
+    stay, and counted per partition; only those counts, a row a partition, are
+    gathered."""
+    checkpoint_root(df.sparkSession)
+    placed = df.repartitionByRange(order).sortWithinPartitions(order).checkpoint()
+    part = F.spark_partition_id()
+    placed = placed.withColumn("_part", part).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    out = placed.join(F.broadcast(starts), "_part")  # a row a partition
+    return out.withColumn("_nth", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before"), total
+
+
+def _history(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored rows of the days of ``rows``; other day folders are not read.
+
+    The days are broadcast for that: years 0000 to 9999 have 3.7 million of
+    them, so the table has a bound whatever senders write. Times without a date
+    share one folder, which is always read."""
+    day = F.col(store.DATE_COL)
+    days = rows.select(utc_date_text("timestamp").alias(store.DATE_COL)).distinct().filter(day >= F.lit("0000"))
+    return stored.join(F.broadcast(days), store.DATE_COL, "left_semi").unionByName(stored.filter(day.isNull()))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def _write_log(rows_new: DataFrame, path: str, tz: str | None) -> None:
+    """One text line per newly stored record. It is written before the rows
+    are stored, so once it is there it is whole, and a rerun leaves it."""
+    if not _there(rows_new.sparkSession, path):
+        line = log_line("timestamp", "source_ip", "username", "password", tz=tz).alias("value")
+        rows_new.orderBy("_nth").select(line).write.mode("overwrite").text(path)
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = None,
-                  coded: bool = False, log_lines: bool = False) -> None:
-    """Handle one micro-batch (also usable on a plain batch DataFrame).
-    With ``log_lines``, the records stored by this batch are also written as
-    readable lines to ``<root>/log/batch_id=N``."""
+                  coded: bool = False, log_lines: bool = False, run: str = "batch") -> None:
+    """Handle one micro-batch (also usable on a plain batch DataFrame). ``run``
+    names the sequence of batches that ``batch_id`` counts. With ``log_lines``,
+    the records stored by this batch are also written as readable lines to
+    ``<root>/log/run=<run>/batch_id=N``."""
     spark = batch.sparkSession
     batch = _arrival_ids(batch)
     if "method" in batch.columns and "path" in batch.columns:
         batch = only_submissions(batch).drop("method", "path")
+    place = f"run={run}/batch_id={batch_id}"
     # decode once; accepted and rejected rows are both read from this copy
     tagged = decode_tagged(batch, tz=tz).persist(StorageLevel.MEMORY_AND_DISK)
     rows = None
     try:
-        cond, n_rows, n_rejected = _batch_stats(tagged)
         accepted, rejected = split(tagged)
-        if n_rejected:
-            # one folder per batch, overwritten on a rerun of the same batch
-            (rejected.drop("_arrival")
-             .write.mode("overwrite").parquet(f"{root}/rejected/batch_id={batch_id}"))
-        if cond is None:
+        if not rejected.isEmpty():
+            rejected.drop("_arrival").write.mode("overwrite").parquet(f"{root}/rejected/{place}")
+        rows = dedup.dedup_keep_first(clean(accepted).select("_arrival", *KEY7), KEY7, "_arrival").persist(StorageLevel.MEMORY_AND_DISK)
+        if rows.isEmpty():
             return
-        rows = dedup.dedup_keep_first(clean(accepted).select("_arrival", *KEY7), KEY7, "_arrival")
-        if coded or log_lines:
-            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        parts = _write_partitions(spark, n_rows)
-        log = (lambda new: _write_log(new, batch_id, root, tz)) if log_lines else None
+        table, dicts, values = "attacks", None, rows
         if coded:
-            _append_coded(spark, rows, cond, batch_id, root, parts, log)
-        else:
-            if store.table_exists(spark, root, "attacks"):
-                stored = store.read_attacks(spark, root).filter(cond)
-                rows_new = dedup.drop_seen(rows, stored, KEY7)
-            else:
-                rows_new = rows
-            # the log goes first: appending to the store refreshes every plan
-            # reading it, so the new rows could not be recomputed afterwards
-            if log:
-                log(rows_new)
-            store.write_attacks(rows_new.withColumn("id", _packed_id(batch_id)), root, "append", parts)
+            table, dicts = "fact", _extended_dictionaries(spark, rows, root)
+            values = dictionary.encode(rows, dicts)  # from here on all is done on ids
+        if store.table_exists(spark, root, table):
+            stored = store.read_fact(spark, root) if coded else store.read_attacks(spark, root)
+            values = dedup.drop_seen(values, _history(stored, rows), KEY7)
+        rows_new, count = number_rows(values, "_arrival")
+        if not count:
+            return
+        if log_lines:
+            shown = dictionary.decode(rows_new, dicts, ["source_ip", "username", "password"]) if coded else rows_new
+            _write_log(shown, f"{root}/log/{place}", tz)
+        first = store.reserve_ids(spark, root, count)
+        rows_new = rows_new.withColumn("id", F.lit(first) + F.col("_nth"))
+        (store.write_fact if coded else store.write_attacks)(rows_new, root, "append", ids_reserved=True)
     finally:
         if rows is not None:
             rows.unpersist()
         tagged.unpersist()
 
 
-def _append_coded(spark: SparkSession, rows: DataFrame, cond, batch_id: int, root: str,
-                  parts: int | None = None, log=None) -> None:
-    """Append a batch to the coded store; ``log`` gets the new rows first."""
-    # dictionaries first (one write for all six); unused ids after a failure are harmless
+def _extended_dictionaries(spark: SparkSession, rows: DataFrame, root: str) -> dict[str, DataFrame]:
+    """The stored dictionaries with the batch's values added (one write for all
+    six); unused ids after a failure are harmless."""
     if store.table_exists(spark, root, "dict"):
         fresh = dictionary.new_entries_stacked(store.read_stacked_dictionaries(spark, root), rows)
     else:
         fresh = dictionary.build_dictionaries(rows, stacked=True)
     store.write_dictionaries(fresh, root, "append")
-    dicts = store.read_dictionaries(spark, root)
-    rows_new = rows
-    if store.table_exists(spark, root, "fact"):
-        # duplicates are found on ids: encode, anti-join, keep the values too
-        stored = store.read_fact(spark, root).filter(cond)
-        unseen = dedup.drop_seen(dictionary.encode(rows, dicts), stored, KEY7).select("_arrival")
-        rows_new = rows.join(unseen, "_arrival", "left_semi")
-    if log:
-        log(rows_new)
-    coded = dictionary.encode(rows_new, dicts)
-    store.write_fact(coded.withColumn("id", _packed_id(batch_id)), root, "append", parts)
+    return store.read_dictionaries(spark, root)
+
+
+def _run_token(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the runs that share a checkpoint; kept inside it."""
+    path = f"{checkpoint.rstrip('/')}/ingest_run"
+    if not _there(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex[:12],)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()["value"]
 
 
 def start_ingest(source: DataFrame, root: str, checkpoint: str | None = None, tz: str | None = None,
@@ -185,12 +166,14 @@ def start_ingest(source: DataFrame, root: str, checkpoint: str | None = None, tz
                  query_name: str | None = None, log_lines: bool = False):
     """Start the exact ingest stream. ``source`` is a streaming DataFrame of
     raw bodies (column ``body``) or requests (``method``, ``path``, ``body``).
-    The checkpoint defaults to a folder below the shared checkpoint folder."""
+    The checkpoint defaults to a folder of the store itself, so that a
+    restarted application goes on where the last one stopped."""
     spark = source.sparkSession
     if checkpoint is None:
-        checkpoint = checkpoint_root(spark).rstrip("/") + "/trapline-ingest-" + root.strip("/").replace("/", "_")
+        checkpoint = f"{root.rstrip('/')}/_checkpoint"
+    run = _run_token(spark, checkpoint)
     writer = source.writeStream.foreachBatch(
-        lambda df, bid: process_batch(df, bid, root, tz, coded, log_lines)
+        lambda df, bid: process_batch(df, bid, root, tz, coded, log_lines, run)
     ).option("checkpointLocation", checkpoint)
     if query_name:
         writer = writer.queryName(query_name)
