@@ -86,3 +86,86 @@ def test_batch_over_many_days_is_idempotent(spark):
     again = store.read_attacks(spark, root)
     assert first == again.count() == batch.count()
     assert again.select("date").distinct().count() == 100
+
+
+def _bodies(spark, n, start=0, time="2023-05-01T10:00:00Z", more=()):
+    rows = [(i, '{"source_ip":"10.0.%d.%d","username":"u","password":"p%d","attack_timestamp":"%s"}' % (i // 256, i % 256, i, time)) for i in range(start, start + n)]
+    return spark.createDataFrame([*rows, *more], "n long, body string")
+
+
+def test_new_checkpoints_keep_ids_rejected_and_log_lines(spark):
+    root = scratch_path(spark, "test-runs")
+    ingest.process_batch(_bodies(spark, 50, more=[(900, "bad one")]), 0, root, tz="UTC", log_lines=True, run="a")
+    ingest.process_batch(_bodies(spark, 50, start=25, more=[(901, "bad two")]), 0, root, tz="UTC", log_lines=True, run="b")
+    ingest.process_batch(_bodies(spark, 50, start=25, more=[(901, "bad two")]), 0, root, tz="UTC", log_lines=True, run="b")  # a rerun
+    stored = store.read_attacks(spark, root)
+    assert stored.count() == stored.select("id").distinct().count() == 75
+    assert sorted(r["body"] for r in spark.read.parquet(f"{root}/rejected").collect()) == ["bad one", "bad two"]
+    assert spark.read.text(f"{root}/log").count() == 75
+
+
+def test_ids_go_on_above_rows_written_by_a_batch_job(spark):
+    root = scratch_path(spark, "test-ids")
+    ingest.process_batch(_bodies(spark, 3), 0, root, tz="UTC")
+    top = store.read_attacks(spark, root).agg({"id": "max"}).first()[0]
+    more = store.read_attacks(spark, root).drop("date").selectExpr("id + 1000 AS id", "timestamp + 1 AS timestamp", *KEY7[1:])
+    store.write_attacks(more.checkpoint(), root, "append")
+    ingest.process_batch(_bodies(spark, 4, start=100), 1, root, tz="UTC")
+    ids = [r["id"] for r in store.read_attacks(spark, root).select("id").collect()]
+    assert len(set(ids)) == 10 and max(ids) == top + 1000 + 4
+
+
+def test_rows_without_a_time_late_and_far_future_ones(spark):
+    root = scratch_path(spark, "test-zero")
+    zero = [(10_000 + i, '{"source_ip":"10.9.%d.%d","username":"u","password":"p"}' % (i // 256, i % 256)) for i in range(300)]
+    late = [(20_000, '{"source_ip":"1.1.1.1","username":"u","password":"p","attack_timestamp":"1971-01-01T00:00:00Z"}')]
+    future = [(20_001, '{"source_ip":"1.1.1.1","username":"u","password":"p","attack_timestamp":"9999-12-31T23:59:59-23:30"}')]
+    for k in range(2):  # the second time all is known
+        ingest.process_batch(_bodies(spark, 300, more=[*zero, *late, *future]), k, root, tz="UTC")
+    stored = store.read_attacks(spark, root)
+    assert stored.count() == 602
+    assert stored.filter("timestamp = -62135596800000").count() == 300
+    assert stored.filter("date IS NULL").count() == 1  # a time past year 9999 has no date
+
+
+def test_history_reads_only_the_batch_s_days(spark):
+    root = scratch_path(spark, "test-prune")
+    for day in (1, 2, 3):
+        ingest.process_batch(_bodies(spark, 5, time=f"2023-05-0{day}T10:00:00Z"), day, root, tz="UTC")
+    rows = store.read_attacks(spark, root).filter("date = '2023-05-02'").drop("date").checkpoint()
+    seen = ingest._history(store.read_attacks(spark, root), rows)
+    assert seen.count() == 5
+    assert "dynamicpruning" in seen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_instant_is_written_by_several_tasks(spark):
+    rows = spark.range(200_000).selectExpr("id", "-62135596800000L AS timestamp", "concat('10.', id % 250, '.', id) AS source_ip",
+                                           "'d' AS destination_ip", "'u' AS username", "concat('p', id) AS password", "'t' AS attack_type", "'e' AS evidence")
+    root = scratch_path(spark, "test-hot")
+    store.write_attacks(rows, root, "overwrite")
+    files = store.read_attacks(spark, root).selectExpr("input_file_name() AS f").distinct().count()
+    assert files > 1
+
+
+def test_absurd_stored_time_has_no_text_but_counts(spark):
+    from trapline.plans import views
+
+    root = scratch_path(spark, "test-absurd")
+    rows = spark.createDataFrame([(1, 9 * 10**18, *"abcdef"), (2, 253402300800000, *"abcdef"), (3, 1704164645000, *"abcdef")], "id long, timestamp long, source_ip string, destination_ip string, username string, password string, attack_type string, evidence string")
+    store.write_attacks(rows, root, "overwrite")
+    back = store.read_attacks(spark, root)
+    for tz in ("UTC", "Europe/Berlin"):
+        for name in views.VIEWS:
+            views.build_view(name, back, as_of="2024-01-03T00:00:00Z", tz=tz).collect()
+    assert {r["time"] for r in views.view_log(back, tz="UTC").collect()} == {None, "2024-01-02 03:04:05"}
+    assert views.report_top_attackers_last_24_hours(back, as_of="2024-01-03T00:00:00Z").first()["count"] == 3
+
+
+def test_a_broken_table_is_no_empty_history(spark):
+    import pytest
+
+    root = scratch_path(spark, "test-broken")
+    assert store.table_exists(spark, root, "attacks") is False
+    spark.range(3).selectExpr("CAST(id AS STRING)").write.text(f"{root}/attacks")
+    with pytest.raises(Exception):
+        ingest.process_batch(_bodies(spark, 3), 0, root, tz="UTC")

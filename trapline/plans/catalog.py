@@ -159,16 +159,89 @@ def q_stream_ingest_coded(spark, sf_dir):
     return dictionary.decode(fact.drop("date"), dicts).select(*KEY7)
 
 
-# views also registered over the coded store (aggregate on ids, decode after)
-CODED_VIEWS = [
-    "view_usernames",
-    "view_log",
-    "view_daily_passwords",
-    "view_attack_patterns_by_source",
-    "view_credential_fingerprints",
-    "report_new_credential_fingerprints_last_7_days",
-    "report_top_logins_last_7_days",
-]
+def q_stream_ingest_restart(spark, sf_dir):
+    """Half the input, then all of it under a new checkpoint, onto a store that
+    a backfill began: counts of rows, ids, rejected bodies and log lines."""
+    root = scratch_path(spark, "store")
+    legacy = derived.legacy_records(spark, sf_dir)
+    t = F.col("attack_timestamp")
+    old = backfill_plan.clean_legacy(legacy.filter((t < F.lit(_ms(EARLY_END))) | (t > F.lit(8 * 10**18))))
+    store.write_attacks(old, root, "overwrite")
+    requests = derived.request_log(spark, sf_dir)
+    for k, part in enumerate((requests.filter("event_id % 2 = 0"), requests)):
+        src = scratch_path(spark, "requests")
+        part.repartition(2).write.parquet(src)
+        stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = ingest.start_ingest(stream, root, checkpoint=f"{root}/_checkpoint-{k}", tz=TZ, log_lines=True)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    stored = store.read_attacks(spark, root)
+    kept = stored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+    rejected = spark.read.parquet(f"{root}/rejected").agg(F.count_distinct("event_id").alias("n_rejected"))
+    lines = spark.read.text(f"{root}/log").agg(F.count(F.lit(1)).alias("n_lines"))
+    return kept.join(rejected, F.lit(True)).join(lines, F.lit(True))
+
+
+def q_read_submissions(spark, sf_dir):
+    """Bodies, one a line, read back from text files and decoded."""
+    path = scratch_path(spark, "bodies")
+    derived.request_log(spark, sf_dir).select("body").write.text(path)
+    accepted, _ = submissions.decode(submissions.read_submissions(spark, path), tz=TZ)
+    return submissions.clean(accepted).select(*KEY7).distinct()
+
+
+def q_read_legacy(spark, sf_dir):
+    path = scratch_path(spark, "legacy")
+    derived.legacy_records(spark, sf_dir).write.parquet(path)
+    return store.read_legacy(spark, path)
+
+
+def q_credential_sources(spark, sf_dir):
+    return views.credential_sources(derived.attack_records(spark, sf_dir), tz=TZ)
+
+
+def _skewed(spark, sf_dir):
+    """Attacks whose user names and passwords grow with the rows, one of each holding a third."""
+    a = derived.attack_records(spark, sf_dir)
+    name, word = (F.concat(F.lit(c), F.col("id").cast("string")) for c in ("u", "p"))
+    hot = F.col("id") % 3 == 0
+    return a.withColumns({"username": F.when(hot, F.lit("root")).otherwise(name), "password": F.when(hot, F.lit("hot")).otherwise(word)}).checkpoint(eager=True)
+
+
+def q_encode_skewed(spark, sf_dir):
+    attacks = _skewed(spark, sf_dir)
+    return dictionary.encode(attacks, dictionary.build_dictionaries(attacks))
+
+
+def q_decode_skewed(spark, sf_dir):
+    attacks = _skewed(spark, sf_dir)
+    dicts = dictionary.build_dictionaries(attacks)
+    return dictionary.decode(dictionary.encode(attacks, dicts), dicts)
+
+
+# views also registered over the stored table, read through its folders
+STORED_VIEWS = ["view_daily_attacks", "report_top_usernames_last_7_days", "report_hourly_attacks_last_7_days"]
+# and through SQL on the registered views
+SQL_VIEWS = ["view_logins", "report_top_logins_last_7_days"]
+
+
+def _stored_view_query(name: str, by_sql: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_path(spark, "store")
+        store.write_attacks(derived.attack_records(spark, sf_dir), root, "overwrite")
+        attacks = store.read_attacks(spark, root)
+        if by_sql:
+            views.register_views(spark, attacks, as_of=AS_OF, tz=TZ)
+            return spark.sql(f"SELECT * FROM {name}")
+        return views.build_view(name, attacks, as_of=AS_OF, tz=TZ)
+
+    run.__name__ = f"{'sql' if by_sql else 'stored'}_{name}"
+    return run
+
+
+# all views are also registered over the coded store (aggregate on ids, decode after)
+CODED_VIEWS = list(views.VIEWS)
 
 
 def _coded_store(spark: SparkSession, sf_dir: str):
@@ -190,6 +263,8 @@ def _coded_view_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _view_query(name) for name in views.VIEWS}
     out.update({f"coded_{name}": _coded_view_query(name) for name in CODED_VIEWS})
+    out.update({f"stored_{name}": _stored_view_query(name, False) for name in STORED_VIEWS})
+    out.update({f"sql_{name}": _stored_view_query(name, True) for name in SQL_VIEWS})
     out.update(
         {
             "decode_submissions": q_decode_submissions,
@@ -212,6 +287,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "log_lines": q_log_lines,
             "stream_ingest": q_stream_ingest,
             "stream_ingest_coded": q_stream_ingest_coded,
+            "stream_ingest_restart": q_stream_ingest_restart,
+            "read_submissions": q_read_submissions,
+            "read_legacy": q_read_legacy,
+            "credential_sources": q_credential_sources,
+            "encode_skewed_attacks": q_encode_skewed,
+            "decode_skewed_attacks": q_decode_skewed,
         }
     )
     return out
@@ -350,25 +431,30 @@ _UNICODE_TRIM = " || ".join(
     f"chr({c})" for c in [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 )
 
-_SUBMITTED = _SUB + f""",
+def _submitted(routed: str) -> str:
+    return _SUB + f""",
 submitted AS (
-  SELECT event_id, "timestamp", source_ip, destination_ip, username, password, attack_type,
+  SELECT event_id, CASE WHEN event_id % 200 = 55 THEN -62135596800000 ELSE "timestamp" END AS "timestamp",
+         source_ip, destination_ip, username, password, attack_type,
          trim(evidence, {_UNICODE_TRIM}) AS evidence
   FROM resub
-  WHERE event_id % 40 NOT IN (11, 21) AND event_id % 200 NOT IN (5, 6) AND NOT test_mode
+  WHERE {routed} AND event_id % 200 NOT IN (5, 6, 15, 25, 35) AND NOT test_mode
 )
 """
 
+
+_SUBMITTED = _submitted("event_id % 40 NOT IN (11, 21)")
+
 _LEGACY = _SUB + """,
 legacy AS (
   SELECT 2 * event_id + 1 AS id, source_ip, destination_ip,
          CASE WHEN event_id % 50 = 7 THEN NULL ELSE username END AS username,
-         password, "timestamp" AS attack_timestamp, evidence, attack_type
+         password, CASE WHEN event_id % 200 = 14 THEN 9000000000000000000 ELSE "timestamp" END AS attack_timestamp, evidence, attack_type
   FROM sub
   UNION ALL
   SELECT 2 * event_id + 2 AS id, source_ip, destination_ip,
          CASE WHEN event_id % 50 = 7 THEN NULL ELSE username END AS username,
-         password, "timestamp" AS attack_timestamp, evidence, attack_type
+         password, CASE WHEN event_id % 200 = 14 THEN 9000000000000000000 ELSE "timestamp" END AS attack_timestamp, evidence, attack_type
   FROM sub WHERE event_id % 10 = 3
 )
 """
@@ -397,9 +483,9 @@ def _operator_sql() -> dict[str, str]:
     q = {}
     q["decode_submissions"] = f"WITH {_SUBMITTED} SELECT event_id, {_K7} FROM submitted"
     q["rejected_submissions"] = (
-        f"WITH {_SUB} SELECT event_id, CASE WHEN event_id % 200 = 5 THEN 'not_json_object' "
-        "ELSE 'bad_attack_timestamp' END AS reason FROM resub "
-        "WHERE event_id % 40 NOT IN (11, 21) AND event_id % 200 IN (5, 6)"
+        f"WITH {_SUB} SELECT event_id, CASE WHEN event_id % 200 = 6 THEN 'bad_attack_timestamp' "
+        "ELSE 'not_json_object' END AS reason FROM resub "
+        "WHERE event_id % 40 NOT IN (11, 21) AND event_id % 200 IN (5, 6, 15, 25, 35)"
     )
     q["dedup_submissions"] = (
         f"WITH {_SUBMITTED} SELECT min(event_id + 1) AS id, {_K7} FROM submitted GROUP BY {_K7}"
@@ -449,6 +535,30 @@ def _operator_sql() -> dict[str, str]:
     stream = f"WITH {_SUBMITTED} SELECT DISTINCT {_K7} FROM submitted"
     q["stream_ingest"] = stream
     q["stream_ingest_coded"] = stream
+    legacy_old = (
+        "old AS (SELECT DISTINCT attack_timestamp AS \"timestamp\", source_ip, destination_ip, username, password, attack_type, "
+        "trim(evidence, ' ' || chr(9) || chr(10) || chr(13)) AS evidence FROM legacy WHERE "
+        + " AND ".join(f"{c} IS NOT NULL" for c in _TEXT)
+        + f" AND (attack_timestamp < {_ms(EARLY_END)} OR attack_timestamp > 8000000000000000000))"
+    )
+    q["stream_ingest_restart"] = (
+        f"WITH {_SUBMITTED}, {_LEGACY.replace(_SUB, '', 1).lstrip(chr(44) + chr(10))}, {legacy_old}, "
+        f"every AS (SELECT {_K7} FROM old UNION SELECT {_K7} FROM submitted) "
+        "SELECT (SELECT count(*) FROM every) AS n_rows, (SELECT count(*) FROM every) AS n_ids, "
+        "(SELECT count(DISTINCT event_id) FROM resub WHERE event_id % 40 NOT IN (11, 21) AND event_id % 200 IN (5, 6, 15, 25, 35)) AS n_rejected, "
+        "(SELECT count(*) FROM every) - (SELECT count(*) FROM old) AS n_lines"
+    )
+    q["read_submissions"] = f"WITH {_submitted('TRUE')} SELECT DISTINCT {_K7} FROM submitted"
+    q["read_legacy"] = f"WITH {_LEGACY} SELECT * FROM legacy"
+    q["credential_sources"] = _with(
+        f"SELECT username, password, source_ip, count(*) AS uses, min({_TS}) AS first_seen, max({_TS}) AS last_seen FROM timed GROUP BY 1, 2, 3"
+    )
+    skewed = (
+        ", skewed AS (SELECT id, \"timestamp\", source_ip, destination_ip, CASE WHEN id % 3 = 0 THEN 'root' ELSE 'u' || id END AS username, "
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'p' || id END AS password, attack_type, evidence FROM attacks)"
+    )
+    q["encode_skewed_attacks"] = _with(skewed + ", " + ", ".join(_dict_cte(c, "skewed") for c in _TEXT) + " " + _encode_select("skewed"))
+    q["decode_skewed_attacks"] = _with(skewed + f" SELECT id, {_K7} FROM skewed")
     return q
 
 
@@ -456,5 +566,7 @@ def oracle_sql() -> dict[str, str]:
     plain = _view_sql()
     out = dict(plain)
     out.update({f"coded_{name}": plain[name] for name in CODED_VIEWS})
+    out.update({f"stored_{name}": plain[name] for name in STORED_VIEWS})
+    out.update({f"sql_{name}": plain[name] for name in SQL_VIEWS})
     out.update(_operator_sql())
     return out

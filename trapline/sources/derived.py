@@ -78,8 +78,11 @@ def _time_spelling(e: F.Column) -> F.Column:
     zulu = F.concat(_iso_clock(utc_clock), F.lit("Z"))
     plus2 = F.concat(_iso_clock(F.timestamp_add("HOUR", F.lit(2), utc_clock)), F.lit("+02:00"))
     bare = _iso_clock(utc_clock)
+    wide = F.concat(_iso_clock(F.timestamp_add("MINUTE", F.lit(23 * 60 + 30), utc_clock)), F.lit("+23:30"))
     return (
         F.when(e % 200 == 6, F.lit("yesterday"))
+        .when(e % 200 == 45, wide)
+        .when(e % 200 == 55, F.lit(None).cast("string"))
         .when(e % 3 == 0, zulu)
         .when(e % 3 == 1, plus2)
         .otherwise(bare)
@@ -89,8 +92,10 @@ def _time_spelling(e: F.Column) -> F.Column:
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw requests (event_id, method, path, body) as a sensor proxy logs them.
 
-    Bodies are JSON objects; every 200th event (residue 5) is cut short and
-    residue 6 has an unreadable time. Zone-less times are UTC clock times.
+    Bodies are JSON objects; of every 200 events residue 5 is cut short,
+    residue 6 has an unreadable time, 15, 25 and 35 have text after the closing
+    brace (a second object, a brace, an array's end and start), 45 has an offset
+    of nearly a day and 55 no time. Zone-less times are UTC clock times.
     Residue 11 of 40 is a GET, residue 21 of 40 goes to another path.
     """
     records = with_resubmissions(sensor_records(read_table(spark, sf_dir, "events", balance=True)))
@@ -107,7 +112,13 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("test_mode"),
         )
     )
-    body = F.when(e % 200 == 5, F.substring(body, 1, 40)).otherwise(body)
+    body = (
+        F.when(e % 200 == 5, F.substring(body, 1, 40))
+        .when(e % 200 == 15, F.concat(body, body))
+        .when(e % 200 == 25, F.concat(body, F.lit("}")))
+        .when(e % 200 == 35, F.concat(body, F.lit("],["), body))
+        .otherwise(body)
+    )
     return records.select(
         e.alias("event_id"),
         F.when(e % 40 == 11, F.lit("GET")).otherwise(F.lit("POST")).alias("method"),
@@ -119,7 +130,8 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat first-generation table: untrimmed, with repeats and NULLs.
 
-    id = 2 * event_id + 1; username NULL for residue 7 of 50; resubmitted rows
+    id = 2 * event_id + 1; username NULL for residue 7 of 50; a time far beyond
+    any calendar for residue 14 of 200; resubmitted rows
     (residue 3 of 10) appear again with the id that follows.
     """
     records = sensor_records(read_table(spark, sf_dir, "events"))
@@ -130,7 +142,7 @@ def legacy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "destination_ip",
         F.when(e % 50 == 7, F.lit(None).cast("string")).otherwise(F.col("username")).alias("username"),
         "password",
-        F.col("timestamp").alias("attack_timestamp"),
+        F.when(e % 200 == 14, F.lit(9 * 10**18)).otherwise(F.col("timestamp")).alias("attack_timestamp"),
         "evidence",
         "attack_type",
         "event_id",

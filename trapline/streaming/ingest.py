@@ -36,7 +36,6 @@ from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import dedup, dictionary
 from ..operators.filters import only_submissions, utc_date_text
@@ -61,13 +60,14 @@ def number_rows(df: DataFrame, order: str) -> tuple[DataFrame, int]:
     checkpoint_root(df.sparkSession)
     placed = df.repartitionByRange(order).sortWithinPartitions(order).checkpoint()
     part = F.spark_partition_id()
-    placed = placed.withColumn("_part", part).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    out = placed.join(F.broadcast(starts), "_part")  # a row a partition
-    return out.withColumn("_nth", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before"), total
+    counts = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}
+    starts, total = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        starts.append(F.lit(total).cast("long"))
+        total += counts.get(k, 0)
+    at = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
+    nth = (F.get(F.array(*starts), part) + at) if starts else F.lit(0).cast("long")
+    return placed.withColumn("_nth", nth), total
 
 
 def _history(stored: DataFrame, rows: DataFrame) -> DataFrame:
@@ -115,11 +115,12 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
     rows = None
     try:
         accepted, rejected = split(tagged)
-        if not rejected.isEmpty():
+        n_rejected, n_accepted = tagged.agg(F.count("reason"), F.count(F.lit(1)) - F.count("reason")).first()
+        if n_rejected:
             rejected.drop("_arrival").write.mode("overwrite").parquet(f"{root}/rejected/{place}")
-        rows = dedup.dedup_keep_first(clean(accepted).select("_arrival", *KEY7), KEY7, "_arrival").persist(StorageLevel.MEMORY_AND_DISK)
-        if rows.isEmpty():
+        if not n_accepted:
             return
+        rows = dedup.dedup_keep_first(clean(accepted).select("_arrival", *KEY7), KEY7, "_arrival").persist(StorageLevel.MEMORY_AND_DISK)
         table, dicts, values = "attacks", None, rows
         if coded:
             table, dicts = "fact", _extended_dictionaries(spark, rows, root)
