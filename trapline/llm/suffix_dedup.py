@@ -38,7 +38,7 @@ from .suffix_sort import sort_suffixes
 
 WINDOW = 100
 SEED = 16
-HOT_BLOCKS = 1000
+HOT_BLOCKS = 20_000
 #: block bytes sorted together, at the next anchor
 SORT_BYTES = 1 << 20
 _BLOCK_ROWS = "anchor long, lead int, windows int, start long, order_id long, row_key long, content binary"
@@ -79,6 +79,7 @@ def _open_batches(batches: Iterator[pa.RecordBatch], window: int, seed: int) ->
                 ],
                 names=["anchor", "lead", "windows", "start", "order_id", "row_key", "content"],
             )
+    common.give_back()
 
 
 def repeated_windows(
@@ -156,6 +157,7 @@ def _sort_batches(batches: Iterator[pa.RecordBatch], window: int, seed: int) ->
         row, lo = np.nonzero(edge == 1)
         hi = np.nonzero(edge == -1)[1]
         yield pa.record_batch({"row_key": pa.array(row_key[row]), "lo": pa.array(start[row] + lo), "hi": pa.array(start[row] + hi)})
+    common.give_back()
 
 
 def sorted_repeats(rows: DataFrame, marks: DataFrame, window: int, seed: int) -> DataFrame:
@@ -206,6 +208,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], window: int, seed: int, kept
                 ],
                 names=[*kept, "kept_bytes", "n_bytes", "n_removed", "n_spans"],
             )
+    common.give_back()
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
