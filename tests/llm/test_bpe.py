@@ -90,3 +90,14 @@ def test_query(spark, library):
         ids = library.encode(t)
         want[d] = len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids))
     assert {r["doc_id"]: tuple(r)[1:] for r in queries.op10_sentencepiece(spark, SF).collect()} == want
+
+
+def test_round_trip_is_encode_and_decode(spark):
+    docs = awkward(spark, CLASHES)
+    model = queries.piece_model()
+    one = bpe.round_trip(docs, model).select("doc_id", "text", "ids", "decoded", "score").collect()
+    two = bpe.encode(docs, model).collect()
+    back = bpe.decode(bpe.encode(docs, model), model).collect()
+    assert sorted((repr((r["doc_id"], r["ids"])) for r in one)) == sorted(repr((r["doc_id"], r["ids"])) for r in two)
+    assert sorted((repr((r["doc_id"], r["decoded"])) for r in one)) == sorted(repr((r["doc_id"], r["decoded"])) for r in back)
+    assert bpe.round_trip(empty(spark), model).collect() == []

@@ -358,6 +358,31 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     return docs.mapInArrow(lambda it: _encode_batches(it, model_path, at), schema)
 
 
+def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+    """``docs`` with the ``ids`` of its text, and ``decoded``, the text decoded from those ids.
+
+    The same as ``encode`` and ``decode``, by one Python worker a task.
+    """
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model_path)
+        for batch in found:
+            raw, off = common.flat(batch.column("text"))
+            for lo, hi in common.slices(off):
+                data = raw[off[lo] : off[hi]].tobytes()
+                ids, at = encoder([data[a:b].decode("utf-8", "replace") for a, b in zip(off[lo:hi] - off[lo], off[lo + 1 : hi + 1] - off[lo])])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                texts = pa.array(encoder.model.decode_rows(ids, at), pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), lists, texts], names=[*kept, "ids", "decoded"])
+        del encoder
+        common.give_back()
+
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    rows = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in kept])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "ids array<int>", "decoded string"])
+    return rows.mapInArrow(batches, schema)
+
+
 def _decode_batches(batches: Iterator[pa.RecordBatch], path: str, ids_at: int) -> Iterator[pa.RecordBatch]:
     found = model(path)
     for batch in batches:

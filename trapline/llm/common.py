@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -134,6 +136,13 @@ def joined(raw: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int = 0x20)
     return out, at
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(docs: DataFrame, work: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], added: dict[str, str]) -> DataFrame:
     """``docs`` with columns worked out from slices of its texts.
 
@@ -150,6 +159,7 @@ def add_columns(docs: DataFrame, work: Callable[[np.ndarray, np.ndarray], dict[s
                 new = work(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(new[c] for c in added)], names=[*kept, *added])
+        give_back()
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} {kind}" for c, kind in added.items()]
     return rows.mapInArrow(batches, ", ".join(schema))

@@ -82,6 +82,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], units: Units, length: int,
                 "anchor": pa.array(common.signed(anchor)), "block": pa.array(common.signed(b.block[once])),
                 "salt": pa.array(salt.astype(np.int32)), "order_id": pa.array(order_id[row]), "row_key": pa.array(row_key[row]),
             })
+    common.give_back()
 
 
 def block_rows(rows: DataFrame, units: Units, length: int, seed: int, heavy: np.ndarray | None = None) -> DataFrame:
@@ -165,6 +166,7 @@ def _window_batches(batches: Iterator[pa.RecordBatch], units: Units, length: int
                 "h1": pa.array(common.signed(one)), "h2": pa.array(common.signed(two)), "start": pa.array((starts - at[row]).astype(np.int64)),
                 "order_id": pa.array(order_id[lo + row]), "row_key": pa.array(row_key[lo + row]),
             })
+    common.give_back()
 
 
 def open_windows(rows: DataFrame, marks: DataFrame, units: Units, length: int, seed: int) -> DataFrame:

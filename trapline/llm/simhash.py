@@ -66,6 +66,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Ite
             parts.append(fingerprints(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], shingle))
         fp = pa.array(common.signed(np.concatenate(parts)))
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "fp": fp})
+    common.give_back()
 
 
 def row_key() -> Column:

@@ -62,6 +62,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], window: int, seed: int, kept
                 [*(batch.column(c).slice(lo, hi - lo) for c in kept), pa.array(texts, pa.string()), pa.array(n_words), pa.array(n_words - np.diff(count[words]))],
                 names=[*kept, "kept_text", "n_words", "n_removed"],
             )
+    common.give_back()
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:

@@ -199,7 +199,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if toxic.all() or not toxic.any():
         return Model(nothing, np.zeros(1), 0.0, np.zeros((2, 2)), np.zeros(4), 0.0)
     raw, off = common.flat(pa.array(texts, pa.large_string()))
-    found = tokens(raw[: off[-1]], off)
+    parts = [(off[lo], tokens(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])) for lo, hi in common.slices(off)]
+    counts = np.concatenate([np.diff(t.words) for _, t in parts])
+    found = Tokens(
+        np.concatenate([t.start + base for base, t in parts]), np.concatenate([t.end + base for base, t in parts]),
+        np.append(0, np.cumsum(counts)), np.concatenate([t.features for _, t in parts]),
+    )
+    del parts, raw
     doc = np.repeat(np.arange(len(texts)), np.diff(found.words))
     # groups of documents that each feature stands in, over both kinds
     group = np.full(len(texts), np.uint64(2**64 - 1))
@@ -250,6 +256,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         model.bias -= change[-5]
         model.move -= change[-4:].reshape(2, 2)
     model.scale = _fit_logistic(summaries(model.marginals(found), found.words), toxic)
+    del found, doc, group, target
+    common.give_back()
     return model
 
 
