@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import bpe, decontam, queries, repeats, simhash, substring_dedup, toxicity
+from trapline.llm import decontam, queries, repeats, simhash, substring_dedup, toxicity
 from trapline.llm.shipping import prepare
 
 TOXIC = 0.7
@@ -73,12 +73,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and the digests of an exact round trip."""
     prepare(spark)
-    model = queries.piece_model()
-    encoded = bpe.encode(docs.select("doc_id", "text"), model)
-    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
-    rows = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), "ids", F.col("ids").alias("_again"))
-    decoded = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    return bpe.decode(rows, model, ids="_again").select("doc_id", "n_tokens", "ids_sha256", decoded, "ids")
+    return queries.token_digests(docs, queries.piece_model())
 
 
 STAGES = [
