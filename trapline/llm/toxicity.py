@@ -199,22 +199,22 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if toxic.all() or not toxic.any():
         return Model(nothing, np.zeros(1), 0.0, np.zeros((2, 2)), np.zeros(4), 0.0)
     raw, off = common.flat(pa.array(texts, pa.large_string()))
-    parts = [(off[lo], tokens(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])) for lo, hi in common.slices(off)]
-    counts = np.concatenate([np.diff(t.words) for _, t in parts])
-    found = Tokens(
-        np.concatenate([t.start + base for base, t in parts]), np.concatenate([t.end + base for base, t in parts]),
-        np.append(0, np.cumsum(counts)), np.concatenate([t.features for _, t in parts]),
-    )
-    del parts, raw
-    doc = np.repeat(np.arange(len(texts)), np.diff(found.words))
+    parts = [tokens(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in common.slices(off)]
+    words = np.append(0, np.cumsum(np.concatenate([np.diff(t.words) for t in parts])))
+    del raw
+
+    def column_of(k: int) -> np.ndarray:
+        return np.concatenate([t.features[:, k] for t in parts])
+
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(words))
     # groups of documents that each feature stands in, over both kinds
     group = np.full(len(texts), np.uint64(2**64 - 1))
-    np.minimum.at(group, doc, found.features[:, 0])
+    np.minimum.at(group, doc, column_of(0))
     group = np.unique(group, return_inverse=True)[1]
     groups = [len(np.unique(group[k])) for k in (toxic, ~toxic)]
     target, used = np.zeros(len(doc), bool), []
-    for column in found.features.T:  # a feature is of one column
-        known, inverse = np.unique(column, return_inverse=True)
+    for k in range(1 + len(PREFIXES)):  # a feature is of one column
+        known, inverse = np.unique(column_of(k), return_inverse=True)
         inverse = inverse.astype(np.int32)
         in_toxic, in_clean = (_holders(inverse, group[doc], len(known), keep) for keep in (toxic[doc], ~toxic[doc]))
         lift = (in_toxic + 0.5) / (groups[0] + 1) / ((in_clean + 0.5) / (groups[1] + 1))
@@ -225,7 +225,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     target &= toxic[doc]
     index = FeatureIndex(np.concatenate(used))
     # chains with a toxic token, and about as many others
-    start, length = chains(found.words)
+    start, length = chains(words)
     hot = np.add.reduceat(target, start) > 0 if len(start) else np.zeros(0, bool)
     cold = np.flatnonzero(~hot)
     order = np.argsort(common.mix(cold.astype(np.uint64)))
@@ -234,7 +234,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     inside = np.arange(CHAIN)[None, :] < length[:, None]
     at = (start[:, None] + np.arange(CHAIN)[None, :])[inside]
     y = target[at].astype(float)
-    features, y_blocks = index.find(found.features[at]), np.zeros(inside.shape)
+    features, y_blocks = index.find(np.stack([column_of(k)[at] for k in range(1 + len(PREFIXES))], axis=1)), np.zeros(inside.shape)
     y_blocks[inside] = y
     here = features >= 0
     moved = np.array([[((y_blocks[:, :-1] == s) & (y_blocks[:, 1:] == t) & inside[:, 1:]).sum() for t in (0, 1)] for s in (0, 1)], float)
@@ -255,8 +255,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         model.weights -= change[:-5]
         model.bias -= change[-5]
         model.move -= change[-4:].reshape(2, 2)
-    model.scale = _fit_logistic(summaries(model.marginals(found), found.words), toxic)
-    del found, doc, group, target
+    model.scale = _fit_logistic(np.concatenate([summaries(model.marginals(t), t.words) for t in parts]), toxic)
+    del parts, doc, group, target
     common.give_back()
     return model
 
