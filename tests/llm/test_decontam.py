@@ -95,3 +95,29 @@ def test_query_finds_every_verbatim_item(spark):
         text = next(x["text"] for x in docs if x["doc_id"] == d)
         assert slow_lcs(words[i].words, decontam._hashes(text).tolist()) >= decontam.PARAPHRASED * len(words[i].words)
     assert truth and truth <= got
+
+
+def planted(spark, least, most, count, seed=5):
+    """Items of ``least`` to ``most`` words cut from documents, and other documents that hold one whole."""
+    from trapline.llm.shipping import prepare
+
+    prepare(spark)
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) > 1500").orderBy("doc_id").limit(2 * count).collect()
+    rng, items, docs = random.Random(seed), [], []
+    for k in range(count):
+        source, host = rows[k]["text"].split(), rows[count + k]["text"].split()
+        n, cut = rng.randint(least, most), rng.randrange(len(host))
+        at = rng.randrange(len(source) - n)
+        items.append((k, " ".join(source[at : at + n])))
+        docs.append((k, " ".join(host[:cut] + source[at : at + n] + host[cut:])))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+
+def missed(docs, benchmark):
+    """Items of ``planted`` that are not found, but for those that count as too short."""
+    got = {(r["doc_id"], x["item_id"]) for r in decontam.find_leaks(docs, benchmark).collect() for x in r["leaks"]}
+    return [k for k, text in benchmark.collect() if len(decontam.item_of(k, text).words) >= decontam.LEAST_WORDS and (k, k) not in got]
+
+
+def test_recall_does_not_depend_on_the_size_of_the_benchmark(spark):
+    assert missed(*planted(spark, 15, 59, 2000)) == []

@@ -12,8 +12,11 @@ and a stretch of the document of about its length holds ``COPIED`` of the item's
 words, or ``PARAPHRASED`` of them if the item's answer, its last sentence, also
 stands there word for word.
 
-Tasks get the passages' vectors and words, at most ``MAX_PASSAGES`` passages at a
-time; a larger benchmark is searched in parts, each over all documents.
+A space has at most ``RANK`` passages (more only if one item alone has more) and
+as many directions as passages, so it holds each of them whole and a benchmark's
+size does not matter to what is found. Tasks get the vectors and words of all
+spaces of a part, at most ``MAX_PASSAGES`` passages (or one item) at a time; a
+larger benchmark is searched in parts, each over all documents.
 
 Defined cases: a null or wordless text has no leaks; items that are null or have
 fewer than ``LEAST_WORDS`` words are not searched for; of items of equal id the
@@ -25,7 +28,7 @@ kept; a column named ``leaks`` is replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -210,9 +213,8 @@ class Model:
         keep = more | (count[row] == 1)
         return row[keep], first[keep], whole[keep]
 
-    def leaks(self, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """``(text, item, cosine, share)`` of every leak."""
-        hashes, words = words_of(raw, off)
+    def leaks(self, hashes: np.ndarray, words: np.ndarray) -> list[tuple[int, int, float, float]]:
+        """``(text, item, cosine, share)`` of every leak in texts of these words."""
         row, first, x = self.windows(hashes, words)
         size = np.sqrt(np.einsum("ij,ij->i", x, x))
         some = np.flatnonzero(size > 0)
@@ -234,20 +236,45 @@ class Model:
         return [(r, i, *v) for (r, i), v in sorted(found.items())]
 
 
-def fit(docs: DataFrame, items: list[Item]) -> Model:
-    """The latent space of the items' passages, with frequencies of ``docs``."""
-    spark = docs.sparkSession
+def passages_of(item: Item) -> list[np.ndarray]:
+    starts = range(0, max(1, len(item.words) - PASSAGE // 2), PASSAGE // 2)
+    return [np.array(item.words[k : k + PASSAGE], np.uint64) for k in starts]
+
+
+def grouped(items: Iterable[Item], most: int) -> Iterator[list[Item]]:
+    """The items in groups of at most ``most`` passages, or of one item."""
+    held, passages = [], 0
+    for item in items:
+        more = len(passages_of(item))
+        if held and passages + more > most:
+            yield held
+            held, passages = [], 0
+        held.append(item)
+        passages += more
+    if held:
+        yield held
+
+
+def fit(docs: DataFrame, items: list[Item]) -> list[Model]:
+    """The latent spaces of the items' passages, with frequencies of ``docs``."""
+    every = Vocabulary(np.array([w for i in items for w in i.words], np.uint64))
+    idf = inverse_frequencies(docs, every)
+    return [_space(docs.sparkSession, group, every, idf) for group in grouped(items, RANK)]
+
+
+def _space(spark: SparkSession, items: list[Item], every: Vocabulary, every_idf: np.ndarray) -> Model:
+    """The latent space of one group of items; it has a direction for each passage."""
     vocabulary = Vocabulary(np.array([w for i in items for w in i.words], np.uint64))
-    idf = inverse_frequencies(docs, vocabulary)
+    idf = every_idf[np.searchsorted(every.known, vocabulary.known)]
     rows, owner = [], []
     for number, item in enumerate(items):
-        for k in range(0, max(1, len(item.words) - PASSAGE // 2), PASSAGE // 2):
-            column, n = np.unique(vocabulary.find(np.array(item.words[k : k + PASSAGE], np.uint64))[1], return_counts=True)
+        for words in passages_of(item):
+            column, n = np.unique(vocabulary.find(words)[1], return_counts=True)
             weight = n * idf[column]
             rows.append((len(rows), column.tolist(), (weight / np.linalg.norm(weight)).tolist()))
             owner.append(number)
     passages = spark.createDataFrame(rows, "passage long, columns array<long>, weights array<double>")
-    space = randomised_svd(passages, len(vocabulary.known))
+    space = randomised_svd(passages, len(vocabulary.known), max(RANK, len(rows)))
     latent = np.zeros((len(rows), space.shape[1]))
     for i, column, weight in rows:
         latent[i] = np.array(weight) @ space[column]
@@ -256,27 +283,20 @@ def fit(docs: DataFrame, items: list[Item]) -> Model:
 
 
 def parts_of(benchmark: DataFrame) -> Iterator[list[Item]]:
-    """The items that are searched for, in parts of at most MAX_PASSAGES passages."""
-    held, passages = [], 0
-    for r in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
-        item = item_of(r["item_id"], r["text"])
-        if len(item.words) < LEAST_WORDS:
-            continue
-        held.append(item)
-        passages += 1 + len(item.words) // (PASSAGE // 2)
-        if passages >= MAX_PASSAGES:
-            yield held
-            held, passages = [], 0
-    if held:
-        yield held
+    """The items that are searched for, in parts of at most MAX_PASSAGES passages, or of one item."""
+    texts = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = (item_of(r["item_id"], r["text"]) for r in texts.orderBy("item_id", "text").toLocalIterator())
+    return grouped((i for i in items if len(i.words) >= LEAST_WORDS), MAX_PASSAGES)
 
 
-def _leak_slice(model: Model, raw: np.ndarray, off: np.ndarray) -> dict[str, pa.Array]:
-    found = model.leaks(raw, off)
+def _leak_slice(models: list[Model], raw: np.ndarray, off: np.ndarray) -> dict[str, pa.Array]:
+    hashes, words = words_of(raw, off)
+    found = [(r, m.items[i].item_id, c, s) for m in models for r, i, c, s in m.leaks(hashes, words)]
+    found.sort(key=lambda x: x[0])  # stable: items stay in order
     at = np.zeros(len(off), np.int32)
     np.cumsum(np.bincount([r for r, *_ in found], minlength=len(off) - 1), out=at[1:])
     columns = [
-        pa.array([model.items[i].item_id for _, i, _, _ in found], pa.int64()), pa.array([c for _, _, c, _ in found], pa.float64()),
+        pa.array([i for _, i, _, _ in found], pa.int64()), pa.array([c for _, _, c, _ in found], pa.float64()),
         pa.array([s for _, _, _, s in found], pa.float64()),
     ]
     return {"leaks": pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(columns, names=["item_id", "cosine", "share"]))}
@@ -289,7 +309,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with ``leaks``: the benchmark items each document holds."""
     out = docs.select(*[c for c in docs.columns if c.lower() != "leaks"]).withColumn("_leaks", F.array().cast(LEAKS))
     for items in parts_of(benchmark):
-        model = fit(docs, items)
-        more = common.add_columns(out, lambda raw, off, m=model: _leak_slice(m, raw, off), {"leaks": LEAKS})
+        models = fit(docs, items)
+        more = common.add_columns(out, lambda raw, off, m=models: _leak_slice(m, raw, off), {"leaks": LEAKS})
         out = more.withColumn("_leaks", F.concat("_leaks", "leaks")).drop("leaks")
     return out.withColumnRenamed("_leaks", "leaks")
