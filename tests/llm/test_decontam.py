@@ -121,3 +121,7 @@ def missed(docs, benchmark):
 
 def test_recall_does_not_depend_on_the_size_of_the_benchmark(spark):
     assert missed(*planted(spark, 15, 59, 2000)) == []
+
+
+def test_short_items_beside_rare_benchmark_words(spark):
+    assert missed(*planted(spark, 6, 14, 600)) == []

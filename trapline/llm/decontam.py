@@ -7,10 +7,14 @@ decomposition: each multiplication is a Spark job over the passages whose
 partial products are summed by blocks of terms. Every window of ``WINDOW`` words
 of every document (one begins each ``STEP`` words) is folded into that latent
 space and compared with all passages by cosine; pairs of at least ``COSINE`` are
-candidates. A candidate is a leak if the longest common subsequence of the item
+candidates. So that a short item is not lost among its window's other words, wider
+windows, one of which holds any passage whole, are compared by the part of the
+passage's weight that they cover, whatever else they hold; from ``COVERED`` on they
+are candidates, so a word for word copy always is one. A candidate is a leak if the longest common subsequence of the item
 and a stretch of the document of about its length holds ``COPIED`` of the item's
 words, or ``PARAPHRASED`` of them if the item's answer, its last sentence, also
-stands there word for word.
+stands there word for word. The cosine reported is that of the window that found
+the leak.
 
 A space has at most ``RANK`` passages (more only if one item alone has more) and
 as many directions as passages, so it holds each of them whole and a benchmark's
@@ -41,7 +45,9 @@ from . import common
 WINDOW, STEP = 48, 24
 PASSAGE = 64
 RANK, SPARE, POWER = 224, 16, 2
-COSINE = 0.6
+#: blocks of STEP words in a wide window, and from one to the next: any PASSAGE words lie in one
+WIDE, WIDE_STEP = 5, 2
+COSINE, COVERED = 0.6, 0.6
 COPIED, PARAPHRASED = 0.8, 0.6
 LEAST_WORDS, ANSWER_WORDS = 6, 3
 MAX_PASSAGES = 4096
@@ -189,11 +195,12 @@ class Model:
     vocabulary: Vocabulary
     fold: np.ndarray  # a latent row for each term, weighted by its IDF
     passages: np.ndarray  # latent vectors of length 1
+    weight: np.ndarray  # the passages' lengths before
     owner: np.ndarray  # the passages' items
     items: list[Item]
 
-    def windows(self, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text and first word of each window, and the windows' latent vectors."""
+    def windows(self, hashes: np.ndarray, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text and first word of each window, and the windows' latent vectors; then those of the wide windows."""
         size = np.diff(words)
         count = -(-size // STEP)  # blocks of a text
         ends = np.zeros(len(count) + 1, np.int64)
@@ -211,28 +218,36 @@ class Model:
         more[:-1] = row[1:] == row[:-1]
         whole = sums[:-1] + np.where(more[:, None], sums[1:], 0)
         keep = more | (count[row] == 1)
-        return row[keep], first[keep], whole[keep]
+        # a wide window is some blocks of a text; one that adds none to the wide window before is left out
+        place = np.arange(len(first)) - ends[row]
+        start = np.flatnonzero((place % WIDE_STEP == 0) & ((place == 0) | (count[row] - place > WIDE - WIDE_STEP)))
+        wide = sums[start]
+        for k in range(1, WIDE):
+            there = start + k < ends[row[start] + 1]
+            wide[there] += sums[start[there] + k]
+        return [(row[keep], first[keep], whole[keep]), (row[start], first[start], wide)]
 
     def leaks(self, hashes: np.ndarray, words: np.ndarray) -> list[tuple[int, int, float, float]]:
         """``(text, item, cosine, share)`` of every leak in texts of these words."""
-        row, first, x = self.windows(hashes, words)
-        size = np.sqrt(np.einsum("ij,ij->i", x, x))
-        some = np.flatnonzero(size > 0)
         found: dict[tuple[int, int], tuple[float, float]] = {}
-        for k in range(0, len(some), WINDOW_BLOCK):
-            pick = some[k : k + WINDOW_BLOCK]
-            near = (x[pick] / size[pick, None]) @ self.passages.T
-            for i, j in zip(*np.nonzero(near >= COSINE)):
-                w, number = pick[i], int(self.owner[j])
-                key = int(row[w]), number
-                if key in found:
-                    continue
-                item = self.items[number]
-                n = len(item.words)
-                lo, hi = max(words[row[w]], first[w] - n), min(words[row[w] + 1], first[w] + WINDOW + n)
-                share = item.leaked(hashes[lo:hi].tolist())
-                if share is not None:
-                    found[key] = float(near[i, j]), share
+        for wide, (row, first, x) in enumerate(self.windows(hashes, words)):
+            length = WIDE * STEP if wide else WINDOW
+            size = np.sqrt(np.einsum("ij,ij->i", x, x))
+            some = np.flatnonzero(size > 0)
+            for k in range(0, len(some), WINDOW_BLOCK):
+                pick = some[k : k + WINDOW_BLOCK]
+                near = (x[pick] / size[pick, None]) @ self.passages.T
+                for i, j in zip(*np.nonzero(near * size[pick, None] >= COVERED * self.weight if wide else near >= COSINE)):
+                    w, number = pick[i], int(self.owner[j])
+                    key = int(row[w]), number
+                    if key in found:
+                        continue
+                    item = self.items[number]
+                    n = len(item.words)
+                    lo, hi = max(words[row[w]], first[w] - n), min(words[row[w] + 1], first[w] + length + n)
+                    share = item.leaked(hashes[lo:hi].tolist())
+                    if share is not None:
+                        found[key] = float(near[i, j]), share
         return [(r, i, *v) for (r, i), v in sorted(found.items())]
 
 
@@ -266,12 +281,13 @@ def _space(spark: SparkSession, items: list[Item], every: Vocabulary, every_idf:
     """The latent space of one group of items; it has a direction for each passage."""
     vocabulary = Vocabulary(np.array([w for i in items for w in i.words], np.uint64))
     idf = every_idf[np.searchsorted(every.known, vocabulary.known)]
-    rows, owner = [], []
+    rows, lengths, owner = [], [], []
     for number, item in enumerate(items):
         for words in passages_of(item):
             column, n = np.unique(vocabulary.find(words)[1], return_counts=True)
             weight = n * idf[column]
-            rows.append((len(rows), column.tolist(), (weight / np.linalg.norm(weight)).tolist()))
+            lengths.append(np.linalg.norm(weight))
+            rows.append((len(rows), column.tolist(), (weight / lengths[-1]).tolist()))
             owner.append(number)
     passages = spark.createDataFrame(rows, "passage long, columns array<long>, weights array<double>")
     space = randomised_svd(passages, len(vocabulary.known), max(RANK, len(rows)))
@@ -279,7 +295,7 @@ def _space(spark: SparkSession, items: list[Item], every: Vocabulary, every_idf:
     for i, column, weight in rows:
         latent[i] = np.array(weight) @ space[column]
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Model(vocabulary, (space * idf[:, None]).astype(np.float32), latent.astype(np.float32), np.array(owner), items)
+    return Model(vocabulary, (space * idf[:, None]).astype(np.float32), latent.astype(np.float32), np.array(lengths, np.float32), np.array(owner), items)
 
 
 def parts_of(benchmark: DataFrame) -> Iterator[list[Item]]:
