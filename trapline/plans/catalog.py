@@ -159,9 +159,9 @@ def q_stream_ingest_coded(spark, sf_dir):
     return dictionary.decode(fact.drop("date"), dicts).select(*KEY7)
 
 
-def q_stream_ingest_restart(spark, sf_dir):
+def _run_restart(spark, sf_dir) -> str:
     """Half the input, then all of it under a new checkpoint, onto a store that
-    a backfill began: counts of rows, ids, rejected bodies and log lines."""
+    a backfill began."""
     root = scratch_path(spark, "store")
     legacy = derived.legacy_records(spark, sf_dir)
     t = F.col("attack_timestamp")
@@ -176,6 +176,12 @@ def q_stream_ingest_restart(spark, sf_dir):
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
+    return root
+
+
+def q_stream_ingest_restart(spark, sf_dir):
+    """Counts of rows, ids, rejected bodies and log lines after a restart."""
+    root = _run_restart(spark, sf_dir)
     stored = store.read_attacks(spark, root)
     kept = stored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))
     rejected = spark.read.parquet(f"{root}/rejected").agg(F.count_distinct("event_id").alias("n_rejected"))
@@ -183,6 +189,24 @@ def q_stream_ingest_restart(spark, sf_dir):
     return kept.join(rejected, F.lit(True)).join(lines, F.lit(True))
 
 
+def q_stream_ingest_restart_rows(spark, sf_dir):
+    """The rows stored after a restart."""
+    return store.read_attacks(spark, _run_restart(spark, sf_dir)).select(*KEY7)
+
+
+def q_stream_ingest_restart_rejected(spark, sf_dir):
+    """The bodies rejected by either run, and whether their event sent them."""
+    rejected = spark.read.parquet(f"{_run_restart(spark, sf_dir)}/rejected")
+    sent = derived.request_log(spark, sf_dir).select("event_id", "body").distinct().withColumn("own_body", F.lit(True))
+    own = rejected.join(sent, ["event_id", "body"], "left")
+    return own.select("event_id", "reason", F.coalesce("own_body", F.lit(False)).alias("own_body"))
+
+
+def q_stream_ingest_restart_log(spark, sf_dir):
+    """The log lines of both runs."""
+    return spark.read.text(f"{_run_restart(spark, sf_dir)}/log").select(F.col("value").alias("line"))
+
+
 def q_read_submissions(spark, sf_dir):
     """Bodies, one a line, read back from text files and decoded."""
     path = scratch_path(spark, "bodies")
@@ -288,6 +312,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "stream_ingest": q_stream_ingest,
             "stream_ingest_coded": q_stream_ingest_coded,
             "stream_ingest_restart": q_stream_ingest_restart,
+            "stream_ingest_restart_rows": q_stream_ingest_restart_rows,
+            "stream_ingest_restart_rejected": q_stream_ingest_restart_rejected,
+            "stream_ingest_restart_log": q_stream_ingest_restart_log,
             "read_submissions": q_read_submissions,
             "read_legacy": q_read_legacy,
             "credential_sources": q_credential_sources,
@@ -548,6 +575,18 @@ def _operator_sql() -> dict[str, str]:
         "(SELECT count(DISTINCT event_id) FROM resub WHERE event_id % 40 NOT IN (11, 21) AND event_id % 200 IN (5, 6, 15, 25, 35)) AS n_rejected, "
         "(SELECT count(*) FROM every) - (SELECT count(*) FROM old) AS n_lines"
     )
+    restart = f"WITH {_SUBMITTED}, {_LEGACY.replace(_SUB, '', 1).lstrip(chr(44) + chr(10))}, {legacy_old} "
+    q["stream_ingest_restart_rows"] = restart + f"SELECT {_K7} FROM old UNION SELECT {_K7} FROM submitted"
+    bad = "event_id % 40 NOT IN (11, 21) AND event_id % 200 IN (5, 6, 15, 25, 35)"
+    reason = "CASE WHEN event_id % 200 = 6 THEN 'bad_attack_timestamp' ELSE 'not_json_object' END AS reason, TRUE AS own_body"
+    q["stream_ingest_restart_rejected"] = (
+        f"WITH {_SUB} SELECT event_id, {reason} FROM resub WHERE {bad} "
+        f"UNION ALL SELECT event_id, {reason} FROM resub WHERE {bad} AND event_id % 2 = 0"
+    )
+    q["stream_ingest_restart_log"] = restart + (
+        "SELECT printf('%s | From: %-15s | User: %-22s | Pass: %s', strftime(make_timestamp(\"timestamp\" * 1000), '%d.%m. %H:%M:%S'), "
+        f"source_ip, username, password) AS line FROM (SELECT {_K7} FROM submitted EXCEPT SELECT {_K7} FROM old)"
+    )
     q["read_submissions"] = f"WITH {_submitted('TRUE')} SELECT DISTINCT {_K7} FROM submitted"
     q["read_legacy"] = f"WITH {_LEGACY} SELECT * FROM legacy"
     q["credential_sources"] = _with(
