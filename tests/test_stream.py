@@ -193,3 +193,21 @@ def test_restart_queries_see_a_wrong_row_and_a_wrong_line(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_run_restart", broken)
     found = compare(spark, SF_SMALL, names)
     assert [found[n]["ok"] for n in names] == [True, False, False, False], found  # the counts alone see nothing
+
+
+def test_a_log_cut_off_while_written_is_written_again(spark):
+    root = scratch_path(spark, "test-cut-log")
+    cut = spark.range(2).selectExpr("'part of the log' AS value").coalesce(1).write
+    cut.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(f"{root}/log/run=a/batch_id=0")
+    ingest.process_batch(_bodies(spark, 20), 0, root, tz="UTC", log_lines=True, run="a")
+    lines = [r["value"] for r in spark.read.text(f"{root}/log").collect()]
+    assert len(lines) == 20 and all(" | From: " in x for x in lines)
+
+
+def test_a_whole_log_stays_when_its_rows_were_stored_in_part(spark):
+    root = scratch_path(spark, "test-part-rows")
+    ingest.process_batch(_bodies(spark, 20), 0, root, tz="UTC", log_lines=True, run="a")
+    half = store.read_attacks(spark, root).drop("date").filter("id % 2 = 0").checkpoint()
+    store.write_attacks(half, root, "overwrite")
+    ingest.process_batch(_bodies(spark, 20), 0, root, tz="UTC", log_lines=True, run="a")  # the rerun
+    assert store.read_attacks(spark, root).count() == spark.read.text(f"{root}/log").count() == 20

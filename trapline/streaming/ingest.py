@@ -91,12 +91,17 @@ def _there(spark: SparkSession, path: str) -> bool:
         return False
 
 
+#: Hadoop's setting of the marker of a whole write
+_MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+
+
 def _write_log(rows_new: DataFrame, path: str, tz: str | None) -> None:
     """One text line per newly stored record. It is written before the rows
-    are stored, so once it is there it is whole, and a rerun leaves it."""
-    if not _there(rows_new.sparkSession, path):
+    are stored; once its marker is there it is whole, and a rerun leaves it. A
+    folder without one is of a write that was cut off, and is written again."""
+    if not _there(rows_new.sparkSession, f"{path}/_SUCCESS"):
         line = log_line("timestamp", "source_ip", "username", "password", tz=tz).alias("value")
-        rows_new.orderBy("_nth").select(line).write.mode("overwrite").text(path)
+        rows_new.orderBy("_nth").select(line).write.mode("overwrite").option(_MARK, "true").text(path)
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = None,
