@@ -24,3 +24,7 @@ def test_coded_view_equals_plain_view(coded, name):
         fast = coded_views.coded_view(name, fact, dicts, as_of=catalog.AS_OF, tz=tz)
         assert fast.columns == plain.columns
         assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in plain.collect()]  # order too
+
+
+def test_every_view_is_also_registered_over_the_stored_table_and_sql():
+    assert {f"{kind}_{name}" for kind in ("coded", "stored", "sql") for name in views.VIEWS} <= set(catalog.queries())

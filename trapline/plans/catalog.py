@@ -244,10 +244,10 @@ def q_decode_skewed(spark, sf_dir):
     return dictionary.decode(dictionary.encode(attacks, dicts), dicts)
 
 
-# views also registered over the stored table, read through its folders
-STORED_VIEWS = ["view_daily_attacks", "report_top_usernames_last_7_days", "report_hourly_attacks_last_7_days"]
+# all views are also registered over the stored table, read through its folders
+STORED_VIEWS = list(views.VIEWS)
 # and through SQL on the registered views
-SQL_VIEWS = ["view_logins", "report_top_logins_last_7_days"]
+SQL_VIEWS = list(views.VIEWS)
 
 
 def _stored_view_query(name: str, by_sql: bool) -> Callable[[SparkSession, str], DataFrame]:
