@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bpe, decontam, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from . import ann, bpe, decontam, merkle, ordering, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from .oracle import OP13_SQL
 from .shipping import prepare
 
 SHARDS = 8
@@ -155,6 +156,30 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), piece_model()).drop("ids")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and roots, checked again after damage to some texts."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    damaged = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    bare = merkle.digest_of([*fields[:4], F.translate("text", "\n", "")])
+    leaf = merkle.digest_of(fields)
+    rows = docs.select(ordering.group_key("source").alias("tree"), "doc_id", leaf.alias("digest"), F.when(damaged, bare).alias("tampered"))
+    path = scratch_path(spark, "merkle")
+    manifest = merkle.build(rows, path, ["doc_id"])
+    root = manifest.root(spark)
+    proved = merkle.prove(spark, manifest, path, ["doc_id", "digest", "tampered"])
+    root_text = F.lit(root.hex() if root else None).cast("string")
+    subroots = manifest.subroots(spark)
+    found = proved.select(
+        "tree", "doc_id", merkle.hex_text(F.col("digest")).alias("leaf"), root_text.alias("root"),
+        merkle.proof_digest(F.col("left"), F.col("right")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("tampered", "digest"), F.col("left"), F.col("right")).alias("folded_root"),
+    )
+    return found.join(subroots, "tree").select(
+        "doc_id", "leaf", merkle.hex_text(F.col("subroot")).alias("subroot"), "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -167,8 +192,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_quality": op9_quality,
         "op10_sentencepiece": op10_sentencepiece,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op13_merkle_manifest": OP13_SQL}
