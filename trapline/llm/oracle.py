@@ -61,3 +61,74 @@ JOIN crossed c ON p.rid = c.rid AND c.lvl = (SELECT max(lvl) FROM top)
 """.format(
     **{c: _field(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}, bare=_field("replace(text, chr(10), '')"), crc=_CRC32.format(text="doc_id::VARCHAR")
 )
+
+
+def _least(rows: str) -> str:
+    """The least way of each conversation and state."""
+    return f"SELECT conv, k, {{s: x.s, w: min(x.w)}} AS x FROM ({rows}) GROUP BY conv, k, x.s"
+
+
+def _grown(rows: str) -> str:
+    """The ways, and each with an inserted row behind it."""
+    more = """{s: CASE WHEN x.s = 2 THEN 3 ELSE 2 END, w: {cost: x.w.cost + 5, audit: x.w.audit || 'I',
+        said: list_append(x.w.said, CASE WHEN x.s = 2 THEN 'assistant:' ELSE 'user:' END)}}"""
+    return f"SELECT conv, k, unnest([x, {more}]) AS x FROM ({rows})"
+
+
+_EDITED = """
+  SELECT p.conv, j.k, unnest(
+    [{s: p.x.s, w: {cost: p.x.w.cost + 2, audit: p.x.w.audit || 'D', said: p.x.w.said}}]
+    || CASE WHEN j.fault IN ('blank', 'duplicate') THEN [] ELSE
+      [{s: CASE WHEN p.x.s = 2 THEN 3 ELSE 2 END, w: {cost: p.x.w.cost + 1 + j.late, audit: p.x.w.audit || 'R',
+        said: list_append(p.x.w.said, CASE WHEN p.x.s = 2 THEN 'assistant:' ELSE 'user:' END || j.text)}}] END
+    || CASE WHEN j.fault IN ('blank', 'duplicate') THEN [] WHEN j.c = 'u' AND p.x.s <> 2 OR j.c = 'a' AND p.x.s = 2 OR j.c = 's' AND p.x.s = 0 THEN
+      [{s: CASE j.c WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 1 END, w: {cost: p.x.w.cost + j.late, audit: p.x.w.audit || 'K',
+        said: list_append(p.x.w.said, j.role || ':' || j.text)}}] ELSE [] END) AS x
+  FROM ways p JOIN judged j ON p.conv = j.conv AND j.k = p.k + 1
+"""
+
+#: states of a way: 0 nothing yet, 1 after s, 2 after u, 3 after a
+OP11_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations
+), kinds AS (
+  SELECT *, xor({_CRC32.format(text="key")}, 4294967295) % 20 AS kind FROM raw
+), changed AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS k,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM changed
+), faults AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY k) AS c0
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY k) > 1 AS again FROM placed)
+), judged AS (
+  SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late FROM faults
+), counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (c0 || c NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+  FROM judged GROUP BY conv
+), ways AS (
+  SELECT conv, 0::BIGINT AS k, unnest([
+    {{s: 0, w: {{cost: 0, audit: '', said: []::VARCHAR[]}}}}, {{s: 2, w: {{cost: 5, audit: 'I', said: ['user:']}}}},
+    {{s: 3, w: {{cost: 10, audit: 'II', said: ['user:', 'assistant:']}}}}]) AS x
+  FROM counted
+  UNION ALL
+  {_least(_grown(_least(_grown(_least(_EDITED)))))}
+), ended AS (
+  SELECT w.conv, min(x.w) AS w FROM ways w JOIN counted c ON w.conv = c.conv AND w.k = c.n WHERE x.s IN (0, 3) GROUP BY w.conv
+), every AS (
+  SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(w.cost, 0)::BIGINT AS cost, coalesce(w.audit, '') AS audit,
+       sha256(coalesce(array_to_string(w.said, chr(10)), '')) AS repaired_sha256
+FROM every LEFT JOIN counted USING (conv) LEFT JOIN ended USING (conv)
+"""

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bpe, decontam, merkle, ordering, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
-from .oracle import OP13_SQL
+from . import ann, bpe, decontam, merkle, ordering, quality, repair, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from .oracle import OP11_SQL, OP13_SQL
 from .shipping import prepare
 
 SHARDS = 8
@@ -156,6 +156,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), piece_model()).drop("ids")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with its faults and the cheapest repair."""
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows), rows)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and roots, checked again after damage to some texts."""
     docs = _table(spark, sf_dir, "documents")
@@ -192,9 +198,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_quality": op9_quality,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_conversation_repair": op11_conversation_repair,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op11_conversation_repair": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
