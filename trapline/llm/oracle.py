@@ -132,3 +132,30 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
        sha256(coalesce(array_to_string(w.said, chr(10)), '')) AS repaired_sha256
 FROM every LEFT JOIN counted USING (conv) LEFT JOIN ended USING (conv)
 """
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s
+  FROM d
+), classes AS (
+  SELECT s, len(s) AS n, min(doc_id) AS least, row_number() OVER () AS c FROM sets WHERE len(s) > 0 GROUP BY s
+), words AS (
+  SELECT c, n, unnest(s) AS t FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM words a JOIN words b ON a.t = b.t AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT c AS a, c AS b FROM classes
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), components AS (
+  SELECT a AS c, min(least) AS component_id FROM reached JOIN classes ON b = c GROUP BY a
+)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component_id END AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN components USING (c)
+"""

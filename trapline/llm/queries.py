@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ann, bpe, decontam, merkle, ordering, quality, repair, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
-from .oracle import OP11_SQL, OP13_SQL
+from . import ann, bpe, decontam, jaccard, merkle, ordering, quality, repair, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from .oracle import OP11_SQL, OP12_SQL, OP13_SQL
 from .shipping import prepare
 
 SHARDS = 8
@@ -162,6 +162,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(rows), rows)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and component of linked sets."""
+    rows = jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and roots, checked again after damage to some texts."""
     docs = _table(spark, sf_dir, "documents")
@@ -199,9 +205,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_jaccard_join": op12_jaccard_join,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op11_conversation_repair": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {
+        "op2_substring_dedup": OP2_SQL,
+        "op3_warc": OP3_SQL,
+        "op11_conversation_repair": OP11_SQL,
+        "op12_jaccard_join": OP12_SQL,
+        "op13_merkle_manifest": OP13_SQL,
+    }
