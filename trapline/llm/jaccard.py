@@ -53,7 +53,7 @@ WORDS, PERCENT = 5, 80
 SAMPLE, SAMPLE_LEAST = 64, 8
 #: parts of the suffix filter
 BINS = 32
-#: rounds with one leader a shingle, while pairs of different components outnumber prefix rows so many times
+#: rounds with one leader a shingle, at most, while open pairs outnumber their prefix rows so many times
 ROUNDS, MANY = 3, 2
 
 
@@ -241,8 +241,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
     small, whole = sets.select("key", "n", "bins"), sets.select("key", "n", "tokens")
 
     def both(side: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-        rows = rows.join(side.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col(value).alias("right")), "b")
-        return spread.spread_join(repeats.stored(rows, "halves"), side.select(F.col("key").alias("a"), "n", F.col(value).alias("left")), ["a"], "b")
+        rows = spread.spread_join(rows, side.select(F.col("key").alias("a"), "n", F.col(value).alias("left")), ["a"], "b")
+        return rows.join(side.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col(value).alias("right")), "b")
 
     need = _pair_need(F.col("n"), F.col("m"), percent)
     room = F.aggregate(F.zip_with("left", "right", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
@@ -271,22 +271,21 @@ def _crossing_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
 
 
-def _unsettled(entries: DataFrame, links: DataFrame | None) -> tuple[DataFrame, int]:
-    """Prefix rows of shingles that still join different components, and how many pairs those make."""
-    if links is not None:
-        roots = component_roots(links).select(F.col("node").alias("key"), F.col("root"))
-        entries = entries.drop("comp").join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+def _unsettled(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
+    """Prefix rows of shingles that still join different components, and how many pairs a row those make."""
+    entries = entries.drop("comp").join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     entries = repeats.stored(entries, "prefix-components")
     c = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     c = c.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same")).where("comps > 1")
     c = repeats.stored(c, "open-shingles")
-    pairs = c.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+    pairs, rows = c.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
     kept = spread.spread_join(entries, c.select("token"), ["token"], "key")
-    return repeats.stored(kept, "open-prefixes"), int(pairs)
+    return repeats.stored(kept, "open-prefixes"), (pairs or 0) / (rows or 1)
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(sets, candidates, links)``: each document's set, the classes looked at, and a spanning set of their links.
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(sets, candidates, links, roots)``: each document's set, the classes looked at, a spanning set of their
+    links and the components these make.
 
     Every two linked classes are linked directly or through others of these links.
     """
@@ -297,36 +296,29 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     sets = _classes(docs, words)
     candidates = _candidates(docs, sets, words, percent)
     ordered = _ordered_sets(docs, candidates, words, percent)
-    found = looked = None
-    entries, pairs = _unsettled(_prefixes(ordered, percent).withColumn("comp", F.col("key")), None)
+    entries = repeats.stored(_prefixes(ordered, percent).withColumn("comp", F.col("key")), "prefixes")
+    looked = found = docs.sparkSession.createDataFrame([], "a long, b long")
     for k in range(ROUNDS):
-        if not pairs or (k and pairs <= MANY * entries.count()):
-            break
         first = [F.expr("own * 1000 div n").alias("own")] if not k else [F.xxhash64("key", F.lit(k)).alias("own")]
-        led = _led_pairs(entries, first, percent)
-        if looked is not None:
-            led = led.join(looked, ["a", "b"], "left_anti")
-        seen, linked = _verified(led, ordered, percent)
-        seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        looked = seen if looked is None else looked.unionByName(seen)
-        found = linked if found is None else found.unionByName(linked)
-        entries, pairs = _unsettled(entries, found)
+        seen, linked = _verified(_led_pairs(entries, first, percent).join(looked, ["a", "b"], "left_anti"), ordered, percent)
+        looked = looked.unionByName(seen).unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        found = found.unionByName(linked)
+        roots = component_roots(found).select(F.col("node").alias("key"), "root")
+        entries, pairs = _unsettled(entries, roots)
+        if pairs <= MANY:
+            break
     if pairs:
-        rest = _crossing_pairs(entries, percent)
-        if looked is not None:
-            rest = rest.join(looked, ["a", "b"], "left_anti")
-        linked = _verified(rest, ordered, percent)[1]
-        found = linked if found is None else found.unionByName(linked)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "a long, b long")
-    return sets, candidates, found
+        linked = _verified(_crossing_pairs(entries, percent).join(looked, ["a", "b"], "left_anti"), ordered, percent)[1]
+        if not linked.isEmpty():
+            roots = component_roots(found.unionByName(linked)).select(F.col("node").alias("key"), "root")
+            found = found.unionByName(linked)
+    return sets, candidates, found, roots
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, class_1, class_2, component_id)`` of each row; equal classes are equal sets."""
-    sets, candidates, found = links(docs, words, percent)
+    sets, candidates, _, roots = links(docs, words, percent)
     least = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
-    roots = component_roots(found).withColumnRenamed("node", "key")
     members = repeats.stored(candidates.join(roots, "key").join(least, ["s1", "s2"]).select("s1", "s2", "root", "least"), "members")
     of_root = members.groupBy("root").agg(F.min("least").alias("component"))
     moved = spread.spread_join(members, of_root, ["root"], "s1").select("s1", "s2", "component")

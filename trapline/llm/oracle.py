@@ -138,10 +138,15 @@ WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents
+), places AS (
+  SELECT rid, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM d
+), grams AS (
+  SELECT DISTINCT rid, t FROM (
+    SELECT rid, i, concat_ws(' ', w, lead(w, 1) OVER run, lead(w, 2) OVER run, lead(w, 3) OVER run, lead(w, 4) OVER run) AS t, lead(w, 4) OVER run AS fifth
+    FROM places WINDOW run AS (PARTITION BY rid ORDER BY i)
+  ) WHERE fifth IS NOT NULL OR i = 1
 ), sets AS (
-  SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s
-  FROM d
+  SELECT rid, doc_id, coalesce(s, []) AS s FROM d LEFT JOIN (SELECT rid, list(t ORDER BY t) AS s FROM grams GROUP BY rid) USING (rid)
 ), classes AS (
   SELECT s, len(s) AS n, min(doc_id) AS least, row_number() OVER () AS c FROM sets WHERE len(s) > 0 GROUP BY s
 ), words AS (
