@@ -53,7 +53,7 @@ WORDS, PERCENT = 5, 80
 SAMPLE, SAMPLE_LEAST = 64, 8
 #: parts of the suffix filter
 BINS = 32
-#: rounds with one leader a shingle, at most, while open pairs outnumber their prefix rows so many times
+#: rounds with one leader a shingle, at most, while they link something and open pairs outnumber their rows so many times
 ROUNDS, MANY = 3, 2
 
 
@@ -205,7 +205,9 @@ def _candidates(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> D
 def _ordered_sets(docs: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
     """Candidates' shared shingles, rarest first."""
     wanted = candidates.select("order_id", "text_key", "key", "n", "rows")
-    texts = docs.select("order_id", "text_key", "text").join(wanted, ["order_id", "text_key"])
+    # merged, not broadcast, however few there are: the number of candidates grows with the documents
+    texts = docs.select("order_id", "text_key", "text").join(wanted.hint("merge"), ["order_id", "text_key"])
+    texts = repeats.stored(texts.select("key", "n", "rows", "text"), "candidate-texts")
     if not wanted.where("rows > 1").isEmpty():
         texts = texts.where("rows = 1").unionByName(texts.where("rows > 1").dropDuplicates(["key"]))
     texts = texts.select("key", "n", "text")
@@ -261,13 +263,15 @@ def _led_pairs(entries: DataFrame, first: list[Column], percent: int) -> DataFra
 
 
 def _crossing_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one shingle and different components."""
-    groups = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    other = groups.select("token", F.col("comp").alias("comp2"))
-    met = groups.select("token", "comp").join(other, "token").where(F.col("comp") < F.col("comp2"))
-    right = entries.select("token", F.col("comp").alias("comp2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
-    left = repeats.stored(spread.spread_join(repeats.stored(met, "met"), entries, ["token", "comp"], "comp2"), "left-of-pairs")
-    both = spread.spread_join(left, right, ["token", "comp2"], "key").where(_possible(percent))
+    """All possible pairs of one shingle and different components.
+
+    The smaller set of a pair meets the other within a shorter prefix: at least ``n - place``
+    shingles of it must be shared, and the other is no smaller.
+    """
+    short = entries.where(F.col("n") - F.col("place") >= _pair_need(F.col("n"), F.col("n"), percent))
+    right = short.select("token", F.col("comp").alias("comp2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    larger = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("key2") < F.col("key")))
+    both = spread.spread_join(entries, right, ["token"], "key").where(larger & (F.col("comp") != F.col("comp2")) & _possible(percent))
     return both.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
 
 
@@ -302,10 +306,13 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
         first = [F.expr("own * 1000 div n").alias("own")] if not k else [F.xxhash64("key", F.lit(k)).alias("own")]
         seen, linked = _verified(_led_pairs(entries, first, percent).join(looked, ["a", "b"], "left_anti"), ordered, percent)
         looked = looked.unionByName(seen).unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        none = linked.isEmpty()
+        if none and k:  # another leader won't help
+            break
         found = found.unionByName(linked)
         roots = component_roots(found).select(F.col("node").alias("key"), "root")
         entries, pairs = _unsettled(entries, roots)
-        if pairs <= MANY:
+        if none or pairs <= MANY:
             break
     if pairs:
         linked = _verified(_crossing_pairs(entries, percent).join(looked, ["a", "b"], "left_anti"), ordered, percent)[1]
