@@ -54,6 +54,30 @@ def test_equal_input_gives_equal_files(spark):
     assert one == two
 
 
+@pytest.mark.parametrize("n", [3000, 7500])
+def test_many_rows_give_equal_files_however_they_are_dealt_out(spark, n):
+    """More rows than Spark's own range sample looks at; a third of them without an id."""
+    prepare(spark)
+    table = spark.range(n).selectExpr("CASE WHEN id % 3 > 0 THEN id * 7919 % 100003 END AS page_id", "concat('http://h/', id) AS url", "repeat(concat('<p>', id % 1000), 30) AS html")
+    found = []
+    for t in (table, table.repartition(3), table.repartition(7, "url"), table):
+        found.append(sorted((m["file"], m["records"], m["bytes"], m["sha1"]) for m in warc.write(t, scratch_path(spark, "warc-test"), roll_bytes=20_000).collect()))
+    assert found[0] == found[1] == found[2] == found[3]
+    parts = {}
+    for name, records, _, _ in found[0]:
+        parts[name[:15]] = parts.get(name[:15], 0) + records
+    assert sum(parts.values()) == n and max(parts.values()) < n / 4
+
+
+def test_a_file_of_an_earlier_attempt_is_replaced(tmp_path):
+    for text in (b"first", b"second"):
+        writer = warc._Writer(str(tmp_path), 0, 1 << 20)
+        writer.add(text)
+        writer.close()
+    (name,) = (tmp_path / "data").iterdir()
+    assert gzip.decompress(name.read_bytes()).endswith(b"second")
+
+
 def test_files_are_warc(spark):
     table, rows = pages(spark)
     root = scratch_path(spark, "warc-test")

@@ -1,6 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Rows are range-partitioned and sorted by ``page_id``; each task writes its run
+Rows are range-partitioned and sorted by ``page_id``; the ranges' bounds follow from
+the rows alone (ids picked by their hash, and shares of the digests of an id that has
+more rows than a task should), so they don't change between runs. Each task writes its run
 as gzip members, one per record, and starts a new file once a file's compressed
 size passes ``roll_bytes``. Headers, record ids, block and payload digests come
 from the row alone, so equal input gives equal bytes. A file is written under a
@@ -25,9 +27,11 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
@@ -41,6 +45,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 
 ROLL_BYTES = 32 << 20
+#: ids looked at for a range's bounds
+SAMPLED = 16
 _READ_BYTES = 1 << 20
 _MANIFEST = "file string, records long, bytes long, sha1 string"
 _RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -114,7 +120,10 @@ class _Writer:
         if self.out is not None:
             self.out.close()
             self.fs.create_dir(f"{self.path}/data", recursive=True)
-            self.fs.move(f"{self.temp}/{self.name}", f"{self.path}/data/{self.name}")
+            place = f"{self.path}/data/{self.name}"
+            if self.fs.get_file_info(place).type != pyarrow.fs.FileType.NotFound:
+                self.fs.delete_file(place)  # of an earlier attempt; not every file system moves onto a file
+            self.fs.move(f"{self.temp}/{self.name}", place)
             self.done.append({"file": f"data/{self.name}", "records": self.records, "bytes": self.bytes, "sha1": self.sha.hexdigest()})
             self.out, self.seq = None, self.seq + 1
 
@@ -155,11 +164,35 @@ def tagged(pages: DataFrame) -> DataFrame:
     return notes.unionByName(rows.withColumns({"refers_to": F.lit(None).cast("long"), "tag": F.lit(1)}))
 
 
+def bounds(pages: DataFrame, parts: int) -> list[tuple[bool, int, str]]:
+    """Range bounds ``(id is there, id, digest from)``: the same ones for the same rows, however they are dealt out.
+
+    About ``SAMPLED`` ids a part reach the driver, and the ids of more rows than a part's share.
+    """
+    ids = pages.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+    total, distinct = ids.agg(F.sum("n"), F.count(F.lit(1))).first()
+    share, step = max(1, (total or 0) // parts), max(1, (distinct or 0) // (SAMPLED * parts))
+    picked = ids.where(F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0).select("page_id").collect()
+    places = sorted((r["page_id"] is not None, r["page_id"] or 0, "") for r in picked)
+    cuts = {places[len(places) * k // parts] for k in range(1, parts)} if places else set()
+    for r in ids.where(F.col("n") > 2 * share).collect():
+        own, fan = (r["page_id"] is not None, r["page_id"] or 0), -(-r["n"] // share)
+        cuts |= {(*own, f"{(k << 32) // fan:08x}") for k in range(fan)} | {(*own, "g")}
+    return sorted(cuts)
+
+
 def write(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write an archive below ``root``; returns its manifest."""
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tagged(pages).repartitionByRange(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "tag", "url")
+    cuts = bounds(pages, parts)
+
+    @F.pandas_udf("int")
+    def part(page_id: pd.Series, here: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, key) for key in zip(here.tolist(), page_id.tolist(), digest.tolist())], dtype="int32")
+
+    where = part(F.coalesce("page_id", F.lit(0).cast("long")), F.col("page_id").isNotNull(), "digest")
+    ranged = tagged(pages).repartitionById(len(cuts) + 1, where).sortWithinPartitions("page_id", "digest", "tag", "url")
     manifest = ranged.mapInArrow(lambda it: _write_batches(it, root, roll_bytes), _MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{root}/manifest")  # listed only when every task is done
     return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
