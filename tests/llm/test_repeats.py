@@ -164,3 +164,14 @@ def test_equal_windows_have_equal_anchors():
 
 def test_word_query_has_sql(spark):
     assert "op2_substring_dedup" in queries.oracle_sql() and as_dicts(queries.op2_substring_dedup(spark, SF))
+
+
+def test_words_that_sums_of_powers_cannot_tell_apart(spark):
+    """Thue-Morse words and their complements: no window of one stands in the other."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} {tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-from . import common, repeats, winnow
+from . import common, repeats, shingles, winnow
 
 WINDOW = 13
 SEED = 5
@@ -31,7 +31,7 @@ SEED = 5
 
 def word_units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, words = common.word_spans(raw, off)
-    return common.word_hashes(raw, start, end), words
+    return shingles.word_hashes(raw, start, end), words
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], window: int, seed: int, kept: list[str]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +41,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], window: int, seed: int, kept
         for lo, hi in common.slices(off):
             part, at = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             start, end, words = common.word_spans(part, at)
-            units = common.word_hashes(part, start, end)
+            units = shingles.word_hashes(part, start, end)
             b = winnow.blocks(units, words, window, seed)
             starts = [b.windows(repeats.chosen(b.block, b.row, blocks.slice(lo, hi - lo)))]
             wanted = windows.slice(lo, hi - lo)
