@@ -2,8 +2,8 @@
 
 Layout at rest (parquet):
 
-  <root>/attacks/date=YYYY-MM-DD/...   decoded attacks, one folder per UTC day
-  <root>/fact/date=YYYY-MM-DD/...      coded fact rows (ids)
+  <root>/attacks/date=YYYY-MM-DD/bucket=B/...   decoded attacks, one folder per UTC day
+  <root>/fact/date=YYYY-MM-DD/bucket=B/...      coded fact rows (ids)
   <root>/dict/column=<name>/...        six dictionaries (id, value), one table
 
   <root>/id_mark/...                   the largest id given out by the ingest
@@ -14,34 +14,61 @@ and every file covers a narrow time span: the parquet min/max statistics then
 let ``timestamp >= cut`` skip row groups, and ``date >= ...`` (added by
 ``operators.filters.since``) skips folders. Times outside years 0000 to 9999
 have no date and go to Spark's default partition.
+
+Records without a time all share the zero time, so their day may hold any share
+of the rows. That day, and the rows without a date, are dealt into ``BUCKETS``
+folders by a hash of the whole key; every other day is one bucket, 0. A row's
+bucket follows from the row, so equal rows meet in one folder.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..operators.filters import utc_date_text
-from ..schema import ATTACKS, DICT, FACT, LEGACY, TEXT_COLUMNS
+from ..schema import ATTACKS, DICT, FACT, KEY7, LEGACY, TEXT_COLUMNS
 
-DATE_COL = "date"
+DATE_COL, BUCKET_COL = "date", "bucket"
+#: the day of records without a time, and the folders it is dealt into
+ZERO_DAY, BUCKETS = "0001-01-01", 64
 MARK = StructType([StructField("top", LongType())])
 
 
-def _with_date(df: DataFrame) -> DataFrame:
-    return df.withColumn(DATE_COL, utc_date_text("timestamp"))
+def is_zero_day(day: Column) -> Column:
+    """Whether rows of a day are dealt by key: the zero time's day, and no day."""
+    return F.coalesce(day, F.lit(ZERO_DAY)) == ZERO_DAY
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """``df`` (rows with KEY7) with its date and bucket."""
+    day = utc_date_text("timestamp")
+    dealt = F.pmod(F.xxhash64(*KEY7), F.lit(BUCKETS)).cast("int")
+    return df.withColumns({DATE_COL: day, BUCKET_COL: F.when(is_zero_day(day), dealt).otherwise(0)})
 
 
 def _layout(df: DataFrame) -> DataFrame:
     """Ranges of time, then of source and credential: rows of one instant
     spread too. No fixed number: adaptive execution joins small ranges, so a
     small batch writes few files."""
-    order = [DATE_COL, "timestamp", "source_ip", "username", "password", "id"]
+    order = [DATE_COL, BUCKET_COL, "timestamp", "source_ip", "username", "password", "id"]
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def _batch_layout(df: DataFrame) -> DataFrame:
+    """Rows of a batch, whose times lie close together as they are: dealt by
+    folder, large folders split and small ones joined by size as measured, and
+    sorted by time. No range sample, so the batch is worked out once."""
+    return df.hint("rebalance", DATE_COL, BUCKET_COL).sortWithinPartitions(DATE_COL, BUCKET_COL, "timestamp")
+
+
+def _write(rows: DataFrame, path: str, mode: str, batch: bool) -> None:
+    placed = with_place(rows)
+    (_batch_layout if batch else _layout)(placed).write.mode(mode).partitionBy(DATE_COL, BUCKET_COL).parquet(path)
+
+
 def _append_ids(df: DataFrame, root: str) -> None:
     """Forget the id mark: rows with ids of their own are about to come in."""
     if table_exists(df.sparkSession, root, "id_mark"):
@@ -70,21 +97,22 @@ def reserve_ids(spark: SparkSession, root: str, count: int) -> int:
 
 
 def write_attacks(attacks: DataFrame, root: str, mode: str = "append", ids_reserved: bool = False) -> None:
-    """Write decoded attacks (id, timestamp, six text columns)."""
+    """Write decoded attacks (id, timestamp, six text columns). ``ids_reserved``: the
+    rows are a batch of the ingest, with ids above the mark."""
     if not ids_reserved:
         _append_ids(attacks, root)
-    df = _layout(_with_date(attacks.select(*ATTACKS.fieldNames())))
-    df.write.mode(mode).partitionBy(DATE_COL).parquet(f"{root}/attacks")
+    _write(attacks.select(*ATTACKS.fieldNames()), f"{root}/attacks", mode, ids_reserved)
 
 
 def _partitioned(schema: StructType) -> StructType:
-    return StructType(schema.fields + [StructField(DATE_COL, StringType())])
+    return StructType(schema.fields + [StructField(DATE_COL, StringType()), StructField(BUCKET_COL, IntegerType())])
 
 
-def read_attacks(spark: SparkSession, root: str, streaming: bool = False) -> DataFrame:
-    """Decoded attacks with their ``date`` partition column."""
+def read_attacks(spark: SparkSession, root: str, streaming: bool = False, buckets: bool = False) -> DataFrame:
+    """Decoded attacks with their ``date`` partition column (and ``bucket``, if asked for)."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(_partitioned(ATTACKS)).parquet(f"{root}/attacks")
+    found = reader.schema(_partitioned(ATTACKS)).parquet(f"{root}/attacks")
+    return found if buckets else found.drop(BUCKET_COL)
 
 
 DICT_STACKED = StructType(DICT.fields + [StructField("column", StringType())])
@@ -115,12 +143,12 @@ def write_fact(fact: DataFrame, root: str, mode: str = "append", ids_reserved: b
     """Write coded rows (id, timestamp, six dictionary ids)."""
     if not ids_reserved:
         _append_ids(fact, root)
-    df = _layout(_with_date(fact.select(*FACT.fieldNames())))
-    df.write.mode(mode).partitionBy(DATE_COL).parquet(f"{root}/fact")
+    _write(fact.select(*FACT.fieldNames()), f"{root}/fact", mode, ids_reserved)
 
 
-def read_fact(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(_partitioned(FACT)).parquet(f"{root}/fact")
+def read_fact(spark: SparkSession, root: str, buckets: bool = False) -> DataFrame:
+    found = spark.read.schema(_partitioned(FACT)).parquet(f"{root}/fact")
+    return found if buckets else found.drop(BUCKET_COL)
 
 
 def read_coded(spark: SparkSession, root: str):

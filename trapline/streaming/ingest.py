@@ -6,13 +6,17 @@
            dedup inside the batch, first arrival wins
            anti-join against stored rows of the batch's days only
            [coded store: extend dictionaries, encode once, anti-join on ids]
-           number the new rows above all ids given out so far, append them
+           number the new rows above all ids given out so far, in order of
+           arrival, and append them
            (rejected bodies and log lines go to tables of their own)
 
 Exact over unbounded history without unbounded state: time is part of the
 uniqueness key, so a duplicate can only sit in the same UTC day folder as the
-new row. The batch's days, a small table, prune the folders that are read, so
-the work per batch follows the batch's days, not the history.
+new row. The batch's days prune the folders that are read, its times the parts
+of their files; records without a time, which all share one, lie in buckets of
+their key, of which only the batch's are read. So the work per batch follows the
+batch, not the history. A row's number comes from its place in the input, so
+nothing is sorted, staged or checkpointed for it.
 
 Restarts lose and repeat nothing. Re-running a batch (after a failure, or the
 same input under a new checkpoint) adds nothing: the anti-join finds the rows a
@@ -34,51 +38,66 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, dictionary
-from ..operators.filters import only_submissions, utc_date_text
+from ..operators.filters import only_submissions
 from ..schema import KEY7
 from ..functions.text import log_line
-from ..session import checkpoint_root
 from ..sources import store
 from ..sources.submissions import clean, decode_tagged, split
 
 
+#: Spark numbers rows as partition and place; the place takes so many bits
+_PART_BITS = 33
+#: distinct days of a batch that are broadcast (10 bytes of text each)
+DAY_LIST = 100_000
+
+
 def _arrival_ids(df: DataFrame) -> DataFrame:
     """Arrival number in input order (stable for a replayed file split)."""
     return df.withColumn("_arrival", F.monotonically_increasing_id())
 
 
-def number_rows(df: DataFrame, order: str) -> tuple[DataFrame, int]:
-    """``df`` with ``_nth``, gapless from 0 in ``order``, and its row count.
+def _first_numbers(parts: list) -> tuple[Column, int]:
+    """The number of each row's first fellow of its input partition, and how many numbers all need.
 
-    Rows are range-partitioned and sorted, checkpointed so that their places
-    stay, and counted per partition; only those counts, a row a partition, are
-    gathered."""
-    checkpoint_root(df.sparkSession)
-    placed = df.repartitionByRange(order).sortWithinPartitions(order).checkpoint()
-    part = F.spark_partition_id()
-    counts = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}
-    starts, total = [], 0
-    for k in range(max(counts, default=-1) + 1):
+    ``parts`` has a row for each input partition: its number and the last arrival in it."""
+    starts, total = [F.lit(0).cast("long")], 0
+    for r in sorted(parts, key=lambda r: r["part"]):
+        starts += [F.lit(total).cast("long")] * (r["part"] + 1 - len(starts))
+        total += r["last"] - (r["part"] << _PART_BITS) + 1
         starts.append(F.lit(total).cast("long"))
-        total += counts.get(k, 0)
-    at = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
-    nth = (F.get(F.array(*starts), part) + at) if starts else F.lit(0).cast("long")
-    return placed.withColumn("_nth", nth), total
+    return F.get(F.array(*starts), F.shiftright("_arrival", _PART_BITS).cast("int")), total
 
 
-def _history(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """Stored rows of the days of ``rows``; other day folders are not read.
+def _numbered(rows: DataFrame, parts: list, first: int) -> DataFrame:
+    """``rows`` with ids from ``first`` on, in order of arrival. A row that is dropped leaves its id out."""
+    start, _ = _first_numbers(parts)
+    at = F.col("_arrival").bitwiseAND(F.lit((1 << _PART_BITS) - 1))
+    return rows.withColumn("id", F.lit(first) + start + at)
 
-    The days are broadcast for that: years 0000 to 9999 have 3.7 million of
-    them, so the table has a bound whatever senders write. Times without a date
-    share one folder, which is always read."""
-    day = F.col(store.DATE_COL)
-    days = rows.select(utc_date_text("timestamp").alias(store.DATE_COL)).distinct().filter(day >= F.lit("0000"))
-    return stored.join(F.broadcast(days), store.DATE_COL, "left_semi").unionByName(stored.filter(day.isNull()))
+
+def _history(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored rows that ``rows`` may repeat; other folders, and files of other times, are not read.
+
+    A repeat has the time of its first. The batch's days choose day folders, and its
+    least and greatest time what is read of them. Up to ``DAY_LIST`` days are broadcast;
+    more, of a batch all over the calendar, are joined by size as any table. Rows
+    without a time choose buckets of theirs, ``store.BUCKETS`` at most."""
+    day, bucket = F.col(store.DATE_COL), F.col(store.BUCKET_COL)
+    zero = store.is_zero_day(day)
+    placed = store.with_place(rows)
+    time = F.when(~zero, F.col("timestamp"))
+    seen = placed.agg(F.count_distinct(F.when(~zero, day)).alias("days"), F.min(time).alias("lo"), F.max(time).alias("hi"), F.collect_set(F.when(zero, bucket)).alias("buckets")).first()
+    kept = stored.filter(zero & bucket.isin(seen["buckets"])) if store.BUCKET_COL in stored.columns else stored.filter(zero)
+    if not seen["days"]:
+        return kept
+    days = placed.filter(~zero).select(store.DATE_COL).distinct()
+    days = F.broadcast(days) if seen["days"] <= DAY_LIST else days
+    dated = stored.filter(F.col("timestamp").between(seen["lo"], seen["hi"])).join(days, store.DATE_COL, "left_semi")
+    return dated.unionByName(kept) if seen["buckets"] else dated
 
 
 def _there(spark: SparkSession, path: str) -> bool:
@@ -101,7 +120,7 @@ def _write_log(rows_new: DataFrame, path: str, tz: str | None) -> None:
     folder without one is of a write that was cut off, and is written again."""
     if not _there(rows_new.sparkSession, f"{path}/_SUCCESS"):
         line = log_line("timestamp", "source_ip", "username", "password", tz=tz).alias("value")
-        rows_new.orderBy("_nth").select(line).write.mode("overwrite").option(_MARK, "true").text(path)
+        rows_new.orderBy("id").select(line).write.mode("overwrite").option(_MARK, "true").text(path)
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = None,
@@ -117,35 +136,35 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
     place = f"run={run}/batch_id={batch_id}"
     # decode once; accepted and rejected rows are both read from this copy
     tagged = decode_tagged(batch, tz=tz).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = None
+    kept = [tagged]
     try:
         accepted, rejected = split(tagged)
-        n_rejected, n_accepted = tagged.agg(F.count("reason"), F.count(F.lit(1)) - F.count("reason")).first()
+        part = F.shiftright("_arrival", _PART_BITS).cast("int").alias("part")
+        counts = [F.max("_arrival").alias("last"), F.count("reason").alias("rejected"), F.count(F.lit(1)).alias("n")]
+        parts = tagged.groupBy(part).agg(*counts).collect()  # a row for each input partition
+        n_rejected = sum(r["rejected"] for r in parts)
         if n_rejected:
             rejected.drop("_arrival").write.mode("overwrite").parquet(f"{root}/rejected/{place}")
-        if not n_accepted:
+        if n_rejected == sum(r["n"] for r in parts):
             return
-        rows = dedup.dedup_keep_first(clean(accepted).select("_arrival", *KEY7), KEY7, "_arrival").persist(StorageLevel.MEMORY_AND_DISK)
-        table, dicts, values = "attacks", None, rows
+        rows = dedup.dedup_keep_first(clean(accepted).select("_arrival", *KEY7), KEY7, "_arrival")
+        table, dicts = "attacks", None
         if coded:
             table, dicts = "fact", _extended_dictionaries(spark, rows, root)
-            values = dictionary.encode(rows, dicts)  # from here on all is done on ids
+            rows = dictionary.encode(rows, dicts)  # from here on all is done on ids
+        kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
         if store.table_exists(spark, root, table):
-            stored = store.read_fact(spark, root) if coded else store.read_attacks(spark, root)
-            values = dedup.drop_seen(values, _history(stored, rows), KEY7)
-        rows_new, count = number_rows(values, "_arrival")
-        if not count:
-            return
+            stored = store.read_fact(spark, root, buckets=True) if coded else store.read_attacks(spark, root, buckets=True)
+            rows = dedup.drop_seen(rows, _history(stored, rows), KEY7)
+        rows = _numbered(rows, parts, store.reserve_ids(spark, root, _first_numbers(parts)[1]))
         if log_lines:
-            shown = dictionary.decode(rows_new, dicts, ["source_ip", "username", "password"]) if coded else rows_new
+            kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+            shown = dictionary.decode(rows, dicts, ["source_ip", "username", "password"]) if coded else rows
             _write_log(shown, f"{root}/log/{place}", tz)
-        first = store.reserve_ids(spark, root, count)
-        rows_new = rows_new.withColumn("id", F.lit(first) + F.col("_nth"))
-        (store.write_fact if coded else store.write_attacks)(rows_new, root, "append", ids_reserved=True)
+        (store.write_fact if coded else store.write_attacks)(rows, root, "append", ids_reserved=True)
     finally:
-        if rows is not None:
-            rows.unpersist()
-        tagged.unpersist()
+        for df in kept:
+            df.unpersist()
 
 
 def _extended_dictionaries(spark: SparkSession, rows: DataFrame, root: str) -> dict[str, DataFrame]:
