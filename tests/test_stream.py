@@ -211,3 +211,91 @@ def test_a_whole_log_stays_when_its_rows_were_stored_in_part(spark):
     store.write_attacks(half, root, "overwrite")
     ingest.process_batch(_bodies(spark, 20), 0, root, tz="UTC", log_lines=True, run="a")  # the rerun
     assert store.read_attacks(spark, root).count() == spark.read.text(f"{root}/log").count() == 20
+
+
+def test_history_reads_only_the_buckets_of_rows_without_a_time(spark):
+    root = scratch_path(spark, "test-buckets")
+    zero = [(i, '{"source_ip":"10.9.%d.%d","username":"u","password":"p"}' % (i // 256, i % 256)) for i in range(400)]
+    ingest.process_batch(spark.createDataFrame(zero, "n long, body string"), 0, root, tz="UTC")
+    stored = store.read_attacks(spark, root, buckets=True)
+    assert stored.select("bucket").distinct().count() > store.BUCKETS // 2
+    few = store.read_attacks(spark, root).filter("source_ip IN ('10.9.0.1', '10.9.0.2')").drop("date").checkpoint()
+    seen = ingest._history(stored, few)
+    read = {r["f"] for r in seen.selectExpr("input_file_name() AS f").distinct().collect()}
+    wanted = {r["bucket"] for r in store.with_place(few).select("bucket").collect()}
+    assert 1 <= len(read) <= len(wanted) <= 2
+    assert all(any(f"bucket={b}/" in f for b in wanted) for f in read)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan[plan.index("PartitionFilters: ["):]
+    ingest.process_batch(spark.createDataFrame(zero, "n long, body string"), 1, root, tz="UTC")
+    assert store.read_attacks(spark, root).count() == 400
+
+
+def test_checkpoint_folder_does_not_grow_with_batches(spark):
+    import os
+
+    def size(path):
+        path = path.removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files)
+
+    from trapline.session import checkpoint_root
+
+    spark.range(1).checkpoint()  # the folder is there
+    root = scratch_path(spark, "test-growth")
+    before = size(checkpoint_root(spark)) - size(root)
+    for k in range(10):
+        ingest.process_batch(_bodies(spark, 40, start=40 * k), k, root, tz="UTC")
+    assert store.read_attacks(spark, root).count() == 400
+    assert size(checkpoint_root(spark)) - size(root) == before
+
+
+def test_ids_follow_arrival(spark):
+    root = scratch_path(spark, "test-order")
+    batch = _bodies(spark, 200, more=[(900, "bad")]).repartition(3).sortWithinPartitions("n")
+    arrived = [r["p"] for r in batch.selectExpr("get_json_object(body, '$.password') AS p").collect() if r["p"]]
+    ingest.process_batch(batch, 0, root, tz="UTC")
+    stored = store.read_attacks(spark, root).orderBy("id").collect()
+    assert [r["password"] for r in stored] == arrived
+
+
+def _run_bounded(spark, src, root, horizon):
+    schema = "body string, arrived timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for q in ingest.start_bounded_ingest(stream, root, horizon=horizon, arrival="arrived", checkpoint=root + "-ck", tz="UTC"):
+        q.awaitTermination()
+        assert q.exception() is None
+
+
+def test_bounded_state_keeps_repeats_out_up_to_its_horizon(spark):
+    body = '{"source_ip":"10.0.0.1","username":"%s","password":"p","attack_timestamp":"%s"}'
+    src, root = scratch_path(spark, "test-arrivals"), scratch_path(spark, "test-bounded")
+    batches = [
+        ("2024-01-01 00:00:00", [body % ("a", "2024-01-01T00:00:00Z"), body % ("old", "1971-01-01T00:00:00Z"), "bad"]),
+        ("2024-01-01 00:30:00", [body % ("a", "2024-01-01T00:00:00Z"), body % ("b", "2024-01-01T00:00:00Z"), body % ("far", "9999-01-01T00:00:00Z")]),
+        ("2024-01-01 05:00:00", [body % ("c", "2024-01-01T00:00:00Z")]),
+        ("2024-01-01 06:00:00", [body % ("a", "2024-01-01T00:00:00Z"), body % ("c", "2024-01-01T00:00:00Z")]),
+    ]
+    for at, bodies in batches:  # a file a batch, in order of arrival
+        rows = spark.createDataFrame([(b, at) for b in bodies], "body string, at string").selectExpr("body", "CAST(at AS TIMESTAMP) AS arrived")
+        rows.coalesce(1).write.mode("append").parquet(src)
+        _run_bounded(spark, src, root, "1 hour")  # a restart for each
+    stored = store.read_attacks(spark, root)
+    names = sorted(r["username"] for r in stored.collect())
+    # a's repeat within the hour is dropped, that after six hours is stored; late and far future times are accepted
+    assert names == ["a", "a", "b", "c", "far", "old"]
+    assert stored.select("id").distinct().count() == 6
+    assert [r["body"] for r in spark.read.parquet(f"{root}/rejected_stream").collect()] == ["bad"]
+
+
+def test_a_bounded_batch_that_was_cut_off_stores_nothing_twice(spark):
+    root = scratch_path(spark, "test-bounded-cut")
+    rows = spark.createDataFrame([(1704067200000 + i, "s", "d", "u", f"p{i}", "t", "e") for i in range(50)], "timestamp long, source_ip string, destination_ip string, username string, password string, attack_type string, evidence string").select(*KEY7)
+    ingest._append_batch(rows, 0, root, "a")
+    ingest._append_batch(rows, 0, root, "a")  # finished: nothing to do
+    assert store.read_attacks(spark, root).count() == 50
+    half = store.read_attacks(spark, root).drop("date").filter("id % 2 = 0").checkpoint()
+    store.write_attacks(half, root, "overwrite")
+    spark.range(0).selectExpr("CAST(id AS STRING) AS value").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").mode("overwrite").text(f"{root}/bounded/run=a/batch_id=0/done")
+    ingest._append_batch(rows, 0, root, "a")  # begun, rows stored in part, not finished
+    stored = store.read_attacks(spark, root)
+    assert stored.count() == 50 == stored.select("id").distinct().count()

@@ -207,6 +207,51 @@ def q_stream_ingest_restart_log(spark, sf_dir):
     return spark.read.text(f"{_run_restart(spark, sf_dir)}/log").select(F.col("value").alias("line"))
 
 
+def q_stream_ingest_bounded(spark, sf_dir):
+    """The stored rows of the ingest with bounded state; all repeats arrive within its horizon."""
+    src = _stage_requests(spark, sf_dir, files=3)
+    root = scratch_path(spark, "store")
+    stream = spark.readStream.schema(derived.request_log(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for q in ingest.start_bounded_ingest(stream, root, horizon="2 days", checkpoint=root + "-checkpoint", tz=TZ):
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return store.read_attacks(spark, root).select(*KEY7)
+
+
+def q_stream_ingest_text(spark, sf_dir):
+    """The stored rows of an ingest whose source is a stream of text files, a body a line."""
+    path, root = scratch_path(spark, "bodies"), scratch_path(spark, "store")
+    derived.request_log(spark, sf_dir).select("body").repartition(3).write.text(path)
+    stream = submissions.read_submissions(spark, path, streaming=True, maxFilesPerTrigger=2)
+    q = ingest.start_ingest(stream, root, checkpoint=root + "-checkpoint", tz=TZ)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return store.read_attacks(spark, root).select(*KEY7)
+
+
+def _requests_without_time(spark, sf_dir) -> DataFrame:
+    """The request log with the time left out of a third of the bodies."""
+    bare = F.regexp_replace("body", '"attack_timestamp":"[^"]*",', "")
+    timeless = (F.col("event_id") % 3 == 0) & (F.col("event_id") % 200 != 6)
+    return derived.request_log(spark, sf_dir).withColumn("body", F.when(timeless, bare).otherwise(F.col("body")))
+
+
+def q_stream_ingest_timeless(spark, sf_dir):
+    """The stored rows of an ingest in which a third of the records have no time, all of it read twice."""
+    requests, root = _requests_without_time(spark, sf_dir), scratch_path(spark, "store")
+    for k in range(2):
+        src = scratch_path(spark, "requests")
+        requests.repartition(1 + k).write.parquet(src)
+        stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = ingest.start_ingest(stream, root, checkpoint=f"{root}/_checkpoint-{k}", tz=TZ)
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return store.read_attacks(spark, root).select(*KEY7)
+
+
 def q_read_submissions(spark, sf_dir):
     """Bodies, one a line, read back from text files and decoded."""
     path = scratch_path(spark, "bodies")
@@ -315,6 +360,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "stream_ingest_restart_rows": q_stream_ingest_restart_rows,
             "stream_ingest_restart_rejected": q_stream_ingest_restart_rejected,
             "stream_ingest_restart_log": q_stream_ingest_restart_log,
+            "stream_ingest_bounded": q_stream_ingest_bounded,
+            "stream_ingest_text": q_stream_ingest_text,
+            "stream_ingest_timeless": q_stream_ingest_timeless,
             "read_submissions": q_read_submissions,
             "read_legacy": q_read_legacy,
             "credential_sources": q_credential_sources,
@@ -588,6 +636,10 @@ def _operator_sql() -> dict[str, str]:
         f"source_ip, username, password) AS line FROM (SELECT {_K7} FROM submitted EXCEPT SELECT {_K7} FROM old)"
     )
     q["read_submissions"] = f"WITH {_submitted('TRUE')} SELECT DISTINCT {_K7} FROM submitted"
+    q["stream_ingest_bounded"] = stream
+    q["stream_ingest_text"] = q["read_submissions"]
+    k7_bare = _K7.replace('"timestamp"', 'CASE WHEN event_id % 3 = 0 THEN -62135596800000 ELSE "timestamp" END AS "timestamp"', 1)
+    q["stream_ingest_timeless"] = f"WITH {_SUBMITTED} SELECT DISTINCT {k7_bare} FROM submitted"
     q["read_legacy"] = f"WITH {_LEGACY} SELECT * FROM legacy"
     q["credential_sources"] = _with(
         f"SELECT username, password, source_ip, count(*) AS uses, min({_TS}) AS first_seen, max({_TS}) AS last_seen FROM timed GROUP BY 1, 2, 3"

@@ -27,9 +27,15 @@ token) and batch: a rerun of a batch replaces its own rejected bodies with the
 same ones and keeps its log, another run never touches them. Dictionaries are
 appended before fact rows; unused ids are harmless.
 
-No watermark is used: a watermark-bounded dedup would drop records that
-arrive later than its delay, while the original accepts late and
+The exact form uses no watermark: one on the records' own time would drop records
+that arrive later than its delay, while the original accepts late and
 future-dated records without limit.
+
+``start_bounded_ingest`` is the form with bounded state for sensors that resend
+soon or never. It reads no history: Spark's state store keeps the keys that
+arrived within ``horizon``, and a repeat that arrives later is stored again. The
+watermark is on arrival, not on the records' own time, so late and future-dated
+records are accepted without limit here too.
 """
 
 from __future__ import annotations
@@ -167,6 +173,63 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
             df.unpersist()
 
 
+def _append_batch(rows: DataFrame, batch_id: int, root: str, run: str) -> None:
+    """Number and append the rows of a micro-batch that its state let through.
+
+    The mark of a begun batch is written before, that of a finished one after its
+    rows. A rerun of a batch that was begun and not finished may find rows of its
+    own, and looks for them in the history; other batches need not."""
+    spark = rows.sparkSession
+    begun, done = (f"{root}/bounded/run={run}/batch_id={batch_id}/{x}" for x in ("begun", "done"))
+    if _there(spark, f"{done}/_SUCCESS"):
+        return
+    rows = _arrival_ids(rows.select(*KEY7)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        parts = rows.groupBy(F.shiftright("_arrival", _PART_BITS).cast("int").alias("part")).agg(F.max("_arrival").alias("last")).collect()
+        if not parts:
+            return
+        new = rows
+        if _there(spark, f"{begun}/_SUCCESS") and store.table_exists(spark, root, "attacks"):
+            new = dedup.drop_seen(rows, _history(store.read_attacks(spark, root, buckets=True), rows), KEY7)
+        mark = spark.range(1).selectExpr("CAST(id AS STRING) AS value").coalesce(1).write.mode("overwrite").option(_MARK, "true")
+        mark.text(begun)
+        new = _numbered(new, parts, store.reserve_ids(spark, root, _first_numbers(parts)[1]))
+        store.write_attacks(new, root, "append", ids_reserved=True)
+        mark.text(done)
+    finally:
+        rows.unpersist()
+
+
+def start_bounded_ingest(source: DataFrame, root: str, horizon: str = "1 day", arrival: str | None = None,
+                         checkpoint: str | None = None, tz: str | None = None,
+                         available_now: bool = True, processing_time: str | None = None):
+    """Start the ingest with bounded state; returns its two queries (stored rows,
+    and rejected bodies, which go to ``<root>/rejected_stream``).
+
+    A record is dropped if an equal one arrived at most ``horizon`` before it. A
+    repeat that arrives later is stored once more, as soon as the watermark has
+    passed the first one's arrival by ``horizon``. ``arrival`` names a TIMESTAMP
+    column of ``source`` (default: the time a batch is taken); rows whose arrival
+    lies more than ``horizon`` behind the latest one seen are dropped, so it should
+    be a clock of the receiver's, not of the sensor's. Ids are unique and grow from
+    batch to batch; within one they follow the state store, not arrival."""
+    checkpoint = (checkpoint or f"{root.rstrip('/')}/_checkpoint").rstrip("/")
+    run = _run_token(source.sparkSession, checkpoint)
+    if "method" in source.columns and "path" in source.columns:
+        source = only_submissions(source).drop("method", "path")
+    source = source.withColumn("_arrived", F.col(arrival) if arrival else F.current_timestamp())
+    accepted, rejected = split(decode_tagged(source, tz=tz))
+    rows = dedup.dedup_within(clean(accepted).select("_arrived", *KEY7), "_arrived", horizon)
+    trigger = {"processingTime": processing_time} if processing_time else {"availableNow": available_now}
+    kept = rows.writeStream.foreachBatch(lambda df, bid: _append_batch(df, bid, root, run)).option("checkpointLocation", f"{checkpoint}/rows").trigger(**trigger).start()
+    rejected = rejected.drop("_arrived") if arrival else rejected.withColumnRenamed("_arrived", "arrived")
+    bad = (
+        rejected.writeStream.format("parquet").option("path", f"{root}/rejected_stream")
+        .option("checkpointLocation", f"{checkpoint}/rejected").trigger(**trigger).start()
+    )
+    return kept, bad
+
+
 def _extended_dictionaries(spark: SparkSession, rows: DataFrame, root: str) -> dict[str, DataFrame]:
     """The stored dictionaries with the batch's values added (one write for all
     six); unused ids after a failure are harmless."""
