@@ -33,7 +33,9 @@ from ..schema import ATTACKS, DICT, FACT, KEY7, LEGACY, TEXT_COLUMNS
 
 DATE_COL, BUCKET_COL = "date", "bucket"
 #: the day of records without a time, and the folders it is dealt into
-ZERO_DAY, BUCKETS = "0001-01-01", 64
+ZERO_DAY, BUCKETS = "0001-01-01", 16
+#: rows of a batch for which a folder gets one more file
+FILE_ROWS = 4_000_000
 MARK = StructType([StructField("top", LongType())])
 
 
@@ -57,16 +59,19 @@ def _layout(df: DataFrame) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _batch_layout(df: DataFrame) -> DataFrame:
-    """Rows of a batch, whose times lie close together as they are: dealt by
-    folder, large folders split and small ones joined by size as measured, and
-    sorted by time. No range sample, so the batch is worked out once."""
-    return df.hint("rebalance", DATE_COL, BUCKET_COL).sortWithinPartitions(DATE_COL, BUCKET_COL, "timestamp")
+def _batch_layout(df: DataFrame, rows: int) -> DataFrame:
+    """A batch's rows, whose times lie close together as they are: dealt by folder
+    to all tasks, a folder of a large batch to several, and sorted by time. No
+    range sample, so the batch is worked out once."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64(*KEY7, F.lit(1)), F.lit(1 + rows // FILE_ROWS))
+    return df.repartition(parts, DATE_COL, BUCKET_COL, share).sortWithinPartitions(DATE_COL, BUCKET_COL, "timestamp")
 
 
-def _write(rows: DataFrame, path: str, mode: str, batch: bool) -> None:
+def _write(rows: DataFrame, path: str, mode: str, batch_rows: int | None) -> None:
     placed = with_place(rows)
-    (_batch_layout if batch else _layout)(placed).write.mode(mode).partitionBy(DATE_COL, BUCKET_COL).parquet(path)
+    placed = _layout(placed) if batch_rows is None else _batch_layout(placed, batch_rows)
+    placed.write.mode(mode).partitionBy(DATE_COL, BUCKET_COL).parquet(path)
 
 
 def _append_ids(df: DataFrame, root: str) -> None:
@@ -96,12 +101,12 @@ def reserve_ids(spark: SparkSession, root: str, count: int) -> int:
     return top + 1
 
 
-def write_attacks(attacks: DataFrame, root: str, mode: str = "append", ids_reserved: bool = False) -> None:
-    """Write decoded attacks (id, timestamp, six text columns). ``ids_reserved``: the
-    rows are a batch of the ingest, with ids above the mark."""
-    if not ids_reserved:
+def write_attacks(attacks: DataFrame, root: str, mode: str = "append", batch_rows: int | None = None) -> None:
+    """Write decoded attacks (id, timestamp, six text columns). ``batch_rows``: they are a
+    batch of the ingest, of so many rows at most, with ids above the mark."""
+    if batch_rows is None:
         _append_ids(attacks, root)
-    _write(attacks.select(*ATTACKS.fieldNames()), f"{root}/attacks", mode, ids_reserved)
+    _write(attacks.select(*ATTACKS.fieldNames()), f"{root}/attacks", mode, batch_rows)
 
 
 def _partitioned(schema: StructType) -> StructType:
@@ -139,11 +144,11 @@ def read_dictionaries(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {c: stacked.filter(stacked["column"] == c).select("id", "value") for c in TEXT_COLUMNS}
 
 
-def write_fact(fact: DataFrame, root: str, mode: str = "append", ids_reserved: bool = False) -> None:
+def write_fact(fact: DataFrame, root: str, mode: str = "append", batch_rows: int | None = None) -> None:
     """Write coded rows (id, timestamp, six dictionary ids)."""
-    if not ids_reserved:
+    if batch_rows is None:
         _append_ids(fact, root)
-    _write(fact.select(*FACT.fieldNames()), f"{root}/fact", mode, ids_reserved)
+    _write(fact.select(*FACT.fieldNames()), f"{root}/fact", mode, batch_rows)
 
 
 def read_fact(spark: SparkSession, root: str, buckets: bool = False) -> DataFrame:

@@ -162,12 +162,13 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
         if store.table_exists(spark, root, table):
             stored = store.read_fact(spark, root, buckets=True) if coded else store.read_attacks(spark, root, buckets=True)
             rows = dedup.drop_seen(rows, _history(stored, rows), KEY7)
-        rows = _numbered(rows, parts, store.reserve_ids(spark, root, _first_numbers(parts)[1]))
+        numbers = _first_numbers(parts)[1]
+        rows = _numbered(rows, parts, store.reserve_ids(spark, root, numbers))
         if log_lines:
             kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
             shown = dictionary.decode(rows, dicts, ["source_ip", "username", "password"]) if coded else rows
             _write_log(shown, f"{root}/log/{place}", tz)
-        (store.write_fact if coded else store.write_attacks)(rows, root, "append", ids_reserved=True)
+        (store.write_fact if coded else store.write_attacks)(rows, root, "append", batch_rows=numbers)
     finally:
         for df in kept:
             df.unpersist()
@@ -193,8 +194,9 @@ def _append_batch(rows: DataFrame, batch_id: int, root: str, run: str) -> None:
             new = dedup.drop_seen(rows, _history(store.read_attacks(spark, root, buckets=True), rows), KEY7)
         mark = spark.range(1).selectExpr("CAST(id AS STRING) AS value").coalesce(1).write.mode("overwrite").option(_MARK, "true")
         mark.text(begun)
-        new = _numbered(new, parts, store.reserve_ids(spark, root, _first_numbers(parts)[1]))
-        store.write_attacks(new, root, "append", ids_reserved=True)
+        numbers = _first_numbers(parts)[1]
+        new = _numbered(new, parts, store.reserve_ids(spark, root, numbers))
+        store.write_attacks(new, root, "append", batch_rows=numbers)
         mark.text(done)
     finally:
         rows.unpersist()
