@@ -54,7 +54,7 @@ SAMPLE, SAMPLE_LEAST = 64, 8
 #: parts of the suffix filter
 BINS = 32
 #: rounds with one leader a shingle, at most, while they link something and open pairs outnumber their rows so many times
-ROUNDS, MANY = 3, 2
+ROUNDS, MANY = 3, 200
 
 
 def _need(n, percent: int):
