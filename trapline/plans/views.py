@@ -125,8 +125,8 @@ def minute_counts(attacks: DataFrame, tz: str | None = None) -> DataFrame:
     return attacks.select(T.floor_div(lsec, 60).alias("_minute")).groupBy("_minute").agg(_count())
 
 
-def view_attacks_by_time(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
-    m = minute_counts(attacks, tz)
+def by_time_from_minutes(m: DataFrame) -> DataFrame:
+    """Stage 2 of E9 over minute counts."""
     start = F.col("_minute") * 60
     day = T.day_number(start)
     date = T.date_of_day(day)
@@ -142,6 +142,10 @@ def view_attacks_by_time(attacks: DataFrame, tz: str | None = None, **_) -> Data
     )
 
 
+def view_attacks_by_time(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
+    return by_time_from_minutes(minute_counts(attacks, tz))
+
+
 # ---------------------------------------------------------------------------
 # Behaviour per source address
 # ---------------------------------------------------------------------------
@@ -386,14 +390,33 @@ def _bucket_totals(attacks: DataFrame, as_of, tz, days: int, width: int, step_un
         .groupBy("_start")
         .agg(F.count(F.lit(1)).alias("total_attacks"))
     )
+    return _bucket_rows(agg, step_unit)
+
+
+def _bucket_rows(totals: DataFrame, step_unit: str) -> DataFrame:
     start = T.clock_of("_start")
-    return agg.orderBy("_start").select(
+    return totals.orderBy("_start").select(
         start.cast("string").alias("from_time"),
         F.timestamp_add(step_unit, F.lit(1), start).cast("string").alias("to_time"),
         "total_attacks",
     )
 
 
+def totals_from_minutes(m: DataFrame, as_of, tz, days: int, width: int, step_unit: str) -> DataFrame:
+    """The same totals from minute counts; the cut-off reaches a stored table's scan."""
+    cut = T.floor_div(T.local_cutoff_seconds(as_of, days, tz), width) * width
+    recent = m.filter(F.col("_minute") >= T.int_div(cut, 60))
+    start = (T.floor_div(F.col("_minute") * 60, width) * width).alias("_start")
+    return _bucket_rows(recent.select(start, "count").groupBy("_start").agg(F.sum("count").alias("total_attacks")), step_unit)
+
+
+#: of the reports over time buckets: the bucket's seconds, its unit and the days shown
+BUCKET_REPORTS = {
+    "report_hourly_attacks_last_7_days": (3600, "HOUR", 7),
+    "report_daily_attacks_last_90_days": (T.SECONDS_PER_DAY, "DAY", 90),
+}
+
+
 def report_hourly_attacks_last_7_days(attacks: DataFrame, as_of=None, tz: str | None = None, days: int = 7, **_) -> DataFrame:
     return _bucket_totals(attacks, as_of, tz, days, 3600, "HOUR")
 

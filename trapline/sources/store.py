@@ -7,6 +7,8 @@ Layout at rest (parquet):
   <root>/dict/column=<name>/...        six dictionaries (id, value), one table
 
   <root>/id_mark/...                   the largest id given out by the ingest
+  <root>/minutes/...                   counts per local minute (``plans.rollup``)
+  <root>/generation/...                a row for each batch write since the first of those
 
 Rows are range-partitioned on (date, timestamp, source, ...) before the write,
 so a busy day, or a third of all rows at one instant, is split over many tasks
@@ -78,6 +80,18 @@ def _append_ids(df: DataFrame, root: str) -> None:
     """Forget the id mark: rows with ids of their own are about to come in."""
     if table_exists(df.sparkSession, root, "id_mark"):
         _write_mark(df.sparkSession, root, [])
+    if path_exists(df.sparkSession, f"{root}/minutes"):
+        begin_generation(df.sparkSession, root)
+
+
+def generation(spark: SparkSession, root: str) -> int:
+    """How often rows with ids of their own came into a store that had minute counts."""
+    return spark.read.schema(MARK).parquet(f"{root}/generation").count() if path_exists(spark, f"{root}/generation") else 0
+
+
+def begin_generation(spark: SparkSession, root: str) -> None:
+    """Minute counts kept so far hold no longer."""
+    spark.createDataFrame([(None,)], MARK).coalesce(1).write.mode("append").parquet(f"{root}/generation")
 
 
 def _write_mark(spark: SparkSession, root: str, rows: list) -> None:
@@ -167,6 +181,17 @@ def read_legacy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEGACY).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True when there is something at ``path``. Anything but a missing path is an error."""
+    try:
+        spark.read.text(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def table_exists(spark: SparkSession, root: str, table: str) -> bool:
     """True when ``<root>/<table>`` is there. Anything but a missing path is an
     error: taking it for an empty history would store duplicates."""
@@ -190,5 +215,8 @@ __all__ = [
     "read_coded",
     "read_legacy",
     "table_exists",
+    "path_exists",
+    "generation",
+    "begin_generation",
     "reserve_ids",
 ]

@@ -43,12 +43,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, dictionary
 from ..operators.filters import only_submissions
+from ..plans import rollup
 from ..schema import KEY7
 from ..functions.text import log_line
 from ..sources import store
@@ -106,16 +106,6 @@ def _history(stored: DataFrame, rows: DataFrame) -> DataFrame:
     return dated.unionByName(kept) if seen["buckets"] else dated
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(path)
-        return True
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-
-
 #: Hadoop's setting of the marker of a whole write
 _MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
@@ -124,17 +114,18 @@ def _write_log(rows_new: DataFrame, path: str, tz: str | None) -> None:
     """One text line per newly stored record. It is written before the rows
     are stored; once its marker is there it is whole, and a rerun leaves it. A
     folder without one is of a write that was cut off, and is written again."""
-    if not _there(rows_new.sparkSession, f"{path}/_SUCCESS"):
+    if not store.path_exists(rows_new.sparkSession, f"{path}/_SUCCESS"):
         line = log_line("timestamp", "source_ip", "username", "password", tz=tz).alias("value")
         rows_new.orderBy("id").select(line).write.mode("overwrite").option(_MARK, "true").text(path)
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = None,
-                  coded: bool = False, log_lines: bool = False, run: str = "batch") -> None:
+                  coded: bool = False, log_lines: bool = False, run: str = "batch", minutes: bool = False) -> None:
     """Handle one micro-batch (also usable on a plain batch DataFrame). ``run``
     names the sequence of batches that ``batch_id`` counts. With ``log_lines``,
     the records stored by this batch are also written as readable lines to
-    ``<root>/log/run=<run>/batch_id=N``."""
+    ``<root>/log/run=<run>/batch_id=N``. With ``minutes``, the counts per minute
+    (``plans.rollup``) are brought up to date after it."""
     spark = batch.sparkSession
     batch = _arrival_ids(batch)
     if "method" in batch.columns and "path" in batch.columns:
@@ -169,6 +160,8 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
             shown = dictionary.decode(rows, dicts, ["source_ip", "username", "password"]) if coded else rows
             _write_log(shown, f"{root}/log/{place}", tz)
         (store.write_fact if coded else store.write_attacks)(rows, root, "append", batch_rows=numbers)
+        if minutes:
+            rollup.refresh(spark, root, tz, table)
     finally:
         for df in kept:
             df.unpersist()
@@ -182,7 +175,7 @@ def _append_batch(rows: DataFrame, batch_id: int, root: str, run: str) -> None:
     own, and looks for them in the history; other batches need not."""
     spark = rows.sparkSession
     begun, done = (f"{root}/bounded/run={run}/batch_id={batch_id}/{x}" for x in ("begun", "done"))
-    if _there(spark, f"{done}/_SUCCESS"):
+    if store.path_exists(spark, f"{done}/_SUCCESS"):
         return
     rows = _arrival_ids(rows.select(*KEY7)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -190,7 +183,7 @@ def _append_batch(rows: DataFrame, batch_id: int, root: str, run: str) -> None:
         if not parts:
             return
         new = rows
-        if _there(spark, f"{begun}/_SUCCESS") and store.table_exists(spark, root, "attacks"):
+        if store.path_exists(spark, f"{begun}/_SUCCESS") and store.table_exists(spark, root, "attacks"):
             new = dedup.drop_seen(rows, _history(store.read_attacks(spark, root, buckets=True), rows), KEY7)
         mark = spark.range(1).selectExpr("CAST(id AS STRING) AS value").coalesce(1).write.mode("overwrite").option(_MARK, "true")
         mark.text(begun)
@@ -246,14 +239,14 @@ def _extended_dictionaries(spark: SparkSession, rows: DataFrame, root: str) -> d
 def _run_token(spark: SparkSession, checkpoint: str) -> str:
     """The name of the runs that share a checkpoint; kept inside it."""
     path = f"{checkpoint.rstrip('/')}/ingest_run"
-    if not _there(spark, path):
+    if not store.path_exists(spark, path):
         spark.createDataFrame([(uuid.uuid4().hex[:12],)], "value string").coalesce(1).write.text(path)
     return spark.read.text(path).first()["value"]
 
 
 def start_ingest(source: DataFrame, root: str, checkpoint: str | None = None, tz: str | None = None,
                  coded: bool = False, available_now: bool = True, processing_time: str | None = None,
-                 query_name: str | None = None, log_lines: bool = False):
+                 query_name: str | None = None, log_lines: bool = False, minutes: bool = False):
     """Start the exact ingest stream. ``source`` is a streaming DataFrame of
     raw bodies (column ``body``) or requests (``method``, ``path``, ``body``).
     The checkpoint defaults to a folder of the store itself, so that a
@@ -263,7 +256,7 @@ def start_ingest(source: DataFrame, root: str, checkpoint: str | None = None, tz
         checkpoint = f"{root.rstrip('/')}/_checkpoint"
     run = _run_token(spark, checkpoint)
     writer = source.writeStream.foreachBatch(
-        lambda df, bid: process_batch(df, bid, root, tz, coded, log_lines, run)
+        lambda df, bid: process_batch(df, bid, root, tz, coded, log_lines, run, minutes)
     ).option("checkpointLocation", checkpoint)
     if query_name:
         writer = writer.queryName(query_name)
