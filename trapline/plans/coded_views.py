@@ -40,14 +40,24 @@ def _daily(fact: DataFrame, dicts, key: str, tz) -> DataFrame:
     return V.daily_from_stage(_decode(V.daily_stage(fact, key, tz), dicts, [key]), key)
 
 
+def _separator_in(dicts) -> bool:
+    """Whether a user name or password holds the separator of logins (one look at two dictionaries)."""
+    values = dicts["username"].select("value").unionByName(dicts["password"].select("value"))
+    return bool(values.agg(F.bool_or(V.login_is_odd("value", "value")).alias("odd")).first()["odd"])
+
+
 def _patterns(fact, dicts, tz):
-    stage = _decode(V.source_login_stage(fact, tz), dicts, ["source_ip", "username", "password"])
-    return V.attack_patterns_from_stage(stage)
+    # pairs of ids are as different as their logins, but for values that hold the separator
+    stage, ids = V.source_login_stage(fact, tz), not _separator_in(dicts)
+    stage = stage if ids else _decode(stage, dicts, ["username", "password"])
+    return V.attack_patterns_in_order(_decode(V.patterns_by_source(stage, ids), dicts, ["source_ip"]))
 
 
 def _fingerprints(fact, dicts, tz):
-    stage = _decode(V.credential_source_stage(fact, tz), dicts, ["source_ip", "username", "password"])
-    return V.fingerprints_from_stage(stage)
+    # the list shows addresses, so these are decoded before it is made; credentials after it
+    stage = _decode(V.credential_source_stage(fact, tz), dicts, ["source_ip"])
+    decoded = _decode(V.fingerprints_from_stage(stage), dicts, ["username", "password"])
+    return V._fingerprint_order(decoded).select(*V._FINGERPRINT_COLUMNS)
 
 
 def _new_fingerprints(fact, dicts, as_of, tz, days: int = 7):

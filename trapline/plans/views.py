@@ -19,7 +19,7 @@ Plan shape, for scale:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timefn as T
@@ -160,49 +160,51 @@ def source_login_stage(attacks: DataFrame, tz: str | None = None) -> DataFrame:
     )
 
 
-def attack_patterns_from_stage(per_login: DataFrame, decode=None) -> DataFrame:
-    """Stage 2 of E11 over distinct (source, username, password) rows.
+def login_is_odd(username="username", password="password") -> Column:
+    """Whether a login's joined text may be that of another login too: a part holds the separator."""
+    core = LOGIN_SEPARATOR.strip()
+    return F.coalesce(F.col(username).contains(core) | F.col(password).contains(core), F.lit(False))
 
-    Each distinct count has its own grouping, stacked and summed, so no row is
-    expanded per count. A login counts as its joined text, which different
-    pairs can share only if a part holds the separator; those few rows are
-    counted by text, all others as they are. ``decode`` gives the values of id
-    columns where the rows hold ids (then only those tests need them)."""
-    decode = decode or (lambda df, columns: df)
-    core = F.lit(LOGIN_SEPARATOR.strip())
+
+def patterns_by_source(per_login: DataFrame, ids: bool = False) -> DataFrame:
+    """Counts and first and last second of each source, from distinct (source, username,
+    password) rows, in one pass.
+
+    A row stands for its user name, its password and, if its joined text may be that
+    of another pair, its text, each under a tag; one aggregate makes these distinct
+    and carries the sums with the password. Other logins are as many as their rows.
+    ``ids``: the rows hold dictionary ids, and no value holds the separator."""
     whole = F.col("username").isNotNull() & F.col("password").isNotNull()
-    odd_names, odd_words = (
-        decode(per_login.select(F.col(c), F.col(c).alias("_key")).distinct(), [c]).filter(F.col(c).contains(core)).select(F.col("_key").alias(c))
-        for c in ("username", "password")
-    )
-    odd = per_login.join(odd_names, "username", "left_semi").unionByName(per_login.join(odd_words, "password", "left_semi")).filter(whole)
-    logins = decode(odd.select("source_ip", "username", "password").distinct(), ["username", "password"])
-    logins = logins.select("source_ip", F.concat("username", F.lit(LOGIN_SEPARATOR), "password").alias("_text")).distinct()
-    pairs = odd.select("source_ip", "username", "password").distinct()
-
-    def part(df, **counts):
-        names = ["_n", "_first", "_last", "_users", "_words", "_logins"]
-        return df.select("source_ip", *[counts.get(c, F.lit(None)).cast("long").alias(c) for c in names])
-
-    one = lambda c: F.col(c).isNotNull()
-    words = per_login.groupBy("source_ip", "password").agg(
-        F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum(whole.cast("long")).alias("_logins")
-    )
-    stacked = (
-        part(words, _n=F.col("_n"), _first=F.col("_first"), _last=F.col("_last"), _words=one("password"), _logins=F.col("_logins"))
-        .unionByName(part(per_login.select("source_ip", "username").distinct(), _users=one("username")))
-        .unionByName(part(pairs, _logins=F.lit(-1)))
-        .unionByName(part(logins, _logins=F.lit(1)))
-    )
-    agg = stacked.groupBy("source_ip").agg(
+    nothing = F.lit(None).cast("long")
+    empty = {"_n": nothing, "_first": nothing, "_last": nothing, "_logins": nothing}
+    odd = F.lit(False) if ids else login_is_odd()
+    sums = {"_n": F.col("_n"), "_first": F.col("_first"), "_last": F.col("_last"), "_logins": (whole & ~odd).cast("long")}
+
+    def tagged(tag: int, key, values: dict):
+        return F.struct(F.lit(tag).alias("_tag"), key.alias("_key"), *[v.alias(c) for c, v in values.items()])
+
+    parts = [tagged(0, F.col("username"), empty), tagged(1, F.col("password"), sums)]
+    if not ids:
+        text = tagged(2, F.concat("username", F.lit(LOGIN_SEPARATOR), "password"), empty)
+        parts = F.when(whole & odd, F.array(*parts, text)).otherwise(F.array(*parts))
+    else:
+        parts = F.array(*parts)
+    rows = per_login.select("source_ip", F.inline(parts))
+    keys = rows.groupBy("source_ip", "_tag", "_key").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_logins").alias("_logins"))
+    number = lambda tag: F.count(F.when(F.col("_tag") == tag, F.col("_key")))
+    return keys.groupBy("source_ip").agg(
         F.sum("_n").alias("total_attacks"),
-        F.coalesce(F.sum("_users"), F.lit(0)).alias("unique_usernames"),
-        F.coalesce(F.sum("_words"), F.lit(0)).alias("unique_passwords"),
-        F.coalesce(F.sum("_logins"), F.lit(0)).alias("unique_logins"),
+        number(0).alias("unique_usernames"),
+        number(1).alias("unique_passwords"),
+        (F.coalesce(F.sum("_logins"), F.lit(0)) + number(2)).alias("unique_logins"),
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
     )
-    return agg.orderBy(F.desc("total_attacks"), F.asc("source_ip")).select(
+
+
+def attack_patterns_in_order(by_source: DataFrame) -> DataFrame:
+    """The rows of E11, the most attacks first."""
+    return by_source.orderBy(F.desc("total_attacks"), F.asc("source_ip")).select(
         "source_ip",
         "total_attacks",
         "unique_usernames",
@@ -214,7 +216,7 @@ def attack_patterns_from_stage(per_login: DataFrame, decode=None) -> DataFrame:
 
 
 def view_attack_patterns_by_source(attacks: DataFrame, tz: str | None = None, **_) -> DataFrame:
-    return attack_patterns_from_stage(source_login_stage(attacks, tz))
+    return attack_patterns_in_order(patterns_by_source(source_login_stage(attacks, tz)))
 
 
 # ---------------------------------------------------------------------------
