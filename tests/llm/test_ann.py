@@ -84,3 +84,19 @@ def test_query_recall_and_exact_scores(spark):
 
 def test_small_query(spark):
     assert len(queries.op8_nearest_neighbours(spark, SF).collect()) == 50
+
+
+def test_a_block_holds_the_nearest_of_vectors_far_from_the_origin():
+    rng = np.random.default_rng(5)
+    for offset, spread in ((0.0, 1.0), (1e4, 0.01), (1e5, 0.01), (1e7, 0.01), (1e9, 1e-3)):
+        x = rng.normal(0, spread, (600, 64)) + offset
+        x = np.concatenate([x, x[:5], x[:3] + 3 * offset])  # copies and a far group
+        q, m, score = ann.block_nearest(x[:40], x, 11)
+        for i in range(40):
+            exact = np.sqrt(((x[i] - x) ** 2).sum(axis=1))
+            mine = dict(zip(m[q == i].tolist(), score[q == i].tolist()))
+            edge = np.sort(exact)[10]
+            assert {j for j in range(len(x)) if exact[j] <= edge} <= set(mine)
+            assert all(mine[j] == exact[j] for j in mine)
+            if offset < 1e7:
+                assert len(mine) < 60  # room for rounding lets few others in

@@ -165,10 +165,17 @@ def _probe_batches(batches: Iterator[pa.RecordBatch], forest: Forest, dimension:
 
 def block_nearest(queries: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of queries, rows of members and exact distances of (at least) the k nearest of each query."""
-    near = (queries**2).sum(axis=1)[:, None] + (members**2).sum(axis=1)[None, :] - 2 * queries @ members.T
+    # around the members' middle, and with room for what the product rounds otherwise than the
+    # distance: that grows with a vector's length, however small the distances are
+    middle = members.mean(axis=0)
+    qs, ms = queries - middle, members - middle
+    q2, m2 = (qs**2).sum(axis=1), (ms**2).sum(axis=1)
+    near = q2[:, None] + m2[None, :] - 2 * qs @ ms.T
     if members.shape[0] > k:
-        edge = np.partition(near, k - 1, axis=1)[:, k - 1, None]
-        q, m = np.nonzero(near <= edge + 1e-9 * (1 + np.abs(edge)))  # the product rounds otherwise than the distance
+        eps, n = np.finfo(np.float64).eps, members.shape[1]
+        room = [8 * eps * ((n + 4) * x2 + np.sqrt(n * x2) * np.abs(x).max(axis=1)) for x, x2 in ((queries, q2), (members, m2))]
+        most = np.partition(near + room[1], k - 1, axis=1)[:, k - 1]
+        q, m = np.nonzero(near - room[1] <= (most + 2 * room[0])[:, None])
     else:
         q, m = np.nonzero(np.ones(near.shape, bool))
     return q, m, np.sqrt(((queries[q] - members[m]) ** 2).sum(axis=1))
