@@ -20,7 +20,7 @@ all rows) when it is not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TEXT_COLUMNS
@@ -144,16 +144,35 @@ def extend_dictionary(dictionary: DataFrame, df: DataFrame, column: str) -> Data
     return dictionary.select("id", "value").unionByName(fresh)
 
 
+def _tuple_key(columns) -> Column:
+    """A digest of a row's values. Senders choose the values, so it is one in which nobody can make two rows meet."""
+    told = [F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c)) for c in columns]
+    return F.unhex(F.sha2(F.concat(*[F.coalesce(t, F.lit("-")) for t in told]).cast("binary"), 256))
+
+
 def encode(df: DataFrame, dictionaries: dict[str, DataFrame], columns=None) -> DataFrame:
     """Replace text columns by dictionary ids. A value missing from its
-    dictionary fails the job (the coded table allows no NULL id)."""
-    out = df
-    for c in columns or TEXT_COLUMNS:
-        d = dictionaries[c].select(F.col("value").alias(c), F.col("id").alias(f"_{c}_id"))
-        out = out.join(d, c, "left")
-        missing = F.raise_error(F.concat(F.lit(f"value missing from dictionary {c}: "), F.col(c)))
-        out = out.withColumn(c, F.when(F.col(f"_{c}_id").isNull(), missing).otherwise(F.col(f"_{c}_id"))).drop(f"_{c}_id")
-    return out.select(*df.columns)
+    dictionary, or NULL, fails the job (the coded table allows no NULL id).
+
+    Rows are collapsed to their distinct tuples of values first. The values of
+    all columns then meet the stacked dictionaries in one join, and the ids come
+    back to the rows by the tuple's digest. So the rows themselves are shuffled
+    twice at most, whatever the number of columns and the size of the
+    dictionaries, and a tuple sent a billion times is encoded once."""
+    columns = list(columns or TEXT_COLUMNS)
+    keyed = df.withColumn("_tuple", _tuple_key(columns))
+    tuples = keyed.select("_tuple", *columns).distinct()
+    stacked = stack_dictionaries({c: dictionaries[c] for c in columns})
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
+    ids = tuples.select("_tuple", pairs).join(stacked, ["column", "value"])
+    coded = ids.groupBy("_tuple").agg(*[F.max(F.when(F.col("column") == F.lit(c), F.col("id"))).alias(f"_{c}_id") for c in columns])
+    out = keyed.join(coded, "_tuple", "left")
+
+    def known(c: str) -> Column:
+        missing = F.raise_error(F.concat(F.lit(f"value missing from dictionary {c}: "), F.coalesce(c, F.lit("NULL"))))
+        return F.when(F.col(f"_{c}_id").isNull(), missing).otherwise(F.col(f"_{c}_id")).alias(c)
+
+    return out.select(*[known(c) if c in columns else c for c in df.columns])
 
 
 def decode(fact: DataFrame, dictionaries: dict[str, DataFrame], columns=None) -> DataFrame:
