@@ -62,16 +62,16 @@ def _exchanges_of(plan: str) -> int:
     return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
 
 
-def test_encode_shuffles_the_rows_twice_at_most(spark, tmp_path):
+def test_collapsed_encode_shuffles_the_rows_twice_at_most(spark, tmp_path):
     """With broadcasts off: once to their distinct tuples, once to their ids; the payload column takes part in one."""
     rows = [(i, f"s{i % 5}", f"u{i % 3}", "x" * 20) for i in range(300)]
     spark.createDataFrame(rows, "id long, source_ip string, username string, payload string").write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
-    dicts = dictionary.build_dictionaries(df, ["source_ip", "username"])
+    stacked = dictionary.build_dictionaries(df, ["source_ip", "username"], stacked=True)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        coded = dictionary.encode(df, dicts, ["source_ip", "username"])
+        coded = dictionary.encode_collapsed(df, stacked, ["source_ip", "username"])
         plan = coded._jdf.queryExecution().sparkPlan().toString()
         physical = coded._jdf.queryExecution().executedPlan().toString()
         got = sorted(map(tuple, coded.collect()))
@@ -84,15 +84,15 @@ def test_encode_shuffles_the_rows_twice_at_most(spark, tmp_path):
     assert _exchanges_of(physical) <= 5
 
 
-def test_encode_keeps_tuples_apart(spark):
+def test_collapsed_encode_keeps_tuples_apart(spark):
     """Values that read alike when joined, a hot tuple, and rows of no column."""
     schema = "id long, source_ip string, username string"
     rows = [(1, "a", "bc"), (2, "ab", "c"), (3, "1:a", ""), (4, "", "1:a"), *[(n, "a", "bc") for n in range(5, 2000)]]
     df = spark.createDataFrame(rows, schema).repartition(6)
     dicts = dictionary.build_dictionaries(df, ["source_ip", "username"])
-    back = dictionary.decode(dictionary.encode(df, dicts, ["source_ip", "username"]), dicts, ["source_ip", "username"])
+    back = dictionary.decode(dictionary.encode_collapsed(df, dictionary.stack_dictionaries(dicts), ["source_ip", "username"]), dicts, ["source_ip", "username"])
     assert sorted(map(tuple, back.collect())) == sorted(rows)
-    assert dictionary.encode(df.limit(0), dicts, ["source_ip", "username"]).collect() == []
+    assert dictionary.encode_collapsed(df.limit(0), dictionary.stack_dictionaries(dicts), ["source_ip", "username"]).collect() == []
 
 
 @pytest.mark.parametrize("row", [(1, None, "b"), (1, None, None), (1, "zz", "b")])
@@ -101,3 +101,5 @@ def test_encode_fails_on_null_and_unknown_values(spark, row):
     df = spark.createDataFrame([(0, "a", "b"), row], "id long, source_ip string, username string")
     with pytest.raises(Exception, match="value missing from dictionary source_ip"):
         dictionary.encode(df, dicts, ["source_ip", "username"]).collect()
+    with pytest.raises(Exception, match="value missing from dictionary source_ip"):
+        dictionary.encode_collapsed(df, dictionary.stack_dictionaries(dicts), ["source_ip", "username"]).collect()

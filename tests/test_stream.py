@@ -299,3 +299,60 @@ def test_a_bounded_batch_that_was_cut_off_stores_nothing_twice(spark):
     ingest._append_batch(rows, 0, root, "a")  # begun, rows stored in part, not finished
     stored = store.read_attacks(spark, root)
     assert stored.count() == 50 == stored.select("id").distinct().count()
+
+
+def _bodies(spark, first, last):
+    """Requests of sources of their own, and of one that all batches share."""
+    body = F.to_json(F.struct(
+        F.when(F.col("id") % 3 == 0, "root").otherwise(F.concat(F.lit("s"), "id")).alias("source_ip"), F.lit("d").alias("destination_ip"),
+        F.concat(F.lit("u"), (F.col("id") % 4).cast("string")).alias("username"), F.lit("p").alias("password"), F.lit("ssh").alias("attack_type"),
+        F.concat(F.lit("e"), "id").alias("evidence"), F.lit("2024-03-01T10:00:00Z").alias("attack_timestamp"),
+    ))
+    return spark.range(first, last, numPartitions=3).select(body.alias("body"))
+
+
+def test_a_batch_joins_its_own_dictionary_entries_only(spark, monkeypatch):
+    from trapline.operators import dictionary
+
+    root = scratch_path(spark, "test-lookup")
+    reads, joined = [], []
+    read, encode = store.read_stacked_dictionaries, dictionary.encode
+    monkeypatch.setattr(store, "read_stacked_dictionaries", lambda *a: reads.append(1) or read(*a))
+
+    def watched(rows, dicts, *more):
+        joined.append({c: d.count() for c, d in dicts.items()})
+        return encode(rows, dicts, *more)
+
+    monkeypatch.setattr(dictionary, "encode", watched)
+    ingest.process_batch(_bodies(spark, 0, 300), 0, root, "UTC", coded=True)
+    assert len(reads) == 1 and joined[0]["source_ip"] == 201 and joined[0]["username"] == 4
+    ingest.process_batch(_bodies(spark, 300, 312), 1, root, "UTC", coded=True)
+    # 12 rows: 8 sources and "root", 4 names; the 313 and more entries of the store are not joined with
+    assert len(reads) == 3 and joined[1] == {"source_ip": 9, "destination_ip": 1, "username": 4, "password": 1, "attack_type": 1, "evidence": 12}
+    ingest.process_batch(_bodies(spark, 300, 312), 2, root, "UTC", coded=True)  # nothing new
+    assert len(reads) == 5
+    assert store.read_fact(spark, root).count() == 312
+    dicts = store.read_dictionaries(spark, root)
+    for c, n in {"source_ip": 209, "username": 4, "evidence": 312}.items():
+        ids = sorted(r["id"] for r in dicts[c].collect())
+        assert ids == list(range(1, n + 1))
+
+
+def test_dictionary_marks_survive_lost_entries_and_batch_writes(spark):
+    from trapline.operators import dictionary
+
+    root = scratch_path(spark, "test-marks")
+    ingest.process_batch(_bodies(spark, 0, 30), 0, root, "UTC", coded=True)
+    # a batch that was lost between its marks and its entries: its ids are not given again
+    assert store.reserve_entries(spark, root, {"evidence": 5}) == {"source_ip": 21, "destination_ip": 1, "username": 4, "password": 1, "attack_type": 1, "evidence": 30}
+    ingest.process_batch(_bodies(spark, 30, 33), 1, root, "UTC", coded=True)
+    dicts = store.read_dictionaries(spark, root)
+    assert sorted(r["id"] for r in dicts["evidence"].collect()) == [*range(1, 31), 36, 37, 38]
+    # entries with ids of their own come in: the marks are void, the stored ids are looked through
+    store.write_dictionaries({"evidence": spark.createDataFrame([(1000, "other")], "id long, value string")}, root)
+    ingest.process_batch(_bodies(spark, 33, 36), 2, root, "UTC", coded=True)
+    dicts = store.read_dictionaries(spark, root)
+    assert sorted(r["id"] for r in dicts["evidence"].collect())[-4:] == [1000, 1001, 1002, 1003]
+    fact = store.read_fact(spark, root)
+    want = sorted(r["body"] for r in _bodies(spark, 0, 36).select(F.get_json_object("body", "$.evidence").alias("body")).collect())
+    assert sorted(r["evidence"] for r in dictionary.decode(fact.drop("date"), dicts).collect()) == want

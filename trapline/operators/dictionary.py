@@ -97,8 +97,9 @@ def build_dictionary(df: DataFrame, column: str) -> DataFrame:
     return assign_dense_ids(distinct_values(df, column))
 
 
-def _split(ids: DataFrame, columns) -> dict[str, DataFrame]:
-    return {c: ids.filter(F.col("column") == F.lit(c)).select("id", "value") for c in columns}
+def split_stacked(ids: DataFrame, columns=None) -> dict[str, DataFrame]:
+    """The stacked ``(column, id, value)`` form -> ``{column: (id, value)}``."""
+    return {c: ids.filter(F.col("column") == F.lit(c)).select("id", "value") for c in columns or TEXT_COLUMNS}
 
 
 def build_dictionaries(df: DataFrame, columns=None, stacked: bool = False):
@@ -107,7 +108,7 @@ def build_dictionaries(df: DataFrame, columns=None, stacked: bool = False):
     ``(column, id, value)`` table when ``stacked``."""
     columns = list(columns or TEXT_COLUMNS)
     ids = assign_dense_ids(stacked_values(df, columns), group_col="column").checkpoint(eager=True)
-    return ids if stacked else _split(ids, columns)
+    return ids if stacked else split_stacked(ids, columns)
 
 
 def stack_dictionaries(dicts: dict[str, DataFrame]) -> DataFrame:
@@ -128,14 +129,11 @@ def new_entries(dictionary: DataFrame, df: DataFrame, column: str) -> DataFrame:
     return assign_dense_ids(new, start=int(top))
 
 
-def new_entries_stacked(stacked_dict: DataFrame, df: DataFrame, columns=None) -> DataFrame:
-    """``new_entries`` for several columns at once, on the stacked
-    ``(column, id, value)`` form: one shuffle and one checkpoint in all."""
-    columns = list(columns or TEXT_COLUMNS)
-    keys = ["column", "value"]
-    new = stacked_values(df, columns).join(stacked_dict.select(*keys), keys, "left_anti")
-    tops = {r["column"]: r["top"] for r in stacked_dict.groupBy("column").agg(F.max("id").alias("top")).collect()}
-    return assign_dense_ids(new, group_col="column", starts=tops)
+def known_entries(stacked_dict: DataFrame, values: DataFrame) -> DataFrame:
+    """The entries ``(column, id, value)`` of distinct ``(column, value)`` pairs that a
+    stacked dictionary has: one pass over it. However large it is, only ``values``
+    need to move if they are the smaller side (the adaptive planner goes by bytes)."""
+    return stacked_dict.join(values, ["column", "value"]).select("column", "id", "value")
 
 
 def extend_dictionary(dictionary: DataFrame, df: DataFrame, column: str) -> DataFrame:
@@ -150,29 +148,39 @@ def _tuple_key(columns) -> Column:
     return F.unhex(F.sha2(F.concat(*[F.coalesce(t, F.lit("-")) for t in told]).cast("binary"), 256))
 
 
+def _known(column: str, found: Column) -> Column:
+    missing = F.raise_error(F.concat(F.lit(f"value missing from dictionary {column}: "), F.coalesce(column, F.lit("NULL"))))
+    return F.when(found.isNull(), missing).otherwise(found)
+
+
 def encode(df: DataFrame, dictionaries: dict[str, DataFrame], columns=None) -> DataFrame:
     """Replace text columns by dictionary ids. A value missing from its
-    dictionary, or NULL, fails the job (the coded table allows no NULL id).
+    dictionary, or NULL, fails the job (the coded table allows no NULL id)."""
+    out = df
+    for c in columns or TEXT_COLUMNS:
+        d = dictionaries[c].select(F.col("value").alias(c), F.col("id").alias(f"_{c}_id"))
+        out = out.join(d, c, "left")
+        out = out.withColumn(c, _known(c, F.col(f"_{c}_id"))).drop(f"_{c}_id")
+    return out.select(*df.columns)
 
-    Rows are collapsed to their distinct tuples of values first. The values of
-    all columns then meet the stacked dictionaries in one join, and the ids come
-    back to the rows by the tuple's digest. So the rows themselves are shuffled
-    twice at most, whatever the number of columns and the size of the
-    dictionaries, and a tuple sent a billion times is encoded once."""
+
+def encode_collapsed(df: DataFrame, stacked: DataFrame, columns=None) -> DataFrame:
+    """``encode`` for dictionaries that are too large to broadcast; ``stacked`` holds
+    them as ``(column, id, value)``, and ``df`` is read twice, so it should be stored.
+
+    ``encode`` shuffles the rows once for each such dictionary. Here they are
+    collapsed to their distinct tuples of values, whose values meet all
+    dictionaries in one join, and the ids come back by the tuple's digest: the rows
+    are shuffled twice at most, whatever the number of columns, and a tuple sent a
+    billion times is encoded once."""
     columns = list(columns or TEXT_COLUMNS)
     keyed = df.withColumn("_tuple", _tuple_key(columns))
     tuples = keyed.select("_tuple", *columns).distinct()
-    stacked = stack_dictionaries({c: dictionaries[c] for c in columns})
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
     ids = tuples.select("_tuple", pairs).join(stacked, ["column", "value"])
     coded = ids.groupBy("_tuple").agg(*[F.max(F.when(F.col("column") == F.lit(c), F.col("id"))).alias(f"_{c}_id") for c in columns])
     out = keyed.join(coded, "_tuple", "left")
-
-    def known(c: str) -> Column:
-        missing = F.raise_error(F.concat(F.lit(f"value missing from dictionary {c}: "), F.coalesce(c, F.lit("NULL"))))
-        return F.when(F.col(f"_{c}_id").isNull(), missing).otherwise(F.col(f"_{c}_id")).alias(c)
-
-    return out.select(*[known(c) if c in columns else c for c in df.columns])
+    return out.select(*[_known(c, F.col(f"_{c}_id")).alias(c) if c in columns else c for c in df.columns])
 
 
 def decode(fact: DataFrame, dictionaries: dict[str, DataFrame], columns=None) -> DataFrame:

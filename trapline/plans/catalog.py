@@ -283,6 +283,11 @@ def q_encode_skewed(spark, sf_dir):
     return dictionary.encode(attacks, dictionary.build_dictionaries(attacks))
 
 
+def q_encode_collapsed(spark, sf_dir):
+    attacks = _skewed(spark, sf_dir)
+    return dictionary.encode_collapsed(attacks, dictionary.build_dictionaries(attacks, stacked=True))
+
+
 def q_decode_skewed(spark, sf_dir):
     attacks = _skewed(spark, sf_dir)
     dicts = dictionary.build_dictionaries(attacks)
@@ -394,6 +399,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "read_legacy": q_read_legacy,
             "credential_sources": q_credential_sources,
             "encode_skewed_attacks": q_encode_skewed,
+            "encode_collapsed_attacks": q_encode_collapsed,
             "decode_skewed_attacks": q_decode_skewed,
         }
     )
@@ -676,6 +682,7 @@ def _operator_sql() -> dict[str, str]:
         "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'p' || id END AS password, attack_type, evidence FROM attacks)"
     )
     q["encode_skewed_attacks"] = _with(skewed + ", " + ", ".join(_dict_cte(c, "skewed") for c in _TEXT) + " " + _encode_select("skewed"))
+    q["encode_collapsed_attacks"] = q["encode_skewed_attacks"]
     q["decode_skewed_attacks"] = _with(skewed + f" SELECT id, {_K7} FROM skewed")
     return q
 

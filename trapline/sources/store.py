@@ -7,6 +7,7 @@ Layout at rest (parquet):
   <root>/dict/column=<name>/...        six dictionaries (id, value), one table
 
   <root>/id_mark/...                   the largest id given out by the ingest
+  <root>/dict_mark/...                 the same for each dictionary
   <root>/minutes/...                   counts per local minute (``plans.rollup``)
   <root>/generation/...                a row for each batch write since the first of those
 
@@ -137,13 +138,40 @@ def read_attacks(spark: SparkSession, root: str, streaming: bool = False, bucket
 DICT_STACKED = StructType(DICT.fields + [StructField("column", StringType())])
 
 
-def write_dictionaries(dicts, root: str, mode: str = "append") -> None:
+#: the largest id given out in each dictionary
+DICT_MARK = StructType([StructField("column", StringType()), StructField("top", LongType())])
+
+
+def _write_dict_mark(spark: SparkSession, root: str, tops: dict[str, int]) -> None:
+    spark.createDataFrame(sorted(tops.items()), DICT_MARK).coalesce(1).write.mode("overwrite").parquet(f"{root}/dict_mark")
+
+
+def reserve_entries(spark: SparkSession, root: str, counts: dict[str, int]) -> dict[str, int]:
+    """For each dictionary the id above which ``counts[column]`` ids are free and will not be given again.
+
+    As ``reserve_ids``: the marks, a row a column, are written before the entries;
+    without marks the stored entries are looked through once."""
+    tops = {}
+    if path_exists(spark, f"{root}/dict_mark"):
+        tops = {r["column"]: r["top"] for r in spark.read.schema(DICT_MARK).parquet(f"{root}/dict_mark").collect()}
+    if not tops and table_exists(spark, root, "dict"):
+        tops = {r["column"]: r["top"] for r in read_stacked_dictionaries(spark, root).groupBy("column").agg(F.max("id").alias("top")).collect()}
+    tops = {c: tops.get(c, 0) for c in {*tops, *counts}}
+    _write_dict_mark(spark, root, {c: top + counts.get(c, 0) for c, top in tops.items()})
+    return tops
+
+
+def write_dictionaries(dicts, root: str, mode: str = "append", reserved: bool = False) -> None:
     """Write dictionaries: a ``{column: (id, value)}`` dict or the stacked
-    ``(column, id, value)`` frame; one job, one folder per column."""
+    ``(column, id, value)`` frame; one job, one folder per column. ``reserved``: their
+    ids are from ``reserve_entries``; others make the marks void."""
     if isinstance(dicts, dict):
         from ..operators.dictionary import stack_dictionaries
 
         dicts = stack_dictionaries(dicts)
+    spark = dicts.sparkSession
+    if not reserved and path_exists(spark, f"{root}/dict_mark"):
+        _write_dict_mark(spark, root, {})
     # few files a column, more only where there are bytes for them
     dicts.select("id", "value", "column").hint("rebalance", "column").write.mode(mode).partitionBy("column").parquet(f"{root}/dict")
 
@@ -219,4 +247,5 @@ __all__ = [
     "generation",
     "begin_generation",
     "reserve_ids",
+    "reserve_entries",
 ]

@@ -5,7 +5,7 @@
            route + decode + clean                  (sources.submissions)
            dedup inside the batch, first arrival wins
            anti-join against stored rows of the batch's days only
-           [coded store: extend dictionaries, encode once, anti-join on ids]
+           [coded store: look up and extend dictionaries, encode once, anti-join on ids]
            number the new rows above all ids given out so far, in order of
            arrival, and append them
            (rejected bodies and log lines go to tables of their own)
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from ..operators import dedup, dictionary
 from ..operators.filters import only_submissions
 from ..plans import rollup
-from ..schema import KEY7
+from ..schema import KEY7, TEXT_COLUMNS
 from ..functions.text import log_line
 from ..sources import store
 from ..sources.submissions import clean, decode_tagged, split
@@ -147,7 +147,7 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
         rows = dedup.dedup_keep_first(clean(accepted).select("_arrival", *KEY7), KEY7, "_arrival")
         table, dicts = "attacks", None
         if coded:
-            table, dicts = "fact", _extended_dictionaries(spark, rows, root)
+            table, dicts = "fact", _batch_dictionaries(spark, rows, root, kept)
             rows = dictionary.encode(rows, dicts)  # from here on all is done on ids
         kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
         if store.table_exists(spark, root, table):
@@ -225,15 +225,34 @@ def start_bounded_ingest(source: DataFrame, root: str, horizon: str = "1 day", a
     return kept, bad
 
 
-def _extended_dictionaries(spark: SparkSession, rows: DataFrame, root: str) -> dict[str, DataFrame]:
-    """The stored dictionaries with the batch's values added (one write for all
-    six); unused ids after a failure are harmless."""
+def _batch_dictionaries(spark: SparkSession, rows: DataFrame, root: str, kept: list) -> dict[str, DataFrame]:
+    """The dictionary entries of a batch's values; new ones are added to the stored
+    dictionaries (one write for all six; unused ids after a failure are harmless).
+
+    The stored dictionaries are read to look up the batch's values, and once more if
+    some were new. What the rows are joined with are the entries found, so it grows
+    with the batch alone."""
+    values = dictionary.stacked_values(rows, TEXT_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+    kept.append(values)
+
+    def found() -> DataFrame:
+        return dictionary.known_entries(store.read_stacked_dictionaries(spark, root), values)
+
+    new = values
     if store.table_exists(spark, root, "dict"):
-        fresh = dictionary.new_entries_stacked(store.read_stacked_dictionaries(spark, root), rows)
+        new = values.join(found().select("column", "value"), ["column", "value"], "left_anti")
+    new = new.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = {r["column"]: r["n"] for r in new.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counts:
+        starts = store.reserve_entries(spark, root, counts)
+        fresh = dictionary.assign_dense_ids(new, group_col="column", starts=starts)
+        new.unpersist()  # a write to a folder makes Spark work out again what is cached of it
+        store.write_dictionaries(fresh, root, "append", reserved=True)
     else:
-        fresh = dictionary.build_dictionaries(rows, stacked=True)
-    store.write_dictionaries(fresh, root, "append")
-    return store.read_dictionaries(spark, root)
+        new.unpersist()
+    entries = found().persist(StorageLevel.MEMORY_AND_DISK)
+    kept.append(entries)
+    return dictionary.split_stacked(entries)
 
 
 def _run_token(spark: SparkSession, checkpoint: str) -> str:
