@@ -76,3 +76,27 @@ def test_exact_key_mode(spark):
     df = spark.createDataFrame([(0, '{"SOURCE_IP":"a"}')], "n int, body string")
     acc, _ = submissions.decode(df, tz="UTC", key_case="exact")
     assert acc.first()["source_ip"] == ""
+
+
+def test_fields_and_times_are_read_once_a_row(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    try:
+        raw = spark.createDataFrame([("POST", "/add_attack", "{}")], "method string, path string, body string")
+        records, _ = submissions.ingest_requests(raw, tz="UTC")
+        plan = records.select("timestamp", "username", "evidence")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # the layout of a time is tested in one place, whatever filters and columns refer to it
+    assert plan.count("([.,]") == 1
+
+
+def test_a_flag_that_is_no_boolean_rejects_its_record_alone(spark):
+    tagged = submissions.decode_tagged(spark.createDataFrame([(0, '{"test_mode":"abc"}'), (1, '{"username":"u"}')], "n int, body string"), tz="UTC")
+    rows = {r["n"]: (r["reason"], r["username"]) for r in tagged.collect()}
+    assert rows == {0: ("wrong_field_type", ""), 1: (None, "u")}
+
+
+def test_other_keys_beside_exact_ones(spark):
+    bodies = ['{"USERNAME":"A","x":1}', '{"username":"a","Username":null}', '{"username":"a","x":1,"x":2}', '{"username":"a","K\u212a":1}']
+    acc, rej = _decode(spark, bodies)
+    assert not rej and [acc[n]["username"] for n in range(4)] == ["A", "a", "a", "a"]

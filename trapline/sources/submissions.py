@@ -79,7 +79,7 @@ def _is_null_time(v: F.Column) -> F.Column:
 
 def _parse_exact(df: DataFrame, body: F.Column, tz, name: str = "_pe"):
     """One struct parse; keys must match in letter case; a repeated key
-    keeps its last value."""
+    keeps its last value. Gives what ``_parse_map`` gives."""
     j = F.from_json(
         body,
         SUBMISSION_VARIANT,
@@ -90,34 +90,32 @@ def _parse_exact(df: DataFrame, body: F.Column, tz, name: str = "_pe"):
     # would inline one full JSON parse per field reference.
     df = df.withColumn(name, F.explode(F.array(j)))
     p = F.col(name)
-    jf = {f.name: p[f.name] for f in SUBMISSION.fields}
     parsed = p.isNotNull() & p["_corrupt_record"].isNull()
-    types_ok = F.lit(True)
-    for name in _TEXT_FIELDS + ["attack_timestamp"]:
-        types_ok = types_ok & _type_ok(jf[name], ("STRING",))
-    types_ok = types_ok & _type_ok(jf["test_mode"], ("BOOLEAN",))
-    t = jf["attack_timestamp"]
-    millis = F.when(_is_null_time(t), F.lit(ZERO_TIME_MS)).otherwise(timefn.parse_flexible_time(_text_of(t), tz))
-    return df, parsed, types_ok, millis.isNotNull(), millis, jf
+    return (*_read_once(df, _fields({f.name: p[f.name] for f in SUBMISSION.fields}), tz), parsed)
 
 
 _FIELD_NAMES = [f.name for f in SUBMISSION.fields]
 
 
-def _fields_direct(m: F.Column, tz):
-    """Fields of a parsed object whose field keys are exact and unique:
-    direct map lookups."""
-    jf = {n: m[n] for n in _FIELD_NAMES}
+def _field_struct(types_ok: F.Column, values: dict[str, F.Column], times: F.Column) -> F.Column:
+    """What a reading takes of an object: ``times`` are the texts of its times other than
+    null, in order; of a field of the wrong type only ``types_ok`` counts."""
+    texts = [_text_of(values[n]).alias(n) for n in _TEXT_FIELDS]
+    flag = F.try_variant_get(values["test_mode"], "$", "boolean")
+    return F.struct(types_ok.alias("types_ok"), *texts, flag.alias("test_mode"), times.alias("times"))
+
+
+def _fields(jf: dict[str, F.Column]) -> F.Column:
+    """Fields of a parsed object whose field keys are exact and unique."""
     types_ok = F.lit(True)
     for name in _TEXT_FIELDS + ["attack_timestamp"]:
         types_ok = types_ok & _type_ok(jf[name], ("STRING",))
     types_ok = types_ok & _type_ok(jf["test_mode"], ("BOOLEAN",))
-    t = jf["attack_timestamp"]
-    millis = F.when(_is_null_time(t), F.lit(ZERO_TIME_MS)).otherwise(timefn.parse_flexible_time(_text_of(t), tz))
-    return types_ok, millis.isNotNull(), millis, jf
+    times = F.filter(F.array(_text_of(jf["attack_timestamp"])), lambda t: t != F.lit("null"))
+    return _field_struct(types_ok, jf, times)
 
 
-def _fields_folded(m: F.Column, tz):
+def _fields_folded(m: F.Column) -> F.Column:
     """Fields of a parsed object read like the original decoder: a field
     takes the last non-null value among keys equal to its name ignoring
     letter case; every occurrence must have the right JSON type and every
@@ -143,10 +141,21 @@ def _fields_folded(m: F.Column, tz):
         types_ok = types_ok & all_typed(name, ("STRING",))
     types_ok = types_ok & all_typed("test_mode", ("BOOLEAN",))
     times = F.filter(occurrences("attack_timestamp"), lambda e: ~_is_null_time(e["v"]))
-    times_ok = F.forall(times, lambda e: timefn.parse_flexible_time(_text_of(e["v"]), tz).isNotNull())
-    t = last(times)
-    millis = F.when(t.isNull(), F.lit(ZERO_TIME_MS)).otherwise(timefn.parse_flexible_time(_text_of(t), tz))
-    return types_ok, times_ok, millis, jf
+    return _field_struct(types_ok, jf, F.transform(times, lambda e: _text_of(e["v"])))
+
+
+def _read_once(df: DataFrame, fields: F.Column, tz):
+    """``df`` with the fields and their times, each worked out once for a row -> the frame,
+    whether types and times are right, the time, and the fields.
+
+    As the parse they sit behind generators; a reference to a field would otherwise
+    repeat its reading wherever it stands, in filters pushed below as well."""
+    df = df.withColumn("_fields", F.explode(F.array(fields)))
+    parsed_times = F.transform(F.col("_fields.times"), lambda t: timefn.parse_flexible_time(t, tz))
+    df = df.withColumn("_times", F.explode(F.array(parsed_times)))
+    f, ms = F.col("_fields"), F.col("_times")
+    millis = F.when(F.size(ms) == 0, F.lit(ZERO_TIME_MS)).otherwise(F.try_element_at(ms, F.lit(-1)))
+    return df, f["types_ok"], F.forall(ms, lambda t: t.isNotNull()), millis, {n: f[n] for n in [*_TEXT_FIELDS, "test_mode"]}
 
 
 def _parse_map(df: DataFrame, body: F.Column, tz, name: str = "_pm"):
@@ -169,27 +178,25 @@ def _parse_map(df: DataFrame, body: F.Column, tz, name: str = "_pm"):
     keys = F.map_keys(mc)
     # keys folded in one string operation (no per-key lambda): a repeated key
     # (in any casing) or a field key only present in another casing sends the
-    # row to the folded reading; other repeats are harmless false positives
+    # row to the folded reading; other repeats are harmless false positives.
+    # Nothing is folded where all keys are field names as they are, none twice
+    plain = (F.size(F.array_except(keys, names)) == 0) & (F.size(F.array_distinct(keys)) == F.size(keys))
     sep = "\u0001"
-    folded_keys = F.split(F.lower(F.upper(F.array_join(keys, sep))), sep)
+    folded_keys = F.when(~plain, F.split(F.lower(F.upper(F.array_join(keys, sep))), sep))
     df = df.withColumn(
         "_fold",
         F.coalesce(
-            (F.size(F.array_distinct(folded_keys)) != F.size(folded_keys))
-            | (F.size(F.array_intersect(folded_keys, names)) != F.size(F.array_intersect(keys, names))),
+            ~plain
+            & (
+                (F.size(F.array_distinct(folded_keys)) != F.size(folded_keys))
+                | (F.size(F.array_intersect(folded_keys, names)) != F.size(F.array_intersect(keys, names)))
+            ),
             F.lit(False),
         ),
     )
-    fold = F.col("_fold")
-    direct = _fields_direct(mc, tz)
-    folded = _fields_folded(mc, tz)
-
-    def pick(a, b):
-        return F.when(fold, b).otherwise(a)
-
-    types_ok, times_ok, millis = (pick(a, b) for a, b in zip(direct[:3], folded[:3]))
-    jf = {k: pick(direct[3][k], folded[3][k]) for k in folded[3]}
-    return df, mc.isNotNull(), types_ok, times_ok, millis, jf
+    direct = _fields({n: mc[n] for n in _FIELD_NAMES})
+    fields = F.when(F.col("_fold"), _fields_folded(mc)).otherwise(direct)
+    return (*_read_once(df, fields, tz), mc.isNotNull())
 
 
 def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None = None,
@@ -206,7 +213,7 @@ def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None =
     body = F.col(body_col)
     df = requests.select(*passthrough, body.alias(body_col), F.btrim(body, F.lit(JSON_BLANKS)).alias("_s"))
     parse = _parse_map if key_case == "fold" else _parse_exact
-    df, parsed, types_ok, times_ok, millis, jf = parse(df, body, tz)
+    df, types_ok, times_ok, millis, fields, parsed = parse(df, body, tz)
 
     null_body = F.col("_s") == F.lit("null")
     is_object = parsed & F.col("_s").startswith("{") & F.col("_s").endswith("}")
@@ -218,7 +225,7 @@ def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None =
     )
 
     def text_value(name):
-        return F.when(null_body, F.lit("")).otherwise(F.coalesce(_text_of(jf[name]), F.lit("")))
+        return F.when(null_body, F.lit("")).otherwise(F.coalesce(fields[name], F.lit("")))
 
     return df.select(
         *passthrough,
@@ -226,9 +233,7 @@ def decode_tagged(requests: DataFrame, body_col: str = "body", tz: str | None =
         *[text_value(c).alias(c) for c in ["source_ip", "destination_ip", "username", "password"]],
         F.when(null_body, F.lit(ZERO_TIME_MS)).otherwise(millis).alias("timestamp"),
         *[text_value(c).alias(c) for c in ["evidence", "attack_type"]],
-        F.when(null_body, F.lit(False))
-        .otherwise(F.coalesce(F.variant_get(jf["test_mode"], "$", "boolean"), F.lit(False)))
-        .alias("test_mode"),
+        F.when(null_body, F.lit(False)).otherwise(F.coalesce(fields["test_mode"], F.lit(False))).alias("test_mode"),
         reason.alias("reason"),
     )
 
