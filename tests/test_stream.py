@@ -301,7 +301,7 @@ def test_a_bounded_batch_that_was_cut_off_stores_nothing_twice(spark):
     assert stored.count() == 50 == stored.select("id").distinct().count()
 
 
-def _bodies(spark, first, last):
+def _sent(spark, first, last):
     """Requests of sources of their own, and of one that all batches share."""
     body = F.to_json(F.struct(
         F.when(F.col("id") % 3 == 0, "root").otherwise(F.concat(F.lit("s"), "id")).alias("source_ip"), F.lit("d").alias("destination_ip"),
@@ -324,12 +324,12 @@ def test_a_batch_joins_its_own_dictionary_entries_only(spark, monkeypatch):
         return encode(rows, dicts, *more)
 
     monkeypatch.setattr(dictionary, "encode", watched)
-    ingest.process_batch(_bodies(spark, 0, 300), 0, root, "UTC", coded=True)
+    ingest.process_batch(_sent(spark, 0, 300), 0, root, "UTC", coded=True)
     assert len(reads) == 1 and joined[0]["source_ip"] == 201 and joined[0]["username"] == 4
-    ingest.process_batch(_bodies(spark, 300, 312), 1, root, "UTC", coded=True)
+    ingest.process_batch(_sent(spark, 300, 312), 1, root, "UTC", coded=True)
     # 12 rows: 8 sources and "root", 4 names; the 313 and more entries of the store are not joined with
     assert len(reads) == 3 and joined[1] == {"source_ip": 9, "destination_ip": 1, "username": 4, "password": 1, "attack_type": 1, "evidence": 12}
-    ingest.process_batch(_bodies(spark, 300, 312), 2, root, "UTC", coded=True)  # nothing new
+    ingest.process_batch(_sent(spark, 300, 312), 2, root, "UTC", coded=True)  # nothing new
     assert len(reads) == 5
     assert store.read_fact(spark, root).count() == 312
     dicts = store.read_dictionaries(spark, root)
@@ -342,17 +342,60 @@ def test_dictionary_marks_survive_lost_entries_and_batch_writes(spark):
     from trapline.operators import dictionary
 
     root = scratch_path(spark, "test-marks")
-    ingest.process_batch(_bodies(spark, 0, 30), 0, root, "UTC", coded=True)
+    ingest.process_batch(_sent(spark, 0, 30), 0, root, "UTC", coded=True)
     # a batch that was lost between its marks and its entries: its ids are not given again
     assert store.reserve_entries(spark, root, {"evidence": 5}) == {"source_ip": 21, "destination_ip": 1, "username": 4, "password": 1, "attack_type": 1, "evidence": 30}
-    ingest.process_batch(_bodies(spark, 30, 33), 1, root, "UTC", coded=True)
+    ingest.process_batch(_sent(spark, 30, 33), 1, root, "UTC", coded=True)
     dicts = store.read_dictionaries(spark, root)
     assert sorted(r["id"] for r in dicts["evidence"].collect()) == [*range(1, 31), 36, 37, 38]
     # entries with ids of their own come in: the marks are void, the stored ids are looked through
     store.write_dictionaries({"evidence": spark.createDataFrame([(1000, "other")], "id long, value string")}, root)
-    ingest.process_batch(_bodies(spark, 33, 36), 2, root, "UTC", coded=True)
+    ingest.process_batch(_sent(spark, 33, 36), 2, root, "UTC", coded=True)
     dicts = store.read_dictionaries(spark, root)
     assert sorted(r["id"] for r in dicts["evidence"].collect())[-4:] == [1000, 1001, 1002, 1003]
     fact = store.read_fact(spark, root)
-    want = sorted(r["body"] for r in _bodies(spark, 0, 36).select(F.get_json_object("body", "$.evidence").alias("body")).collect())
+    want = sorted(r["body"] for r in _sent(spark, 0, 36).select(F.get_json_object("body", "$.evidence").alias("body")).collect())
     assert sorted(r["evidence"] for r in dictionary.decode(fact.drop("date"), dicts).collect()) == want
+
+
+def test_a_batch_in_one_split_is_decoded_by_all_tasks(spark, monkeypatch):
+    seen, decode = [], ingest.decode_tagged
+    monkeypatch.setattr(ingest, "decode_tagged", lambda df, **more: seen.append(df.rdd.getNumPartitions()) or decode(df, **more))
+    root = scratch_path(spark, "test-dealt")
+    batch = _bodies(spark, 64, more=[(900, "bad")]).coalesce(1)
+    ingest.process_batch(batch, 0, root, tz="UTC")
+    assert seen == [8]
+    # ids still follow the one split's order, and the rejected body is kept
+    ids = [r["password"] for r in store.read_attacks(spark, root).orderBy("id").collect()]
+    assert ids == [f"p{i}" for i in range(64)]
+    assert [r["body"] for r in spark.read.parquet(f"{root}/rejected").collect()] == ["bad"]
+
+
+def test_a_bounded_ingest_decodes_a_batch_by_all_tasks(spark, monkeypatch):
+    seen, decode = [], ingest.decode_tagged
+    monkeypatch.setattr(ingest, "decode_tagged", lambda df, **more: seen.append(df._jdf.queryExecution().logical().toString()) or decode(df, **more))
+    src, root = scratch_path(spark, "test-bodies"), scratch_path(spark, "test-bounded-dealt")
+    _bodies(spark, 20).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("n long, body string").parquet(src)
+    for q in ingest.start_bounded_ingest(stream, root, tz="UTC"):
+        q.awaitTermination()
+        assert q.exception() is None
+    assert "Repartition 8, true" in seen[0]
+    assert store.read_attacks(spark, root).count() == 20
+
+
+def test_requests_are_staged_as_a_file_for_every_core_and_batch(spark):
+    from trapline.plans import catalog
+
+    sizes, files = [], []
+    stream = catalog._staged(spark, spark.range(400).toDF("event_id"), 2)
+
+    def take(df, _):
+        sizes.append(df.count())
+        files.append(df.select(F.input_file_name()).distinct().count())
+
+    q = stream.writeStream.foreachBatch(take).option("checkpointLocation", scratch_path(spark, "test-staged")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None
+    assert len(sizes) == 2 and sum(sizes) == 400
+    assert files == [spark.sparkContext.defaultParallelism] * 2

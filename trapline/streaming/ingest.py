@@ -66,6 +66,12 @@ def _arrival_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("_arrival", F.monotonically_increasing_id())
 
 
+def _dealt(batch: DataFrame) -> DataFrame:
+    """Numbered rows, dealt by their arrival number to all tasks. A source may come in a few
+    large splits (a Parquet file is split at row groups only), and decoding is most of the work."""
+    return batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_arrival")
+
+
 def _first_numbers(parts: list) -> tuple[Column, int]:
     """The number of each row's first fellow of its input partition, and how many numbers all need.
 
@@ -131,8 +137,10 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, tz: str | None = N
     if "method" in batch.columns and "path" in batch.columns:
         batch = only_submissions(batch).drop("method", "path")
     place = f"run={run}/batch_id={batch_id}"
-    # decode once; accepted and rejected rows are both read from this copy
-    tagged = decode_tagged(batch, tz=tz).persist(StorageLevel.MEMORY_AND_DISK)
+    # decode once; accepted and rejected rows are both read from this copy, which
+    # keeps the bodies of rejected rows only
+    tagged = decode_tagged(_dealt(batch), tz=tz)
+    tagged = tagged.withColumn("body", F.when(F.col("reason").isNotNull(), F.col("body"))).persist(StorageLevel.MEMORY_AND_DISK)
     kept = [tagged]
     try:
         accepted, rejected = split(tagged)
@@ -213,6 +221,8 @@ def start_bounded_ingest(source: DataFrame, root: str, horizon: str = "1 day", a
     if "method" in source.columns and "path" in source.columns:
         source = only_submissions(source).drop("method", "path")
     source = source.withColumn("_arrived", F.col(arrival) if arrival else F.current_timestamp())
+    # to all tasks, as in ``_dealt``
+    source = source.repartition(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     accepted, rejected = split(decode_tagged(source, tz=tz))
     rows = dedup.dedup_within(clean(accepted).select("_arrived", *KEY7), "_arrived", horizon)
     trigger = {"processingTime": processing_time} if processing_time else {"availableNow": available_now}
