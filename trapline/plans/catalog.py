@@ -126,21 +126,16 @@ def q_log_lines(spark, sf_dir):
     return a.select("id", textfn.log_line("timestamp", "source_ip", "username", "password", tz=TZ).alias("line"))
 
 
-def _stage_requests(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
-    """Write the request log as ``files`` parquet files (arrival batches)."""
-    path = scratch_path(spark, "requests")
-    derived.request_log(spark, sf_dir).repartition(files).write.parquet(path)
-    return path
+def _staged(spark: SparkSession, requests: DataFrame, batches: int) -> DataFrame:
+    """A stream of ``requests`` that arrive in ``batches`` batches, each as a file for every core."""
+    src, files = scratch_path(spark, "requests"), spark.sparkContext.defaultParallelism
+    requests.repartition(batches * files).write.parquet(src)
+    return spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", files).parquet(src)
 
 
 def _run_stream(spark: SparkSession, sf_dir: str, coded: bool) -> str:
-    src = _stage_requests(spark, sf_dir)
     root = scratch_path(spark, "store")
-    stream = (
-        spark.readStream.schema(derived.request_log(spark, sf_dir).schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(src)
-    )
+    stream = _staged(spark, derived.request_log(spark, sf_dir), 4)
     q = ingest.start_ingest(stream, root, checkpoint=root + "-checkpoint", tz=TZ, coded=coded)
     q.awaitTermination()
     if q.exception() is not None:
@@ -169,9 +164,7 @@ def _run_restart(spark, sf_dir) -> str:
     store.write_attacks(old, root, "overwrite")
     requests = derived.request_log(spark, sf_dir)
     for k, part in enumerate((requests.filter("event_id % 2 = 0"), requests)):
-        src = scratch_path(spark, "requests")
-        part.repartition(2).write.parquet(src)
-        stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        stream = _staged(spark, part, 2)
         q = ingest.start_ingest(stream, root, checkpoint=f"{root}/_checkpoint-{k}", tz=TZ, log_lines=True)
         q.awaitTermination()
         if q.exception() is not None:
@@ -209,9 +202,8 @@ def q_stream_ingest_restart_log(spark, sf_dir):
 
 def q_stream_ingest_bounded(spark, sf_dir):
     """The stored rows of the ingest with bounded state; all repeats arrive within its horizon."""
-    src = _stage_requests(spark, sf_dir, files=3)
     root = scratch_path(spark, "store")
-    stream = spark.readStream.schema(derived.request_log(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = _staged(spark, derived.request_log(spark, sf_dir), 3)
     for q in ingest.start_bounded_ingest(stream, root, horizon="2 days", checkpoint=root + "-checkpoint", tz=TZ):
         q.awaitTermination()
         if q.exception() is not None:
@@ -242,9 +234,7 @@ def q_stream_ingest_timeless(spark, sf_dir):
     """The stored rows of an ingest in which a third of the records have no time, all of it read twice."""
     requests, root = _requests_without_time(spark, sf_dir), scratch_path(spark, "store")
     for k in range(2):
-        src = scratch_path(spark, "requests")
-        requests.repartition(1 + k).write.parquet(src)
-        stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        stream = _staged(spark, requests, 1 + k)
         q = ingest.start_ingest(stream, root, checkpoint=f"{root}/_checkpoint-{k}", tz=TZ)
         q.awaitTermination()
         if q.exception() is not None:
@@ -339,9 +329,7 @@ def _rolled_store(spark: SparkSession, sf_dir: str, coded: bool) -> str:
     and more and keeps none, so that a part of the rows is covered by no count yet."""
     requests, root = derived.request_log(spark, sf_dir), scratch_path(spark, "store")
     for k, part in enumerate((requests.filter("event_id % 3 > 0"), requests)):
-        src = scratch_path(spark, "requests")
-        part.repartition(2 - k).write.parquet(src)
-        stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        stream = _staged(spark, part, 2 - k)
         q = ingest.start_ingest(stream, root, checkpoint=f"{root}/_checkpoint-{k}", tz=TZ, coded=coded, minutes=not k)
         q.awaitTermination()
         if q.exception() is not None:
